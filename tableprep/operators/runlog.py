@@ -37,9 +37,9 @@ def parse_lines(lines: DataFrame, schema: str = EVENT_SCHEMA, column: str = "val
     return parsed.select(*others, "row.*")
 
 
-def scan_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
+def scan_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, *, files: str = "*") -> DataFrame:
     """Event rows from files or folders, with task and run taken from the path where a row lacks them."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     return complete_ids(parse_lines(lines.select("value", F.col("_metadata.file_path").alias("file_path")), schema))
 
 

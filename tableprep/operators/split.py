@@ -74,14 +74,17 @@ def stratified_cuts(df: DataFrame, digest: Column, stratum: str, shares: list[tu
     tally = materialize(rows.groupBy("__class", "prefix").agg(F.count(F.lit(1)).alias("n")), "strata")
     per_class = Window.partitionBy("__class")  # at most 16^DIGEST_PREFIX rows per class
     upto = per_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = [F.struct(F.lit(i).alias("cut"), F.floor(F.sum("n").over(per_class) * F.lit(u) + F.lit(0.5)).alias("rank"))
-            for i, (_, u) in enumerate(shares[:-1])]
-    placed = tally.select(
-        "__class", "prefix", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(per_class).alias("__n"),
-        F.explode(F.array(*cuts)).alias("at") if cuts else F.lit(None).alias("at"),
+    summed = tally.select(
+        "__class", "prefix", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(per_class).alias("__n")
     )
-    if not cuts:
-        return placed.groupBy("__class").agg(F.max("__n").alias("__n"))
+    sizes = summed.groupBy("__class").agg(F.max("__n").alias("__n"))
+    if not shares[:-1]:
+        return sizes
+    cuts = [
+        F.struct(F.lit(i).alias("cut"), F.floor(F.col("__n") * F.lit(u) + F.lit(0.5)).alias("rank"))
+        for i, (_, u) in enumerate(shares[:-1])
+    ]
+    placed = summed.select("*", F.explode(F.array(*cuts)).alias("at"))
     rank = F.col("at.rank")
     holding = placed.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).select(
         "__class", "prefix", F.col("at.cut").alias("cut"), (rank - (F.col("upto") - F.col("n"))).alias("skip")
@@ -99,7 +102,6 @@ def stratified_cuts(df: DataFrame, digest: Column, stratum: str, shares: list[tu
     ends = holding.join(cut_at, ["__class", "cut"], "left").select(
         "__class", "cut", F.coalesce("digest", F.concat("prefix", F.lit("g"))).alias("digest")
     )
-    sizes = placed.groupBy("__class").agg(F.max("__n").alias("__n"))
     wide = ends.groupBy("__class").agg(*[
         F.max(F.when(F.col("cut") == i, F.col("digest"))).alias(f"__cut_{i}") for i in range(len(cuts))
     ])
