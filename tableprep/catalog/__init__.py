@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tableprep.catalog.common import Query
 
-MODULES = ("profiles", "assessments", "transforms", "logs")
+MODULES = ("profiles", "assessments", "transforms", "logs", "texts", "flows")
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

@@ -34,33 +34,39 @@ def strip_fence(text: Column) -> Column:
     return F.when(bare.rlike(whole), strip(F.regexp_extract(bare, whole, 2))).otherwise(bare)
 
 
-@F.pandas_udf("string")
-def balanced_json(texts: pd.Series) -> pd.Series:
-    """The first balanced object or array; '' when there is none, '!' when it never closes."""
-    return texts.map(first_balanced, na_action="ignore")
-
-
-def first_balanced(text: str) -> str:
-    """Depth counting that skips quoted strings and escapes."""
-    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
-    if not starts:
-        return ""
-    start = min(starts)
-    opener = text[start]
-    closer = {"{": "}", "[": "]"}[opener]
-    depth, position, quoted = 0, start, False
-    while position < len(text):
-        char = text[position]
-        if quoted and char == "\\":
+def balanced_json(texts: Column) -> Column:
+    """The first balanced object or array; '' when there is none, '!' when it never closes.
+
+    The scan counts depth and skips quoted strings with their escapes, which no built-in
+    expression does. It is defined inside so that tasks receive it whole.
+    """
+
+    def first_balanced(text: str) -> str:
+        starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
+        if not starts:
+            return ""
+        start = min(starts)
+        opener = text[start]
+        closer = {"{": "}", "[": "]"}[opener]
+        depth, position, quoted = 0, start, False
+        while position < len(text):
+            char = text[position]
+            if quoted and char == "\\":
+                position += 1
+            elif char == '"':
+                quoted = not quoted
+            elif not quoted and char in (opener, closer):
+                depth += 1 if char == opener else -1
+                if depth == 0:
+                    return text[start : position + 1]
             position += 1
-        elif char == '"':
-            quoted = not quoted
-        elif not quoted and char in (opener, closer):
-            depth += 1 if char == opener else -1
-            if depth == 0:
-                return text[start : position + 1]
-        position += 1
-    return "!"
+        return "!"
+
+    def scan(batch: pd.Series) -> pd.Series:
+        return batch.map(first_balanced, na_action="ignore").astype(object)
+
+    scan.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(scan, "string")(texts)
 
 
 def extract_json(df: DataFrame, text: str) -> DataFrame:

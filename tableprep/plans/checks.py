@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,17 +68,7 @@ def plan_errors(df: DataFrame, document: str) -> DataFrame:
     for name in ("input_files", "id_columns", "feature_columns", "drop_columns"):
         rules.append((_any(plan[name], _blank), f"{name}: {texts['list_item']}"))
     for group, (method, vocabulary, fields) in GROUPS.items():
-        items = plan[group]
-        rules += [
-            (_any(items, lambda i, f=fields: _strangers(F.map_keys(i), f)), f"{group}: unknown field"),
-            (_any(items, lambda i: F.coalesce(F.size(_names(i)), F.lit(0)) < 1), f"{group}: {texts['columns']}"),
-            (_any(items, lambda i: F.exists(_names(i), _blank)), f"{group}: {texts['columns']}"),
-        ]
-        if vocabulary is None:
-            rules.append((_any(items, lambda i, m=method: _blank(i[m])), f"{group}: {texts['action']}"))
-        else:
-            outside = lambda i, m=method, v=vocabulary: ~F.coalesce(i[m].isin(*v), F.lit(False))
-            rules.append((_any(items, outside), f"{group}: {method} is not in its vocabulary"))
+        rules += _group_rules(plan[group], group, method, vocabulary, fields)
     unfilled = lambda i: (i["strategy"] == "constant") & i["fill_value"].isNull()
     rules.append((_any(plan["missing_value_plan"], unfilled), texts["fill_value"]))
     rules += _split_rules(plan["split_strategy"])
@@ -99,17 +87,31 @@ def plan_errors(df: DataFrame, document: str) -> DataFrame:
     return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan")
 
 
+def _group_rules(items: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:
+    texts = fixed.PLAN_ERRORS
+    rules = [
+        (_any(items, lambda i: _strangers(F.map_keys(i), fields)), f"{group}: unknown field"),
+        (_any(items, lambda i: F.coalesce(F.size(_names(i)), F.lit(0)) < 1), f"{group}: {texts['columns']}"),
+        (_any(items, lambda i: F.exists(_names(i), _blank)), f"{group}: {texts['columns']}"),
+    ]
+    if vocabulary is None:
+        return [*rules, (_any(items, lambda i: _blank(i[method])), f"{group}: {texts['action']}")]
+    outside = _any(items, lambda i: ~F.coalesce(i[method].isin(*vocabulary), F.lit(False)))
+    return [*rules, (outside, f"{group}: {method} is not in its vocabulary")]
+
+
 def _split_rules(split: Column) -> list[tuple[Column, str]]:
     texts = fixed.PLAN_ERRORS
     sizes = F.array_compact(F.array(*[split[s].try_cast("double") for s in ("train_size", "validation_size", "test_size")]))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, v: a + v)
+    outside = F.exists(sizes, lambda v: (v <= 0) | (v >= 1))
     given = split.isNotNull()
     return [
         (given & _strangers(F.map_keys(split), SPLIT_FIELDS), "split_strategy: unknown field"),
         (given & ~F.coalesce(split["strategy"].isin(*fixed.SPLIT_STRATEGIES), F.lit(False)),
          "split_strategy: strategy is not in its vocabulary"),
-        (F.exists(sizes, lambda v: (v <= 0) | (v >= 1)), texts["size_range"]),
-        (total > 1.0, texts["size_sum"]),
+        (outside, texts["size_range"]),
+        (~outside & (total > 1.0), texts["size_sum"]),
         ((split["strategy"] == "stratified") & (F.coalesce(split["stratify_column"], F.lit("")) == ""), texts["stratify"]),
         ((split["strategy"] == "time_based") & (F.coalesce(split["time_column"], F.lit("")) == ""), texts["time_split"]),
     ]
@@ -139,19 +141,16 @@ def _status_rules(plan: Column) -> list[tuple[Column, Column | str]]:
 
 
 def plan_columns(df: DataFrame, document: str, key: str) -> DataFrame:
-    """(key, place, name): every column a plan document mentions, and where."""
-    parsed = parse_plans(df, document)
+    """(key, place, name): every column a plan document mentions, and where; one pass over the documents."""
     plan = F.col("plan")
-
-    def listed(names: Column, place: str) -> DataFrame:
-        return parsed.select(key, F.lit(place).alias("place"), F.explode(names).alias("name"))
-
-    parts = [listed(plan[n], n) for n in ("id_columns", "feature_columns", "drop_columns")]
-    parts += [listed(F.array_compact(F.array(plan[n])), n) for n in ("target_column", "time_column")]
-    parts += [listed(F.flatten(F.transform(plan[g], _names)), g) for g in GROUPS]
+    lists = {n: plan[n] for n in ("id_columns", "feature_columns", "drop_columns")}
+    lists |= {n: F.array_compact(F.array(plan[n])) for n in ("target_column", "time_column")}
+    lists |= {g: F.flatten(F.transform(plan[g], _names)) for g in GROUPS}
     split = plan["split_strategy"]
-    parts.append(listed(F.array_compact(F.array(split["stratify_column"], split["time_column"])), "split_strategy"))
-    return reduce(DataFrame.unionByName, parts)
+    lists["split_strategy"] = F.array_compact(F.array(split["stratify_column"], split["time_column"]))
+    places = F.array(*[F.struct(F.lit(p).alias("place"), n.alias("names")) for p, n in lists.items()])
+    unfolded = parse_plans(df, document).select(key, F.inline(places))
+    return unfolded.select(key, "place", F.explode("names").alias("name"))
 
 
 def plan_conflicts(df: DataFrame, document: str, key: str, columns: DataFrame) -> DataFrame:
@@ -160,12 +159,17 @@ def plan_conflicts(df: DataFrame, document: str, key: str, columns: DataFrame) -
     `columns` has a `name` per real column of the table (a column profile will do).
     """
     mentioned = plan_columns(df, document, key)
-    real = F.broadcast(columns.select("name").distinct())
-    unknown = mentioned.join(real, "name", "left_anti").select(key, F.lit("unknown_column").alias("problem"), "place", "name")
-    features = mentioned.where(F.col("place") == "feature_columns").select(key, "name").distinct()
-
-    def leaking(place: str, problem: str) -> DataFrame:
-        other = mentioned.where(F.col("place") == place)
-        return other.join(features, [key, "name"], "left_semi").select(key, F.lit(problem).alias("problem"), "place", "name")
-
-    return unknown.unionByName(leaking("target_column", "target_in_features")).unionByName(leaking("id_columns", "id_in_features"))
+    real = F.broadcast(columns.select("name", F.lit(True).alias("known")).distinct())
+    place = F.col("place")
+    marked = mentioned.join(real, "name", "left")
+    unknown = marked.where(F.col("known").isNull()).select(key, F.lit("unknown_column").alias("problem"), "place", "name")
+    per_name = mentioned.where(place.isin("feature_columns", "target_column", "id_columns")).groupBy(key, "name").agg(
+        F.bool_or(place == "feature_columns").alias("feature"), F.bool_or(place == "target_column").alias("target"),
+        F.bool_or(place == "id_columns").alias("id"),
+    )
+    leaks = F.array_compact(F.array(
+        F.when(F.col("target"), F.struct(F.lit("target_in_features").alias("problem"), F.lit("target_column").alias("place"))),
+        F.when(F.col("id"), F.struct(F.lit("id_in_features").alias("problem"), F.lit("id_columns").alias("place"))),
+    ))
+    leaking = per_name.where("feature").select(key, F.inline(leaks), "name")
+    return unknown.unionByName(leaking)
