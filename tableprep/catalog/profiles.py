@@ -140,6 +140,10 @@ def profile_report(s, d):
     )
 
 
+def profile_quick(s, d):
+    return shown(profile.quick_profile(read(s, d, "lineitem"), "lineitem"))
+
+
 def nested_profile(s, d):
     df = profile.column_profile(read(s, d, "embeddings"), "embeddings")
     return df.select("name", "type_class", "row_count", "non_null_count", "unique_count")
@@ -177,6 +181,7 @@ QUERIES = {
         "SELECT name, row_count, unique_count, (SELECT count(*) FROM customer) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS duplicate_row_count, type_class "
         f"FROM ({profile_sql('customer', 'customer', TABLES['customer'])})",
     ),
+    "profile_quick": (profile_quick, None),
     "nested_profile": (
         nested_profile,
         "SELECT 'vec_id' AS name, 'integer' AS type_class, count(*) AS row_count, count(vec_id) AS non_null_count, count(DISTINCT vec_id) AS unique_count FROM embeddings "

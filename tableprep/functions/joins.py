@@ -48,3 +48,13 @@ def lookup(
     by_cold = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
     order = df.columns + values
     return by_hot.select(order).unionByName(by_cold.select(order)).unionByName(blank.select(order))
+
+
+def left_join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to a large table with unique keys. Rows with a null key match nothing, so they
+    bypass the shuffle instead of meeting in one partition of it."""
+    whole = all_of([F.col(k).isNotNull() for k in keys])
+    values = [c for c in other.columns if c not in keys]
+    joined = df.where(whole).join(other, keys, "left").select(df.columns + values)
+    blank = df.where(~whole).select("*", *[F.lit(None).cast(other.schema[v].dataType).alias(v) for v in values])
+    return joined.unionByName(blank)

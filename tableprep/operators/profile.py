@@ -91,7 +91,13 @@ def column_profile(
     return _finish(df, out)
 
 
-def column_summary(df: DataFrame, dataset_name: str, *, median: str = "exact") -> DataFrame:
+def quick_profile(df: DataFrame, dataset_name: str = "dataframe") -> DataFrame:
+    """One scan and no shuffle of values: distinct counts (HyperLogLog) and medians are approximate,
+    samples and top values are left out. For a first look at very large tables."""
+    return _finish(df, column_summary(df, dataset_name, median="approx", distinct="approx"))
+
+
+def column_summary(df: DataFrame, dataset_name: str, *, median: str = "exact", distinct: str = "later") -> DataFrame:
     """Counts, missing counts, numeric and time ranges of every column from one scan."""
     fields = df.schema.fields
     numeric = [f.name for f in fields if type_class(f.dataType) in SUMMARY_CLASSES]
@@ -104,6 +110,10 @@ def column_summary(df: DataFrame, dataset_name: str, *, median: str = "exact") -
     for i, f in enumerate(fields):
         value = present(df, f.name)
         aggregates.append(F.count(value).alias(f"n{i}"))
+        found = []
+        if distinct == "approx":
+            aggregates.append(F.approx_count_distinct(comparable(df, f.name)).alias(f"u{i}"))
+            found = [F.least(F.col(f"u{i}"), F.col(f"n{i}")).alias("unique_count")]
         low = high = mean = middle = std = missing
         first = last = F.lit(None).cast("string")
         if f.name in numeric:
@@ -132,7 +142,7 @@ def column_summary(df: DataFrame, dataset_name: str, *, median: str = "exact") -
                 F.col(f"n{i}").alias("non_null_count"),
                 low.alias("num_min"), high.alias("num_max"), mean.alias("num_mean"),
                 middle.alias("num_median"), std.alias("num_std"),
-                first.alias("time_min"), last.alias("time_max"),
+                first.alias("time_min"), last.alias("time_max"), *found,
             )
         )
     row = df.agg(F.count(F.lit(1)).alias("row_count"), *aggregates)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableprep import fixed_values as fixed
+from tableprep.functions.joins import left_join, lookup
 
 # The fields of the logs.
 EVENT_SCHEMA = (
@@ -118,17 +119,15 @@ def call_usage(calls: DataFrame) -> DataFrame:
 def correlate(events: DataFrame, calls: DataFrame, runs: DataFrame) -> DataFrame:
     """Call summaries of the task log with the full call and the last state of its run.
 
-    Calls have unique ids within a task, and runs one row each; adaptive execution splits the
-    shuffle partitions of a task or run that holds many events.
+    Call ids are unique within a task. `runs` is a last_events result, whose event counts tell
+    which runs are hot: those go by broadcast, see `lookup`.
     """
     call_id = F.get_json_object("data", "$.llm_call_id")
     summaries = events.where(F.col("event").isin("llm_call_finished", "llm_call_failed")).withColumn("llm_call_id", call_id)
     full = calls.select("task_id", "llm_call_id", F.col("status").alias("call_status"), "model", F.length("response").alias("response_length"))
-    state = runs.select("task_id", "run_id", "last_event")
-    return (
-        summaries.select("task_id", "run_id", "agent", "llm_call_id", "event")
-        .join(full, ["task_id", "llm_call_id"], "left").join(state, ["task_id", "run_id"], "left")
-    )
+    state = runs.where(F.col("task_id").isNotNull() & F.col("run_id").isNotNull()).select("task_id", "run_id", "last_event", "events")
+    named = summaries.select("task_id", "run_id", "agent", "llm_call_id", "event")
+    return lookup(left_join(named, full, ["task_id", "llm_call_id"]), state, ["task_id", "run_id"], weight="events")
 
 
 def metric_values(events: DataFrame) -> DataFrame:

@@ -30,10 +30,8 @@ def _text(column: Column) -> Column:
 
 def upgrade_missing(raw: Column) -> Column:
     """missing_information as {critical, optional}; a bare list means critical."""
-    is_list = F.ltrim(raw).startswith("[")
-    critical = F.when(is_list, F.from_json(raw, "array<string>")).otherwise(F.from_json(raw, GAPS_SCHEMA)["critical"])
-    optional = F.when(~is_list, F.from_json(raw, GAPS_SCHEMA)["optional"])
-    return F.struct(_list(critical).alias("critical"), _list(optional).alias("optional"))
+    wrapped = F.when(F.ltrim(raw).startswith("["), F.concat(F.lit('{"critical": '), raw, F.lit("}"))).otherwise(raw)
+    return F.from_json(wrapped, GAPS_SCHEMA)
 
 
 def parse_tasks(df: DataFrame, document: str) -> DataFrame:
@@ -47,10 +45,12 @@ def parse_tasks(df: DataFrame, document: str) -> DataFrame:
     fields = parsed.withColumns({
         "task_type": task["task_type"],
         "stated_decision": F.when(task["task_type"] == "unknown", "rejected").otherwise(task["decision"]),
-        "gaps": upgrade_missing(task["missing_information"]),
+        "__gaps": upgrade_missing(task["missing_information"]),
         "input_mode": task["input_mode"], "output_mode": task["output_mode"], "evaluation": task["evaluation"],
         "assumptions": _list(task["assumptions"]), "response": _text(task["user_facing_response"]),
-    }).drop("__task")
+    }).withColumn(
+        "gaps", F.struct(_list(F.col("__gaps.critical")).alias("critical"), _list(F.col("__gaps.optional")).alias("optional"))
+    ).drop("__task", "__gaps")
     decision = F.col("stated_decision")
     critical, optional = F.size("gaps.critical") > 0, F.size("gaps.optional") > 0
     waits = (decision == "need_confirmation")

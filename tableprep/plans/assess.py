@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -50,7 +51,9 @@ def assess_catalog(tables: Mapping[str, DataFrame], tasks: Mapping[str, roles.Ta
 
 
 def _derive(tables: DataFrame, columns: DataFrame, tasks: Any, by_dataset: bool) -> Assessment:
-    tables, columns = materialize(tables, "tables"), materialize(columns, "columns")
+    with ThreadPoolExecutor(2) as pool:  # the two profiles share no work, so they run side by side
+        written = pool.submit(materialize, tables, "tables"), pool.submit(materialize, columns, "columns")
+        tables, columns = (w.result() for w in written)
     inferred = materialize(roles.column_roles(columns, tasks, by_dataset=by_dataset), "roles")
     rollup = roles.table_roles(inferred)
     issues = quality.quality_issues(tables, columns, inferred, rollup, tasks, by_dataset=by_dataset)

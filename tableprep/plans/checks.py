@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from tableprep import fixed_values as fixed
 
 # The fields of a plan document and of its parts.
-ITEMS = "array<map<string,string>>"
-PLAN_FIELDS = {
-    "plan_name": "string", "status": "string", "task_type": "string", "input_files": "array<string>",
-    "target_column": "string", "time_column": "string", "id_columns": "array<string>",
-    "feature_columns": "array<string>", "drop_columns": "array<string>", "missing_value_plan": ITEMS,
-    "categorical_encoding_plan": ITEMS, "numeric_scaling_plan": ITEMS, "text_processing_plan": ITEMS,
-    "datetime_processing_plan": ITEMS, "split_strategy": "map<string,string>", "column_actions": ITEMS,
-    "output_artifacts": ITEMS, "quality_issues_to_handle": "array<string>", "assumptions": "array<string>",
-    "warnings": "array<string>", "user_facing_response": "string", "downstream_notes": "string",
-}
 GROUPS = {
     # group: (field that names the method, its vocabulary, all fields)
     "missing_value_plan": ("strategy", fixed.MISSING_STRATEGIES, ("columns", "strategy", "fill_value", "reason")),
@@ -31,16 +21,32 @@ ARTIFACT_FIELDS = ("artifact_type", "path", "description", "required")
 SPLIT_FIELDS = (
     "strategy", "train_size", "validation_size", "test_size", "random_state", "stratify_column", "time_column", "reason",
 )
-PLAN_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in PLAN_FIELDS.items())
+TEXT_FIELDS = ("plan_name", "status", "task_type", "target_column", "time_column", "user_facing_response", "downstream_notes")
+LIST_FIELDS = (
+    "input_files", "id_columns", "feature_columns", "drop_columns", "quality_issues_to_handle", "assumptions", "warnings",
+)
+PLAN_FIELDS = (*TEXT_FIELDS, *LIST_FIELDS, *GROUPS, "split_strategy", "output_artifacts")
 
 
-def parse_plans(df: DataFrame, document: str) -> DataFrame:
-    """Add the struct `plan`; null where the text is not a JSON object."""
-    return df.withColumn("plan", F.from_json(F.col(document), PLAN_SCHEMA))
+def _struct(fields) -> str:
+    kinds = {"columns": "array<string>"}
+    return "struct<" + ",".join(f"{f}:{kinds.get(f, 'string')}" for f in fields) + ">"
+
+
+PLAN_SCHEMA = ", ".join(
+    [f"{f} string" for f in TEXT_FIELDS] + [f"{f} array<string>" for f in LIST_FIELDS]
+    + [f"{g} array<{_struct(fields)}>" for g, (_, _, fields) in GROUPS.items()]
+    + [f"split_strategy {_struct(SPLIT_FIELDS)}", f"output_artifacts array<{_struct(ARTIFACT_FIELDS)}>"]
+)
+# the same parts as maps, whose keys show fields that do not belong
+KEYS_SCHEMA = ", ".join(
+    [f"{g} array<map<string,string>>" for g in (*GROUPS, "output_artifacts")] + ["split_strategy map<string,string>"]
+)
 
 
-def _names(item: Column) -> Column:
-    return F.from_json(item["columns"], "array<string>")
+def parse_plans(df: DataFrame, document: str) -> DataFrame:
+    """Add the struct `plan`; its fields are null where the text is not a JSON object."""
+    return df.withColumn("plan", F.from_json(F.col(document), PLAN_SCHEMA))
 
 
 def _blank(text: Column) -> Column:
@@ -52,15 +58,17 @@ def _any(items: Column, bad) -> Column:
 
 
 def _strangers(keys: Column, allowed) -> Column:
-    return F.size(F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))) > 0
+    return F.exists(keys, lambda k: ~k.isin(*allowed))
 
 
 def plan_errors(df: DataFrame, document: str) -> DataFrame:
     """Add `errors`, the rules a plan document breaks; a valid plan breaks none."""
-    parsed = parse_plans(df, document)
-    plan, texts = F.col("plan"), fixed.PLAN_ERRORS
+    parsed = parse_plans(df, document).withColumns({
+        "__parts": F.from_json(F.col(document), KEYS_SCHEMA), "__keys": F.json_object_keys(document),
+    })
+    plan, parts, texts = F.col("plan"), F.col("__parts"), fixed.PLAN_ERRORS
     rules: list[tuple[Column, Column | str]] = [
-        (F.coalesce(_strangers(F.json_object_keys(document), PLAN_FIELDS), F.lit(False)), "unknown field"),
+        (_strangers(F.col("__keys"), PLAN_FIELDS), "unknown field"),
         (_blank(plan["plan_name"]), texts["plan_name"]),
         (~F.coalesce(plan["status"].isin(*fixed.PLAN_STATUSES), F.lit(False)), "status is not in its vocabulary"),
         (~F.coalesce(plan["task_type"].isin(*fixed.TASK_TYPES), F.lit(False)), "task_type is not in its vocabulary"),
@@ -68,13 +76,13 @@ def plan_errors(df: DataFrame, document: str) -> DataFrame:
     for name in ("input_files", "id_columns", "feature_columns", "drop_columns"):
         rules.append((_any(plan[name], _blank), f"{name}: {texts['list_item']}"))
     for group, (method, vocabulary, fields) in GROUPS.items():
-        rules += _group_rules(plan[group], group, method, vocabulary, fields)
+        rules += _group_rules(plan[group], parts[group], group, method, vocabulary, fields)
     unfilled = lambda i: (i["strategy"] == "constant") & i["fill_value"].isNull()
     rules.append((_any(plan["missing_value_plan"], unfilled), texts["fill_value"]))
-    rules += _split_rules(plan["split_strategy"])
+    rules += _split_rules(plan["split_strategy"], parts["split_strategy"])
     artifacts = plan["output_artifacts"]
     rules += [
-        (_any(artifacts, lambda a: _strangers(F.map_keys(a), ARTIFACT_FIELDS)), "output_artifacts: unknown field"),
+        (_any(parts["output_artifacts"], lambda a: _strangers(F.map_keys(a), ARTIFACT_FIELDS)), "output_artifacts: unknown field"),
         (_any(artifacts, lambda a: ~F.coalesce(a["artifact_type"].isin(*fixed.ARTIFACT_TYPES), F.lit(False))),
          "output_artifacts: artifact_type is not in its vocabulary"),
         (_any(artifacts, lambda a: _blank(a["path"])), f"output_artifacts: {texts['path']}"),
@@ -83,16 +91,16 @@ def plan_errors(df: DataFrame, document: str) -> DataFrame:
     checked = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.coalesce(broken, F.lit(False)), text if isinstance(text, Column) else F.lit(text)) for broken, text in rules
     ])))
-    unreadable = plan.isNull() | F.json_object_keys(document).isNull()
-    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan")
+    unreadable = plan.isNull() | F.col("__keys").isNull()
+    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan", "__parts", "__keys")
 
 
-def _group_rules(items: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:
+def _group_rules(items: Column, keys: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:
     texts = fixed.PLAN_ERRORS
     rules = [
-        (_any(items, lambda i: _strangers(F.map_keys(i), fields)), f"{group}: unknown field"),
-        (_any(items, lambda i: F.coalesce(F.size(_names(i)), F.lit(0)) < 1), f"{group}: {texts['columns']}"),
-        (_any(items, lambda i: F.exists(_names(i), _blank)), f"{group}: {texts['columns']}"),
+        (_any(keys, lambda i: _strangers(F.map_keys(i), fields)), f"{group}: unknown field"),
+        (_any(items, lambda i: F.coalesce(F.size(i["columns"]), F.lit(0)) < 1), f"{group}: {texts['columns']}"),
+        (_any(items, lambda i: F.exists(i["columns"], _blank)), f"{group}: {texts['columns']}"),
     ]
     if vocabulary is None:
         return [*rules, (_any(items, lambda i: _blank(i[method])), f"{group}: {texts['action']}")]
@@ -100,14 +108,14 @@ def _group_rules(items: Column, group: str, method: str, vocabulary, fields) ->
     return [*rules, (outside, f"{group}: {method} is not in its vocabulary")]
 
 
-def _split_rules(split: Column) -> list[tuple[Column, str]]:
+def _split_rules(split: Column, keys: Column) -> list[tuple[Column, str]]:
     texts = fixed.PLAN_ERRORS
     sizes = F.array_compact(F.array(*[split[s].try_cast("double") for s in ("train_size", "validation_size", "test_size")]))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, v: a + v)
     outside = F.exists(sizes, lambda v: (v <= 0) | (v >= 1))
     given = split.isNotNull()
     return [
-        (given & _strangers(F.map_keys(split), SPLIT_FIELDS), "split_strategy: unknown field"),
+        (given & _strangers(F.map_keys(keys), SPLIT_FIELDS), "split_strategy: unknown field"),
         (given & ~F.coalesce(split["strategy"].isin(*fixed.SPLIT_STRATEGIES), F.lit(False)),
          "split_strategy: strategy is not in its vocabulary"),
         (outside, texts["size_range"]),
@@ -145,7 +153,7 @@ def plan_columns(df: DataFrame, document: str, key: str) -> DataFrame:
     plan = F.col("plan")
     lists = {n: plan[n] for n in ("id_columns", "feature_columns", "drop_columns")}
     lists |= {n: F.array_compact(F.array(plan[n])) for n in ("target_column", "time_column")}
-    lists |= {g: F.flatten(F.transform(plan[g], _names)) for g in GROUPS}
+    lists |= {g: F.flatten(F.transform(plan[g], lambda i: i["columns"])) for g in GROUPS}
     split = plan["split_strategy"]
     lists["split_strategy"] = F.array_compact(F.array(split["stratify_column"], split["time_column"]))
     places = F.array(*[F.struct(F.lit(p).alias("place"), n.alias("names")) for p, n in lists.items()])

@@ -7,7 +7,7 @@ import json
 
 import pytest
 
-from tableprep.operators.profile import column_profile, profile_document, table_profile
+from tableprep.operators.profile import column_profile, profile_document, quick_profile, table_profile
 from tableprep.sources.tables import load_table, load_tables, table_metadata
 
 
@@ -122,3 +122,11 @@ def test_reader_errors(spark, tmp_path):
         load_table(spark, str(tmp_path / "none.parquet"))
     with pytest.raises(ValueError):
         load_tables(spark, [])
+
+
+def test_quick_profile_is_close(customers):
+    exact, quick = by_name(column_profile(customers)), by_name(quick_profile(customers))
+    for name in exact:
+        assert quick[name]["unique_count"] == exact[name]["unique_count"]
+        assert quick[name]["missing_rate"] == exact[name]["missing_rate"]
+    assert quick["age"]["num_median"] == 30.0
