@@ -15,7 +15,7 @@ from tableprep.catalog.common import (
     profile_sql,
     read,
 )
-from tableprep.operators import profile, quality, roles
+from tableprep.operators import profile, remedies, roles
 from tableprep.plans import assess, defaults
 
 # name -> (SQL source, columns, task type, target, time, Spark source)
@@ -108,6 +108,16 @@ def _plan_header(case):
     return run
 
 
+def fix_drop_flagged(s, d):
+    """Ids, constant and all-missing columns go, as the issues and roles say."""
+    df = source(s, d, "gaps")
+    a = assessed(s, d, "gaps")
+    kept = remedies.drop_all_missing(remedies.drop_constant(remedies.drop_identifiers(df, a.roles), a.issues), a.issues)
+    return kept.groupBy("event_type").agg(
+        F.lit(",".join(kept.columns)).alias("columns"), F.count("value").alias("known"), F.round(F.sum("large"), 3).alias("large")
+    )
+
+
 def _text(value: str | None) -> str:
     return "NULL::VARCHAR" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -290,6 +300,11 @@ QUERIES = {
     **{f"role_lists_{c}": (_rollup(c), rollup_sql(c)) for c in ("orders", "nation", "part", "gaps")},
     **{f"quality_{c}": (_issues(c), f"SELECT {ISSUE_COLUMNS} FROM ({issues_sql(c)})") for c in ("lineitem", "orders", "nation", "labelled", "gaps")},
     **{f"quality_summary_{c}": (_summary(c), summary_sql(c)) for c in ("labelled", "gaps", "customer")},
+    "fix_drop_flagged": (
+        fix_drop_flagged,
+        "SELECT event_type, 'ts,event_type,value,large' AS columns, count(value) AS known, round(sum(large), 3) AS large "
+        f"FROM {CASES['gaps'][0]} GROUP BY event_type",
+    ),
     "quality_catalog": (catalog_issues, _catalog_issues_sql()),
     **{f"plan_columns_{c}": (_column_plan(c), column_plan_sql(c)) for c in ("customer", "labelled", "gaps")},
     **{f"plan_header_{c}": (_plan_header(c), header_sql(c)) for c in ("customer", "lineitem", "events", "labelled")},

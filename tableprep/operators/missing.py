@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprep.functions.columns import FLOATING, present, quoted, type_class
-from tableprep.functions.hashing import all_of
 from tableprep.functions.quantiles import exact_quantiles, order_chunks
 from tableprep.operators.fitted import Fitted, fact
 
@@ -79,31 +78,28 @@ def fill_in_order(
     cut = order_chunks(df, order, chunks, "__chunk")
     cut = cut.withColumns({c: present(df, c) for c in columns if isinstance(df.schema[c].dataType, FLOATING)})
     along = [F.col(c) if forward else F.col(c).desc() for c in order]
-    group = [*key, "__chunk"] if chunks > 1 or not key else key
+    # keys as text, so that a null key is a group like any other and window and join share one shuffle
+    marks = [f"__key_{i}" for i in range(len(key))]
+    cut = cut.withColumns({m: F.coalesce(quoted(k).cast("string"), F.lit("\u0000")) for m, k in zip(marks, key)})
+    group = [*marks, "__chunk"]
     window = Window.partitionBy(*group).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
-    inside = {c: F.last(c, ignorenulls=True).over(window) for c in columns}
-    filled = cut.withColumns(inside)
+    filled = cut.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
     if chunks <= 1:
-        return filled.drop("__chunk").select(df.columns)
+        return filled.select(df.columns)
 
     place = F.struct(*order)
     known = [
         (F.max_by if forward else F.min_by)(c, F.when(F.col(c).isNotNull(), place)).alias(f"__last_{i}")
         for i, c in enumerate(columns)
     ]
-    ends = cut.groupBy(*key, "__chunk").agg(*known)
+    ends = cut.groupBy(*group).agg(*known)  # one row per key and chunk, combined before the shuffle
     step = F.col("__chunk") if forward else F.col("__chunk").desc()
-    if key:
-        over = Window.partitionBy(*key).orderBy(step)
-    else:  # one row per chunk, at most MOST_CHUNKS of them
-        over = Window.partitionBy(F.lit(0)).orderBy(step)
+    over = Window.partitionBy(*(marks or [F.lit(0)])).orderBy(step)  # at most MOST_CHUNKS rows per key
     over = over.rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(key)], F.col("__chunk").alias("__at"),
-        *[F.last(f"__last_{i}", ignorenulls=True).over(over).alias(f"__carry_{i}") for i in range(len(columns))],
+        *group, *[F.last(f"__last_{i}", ignorenulls=True).over(over).alias(f"__carry_{i}") for i in range(len(columns))]
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(key)]
-    joined = filled.join(carried, all_of([F.col("__chunk") == F.col("__at"), *same]), "left")
+    joined = filled.join(carried, group, "left")
     completed = {c: F.coalesce(quoted(c), F.col(f"__carry_{i}")) for i, c in enumerate(columns)}
     return joined.withColumns(completed).select(df.columns)
 

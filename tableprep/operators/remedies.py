@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableprep.functions.columns import present, quoted
-from tableprep.functions.hashing import unit_draw
+from tableprep.functions.hashing import row_fingerprint, unit_draw
 from tableprep.functions.joins import lookup
 
 
 def drop_duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropDuplicates(columns)
+    """One row of every group of copies; with `columns`, one row per value of these.
+
+    Most rows have no copy and need no shuffle: a count of 128-bit row fingerprints finds those that
+    may have one, and only they are compared whole. Copies are combined before the shuffle.
+    """
+    if columns is not None:
+        return df.dropDuplicates(columns)
+    h0, h1 = row_fingerprint(df)
+    marked = df.withColumns({"__h0": h0, "__h1": h1})
+    repeated = marked.groupBy("__h0", "__h1").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    found = lookup(marked, repeated.withColumn("__copied", F.lit(True)), ["__h0", "__h1"], weight="__n")
+    single = found.where(F.col("__copied").isNull()).select(df.columns)
+    copied = found.where(F.col("__copied"))
+    if any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):  # maps cannot be compared
+        return single.unionByName(copied.dropDuplicates(["__h0", "__h1"]).select(df.columns))
+    return single.unionByName(copied.select(df.columns).dropDuplicates())
 
 
 def columns_with_issue(issues: DataFrame, issue_type: str) -> list[str]:

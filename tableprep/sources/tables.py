@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
@@ -21,6 +22,12 @@ def suffix_of(path: str) -> str:
     return PurePosixPath(path).suffix.lower()
 
 
+def charset(encoding: str) -> str:
+    """The reader's name for an encoding: latin1 is iso-8859-1, ascii is us-ascii."""
+    name = codecs.lookup(encoding).name.replace("iso8859", "iso-8859")
+    return "us-ascii" if name == "ascii" else name
+
+
 def load_table(spark: SparkSession, path: str, *, encoding: str = "utf-8", schema: str | None = None, **options: Any) -> DataFrame:
     """A lazy table from a csv, tsv, txt, json, jsonl, ndjson or parquet path.
 
@@ -29,6 +36,7 @@ def load_table(spark: SparkSession, path: str, *, encoding: str = "utf-8", schem
     suffix = suffix_of(path)
     if suffix not in SUFFIXES:
         raise ValueError(f"Unsupported data file extension: {suffix}. Supported extensions: {sorted(SUFFIXES)}")
+    encoding = charset(encoding)
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         if suffix in fixed.PARQUET_SUFFIXES:

@@ -8,7 +8,7 @@ import json
 import pytest
 
 from tableprep.operators.profile import column_profile, profile_document, quick_profile, table_profile
-from tableprep.sources.tables import load_table, load_tables, table_metadata
+from tableprep.sources.tables import as_table, list_table_files, load_table, load_tables, table_metadata
 
 
 def by_name(df):
@@ -130,3 +130,35 @@ def test_quick_profile_is_close(customers):
         assert quick[name]["unique_count"] == exact[name]["unique_count"]
         assert quick[name]["missing_rate"] == exact[name]["missing_rate"]
     assert quick["age"]["num_median"] == 30.0
+
+
+def test_tables_and_paths_are_both_taken(spark, customers, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"a": 1}\n{"a": 2}\n')
+    df, name, kind = as_table(spark, str(path))
+    assert (df.count(), name, kind) == (2, "x.jsonl", "path")
+    assert as_table(spark, customers)[1:] == ("dataframe", "dataframe")
+    with pytest.raises(TypeError):
+        as_table(spark, 3)
+
+
+def test_listing(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("b.csv", "a.PARQUET", "notes.md", "sub/c.json"):
+        (tmp_path / name).write_text("x")
+    names = [r["file_name"] for r in list_table_files(spark, str(tmp_path)).collect()]
+    assert names == ["a.PARQUET", "b.csv"]
+    deep = [r["file_name"] for r in list_table_files(spark, str(tmp_path), recursive=True).collect()]
+    assert deep == ["a.PARQUET", "b.csv", "c.json"]
+    with pytest.raises(FileNotFoundError):
+        list_table_files(spark, str(tmp_path / "none"))
+    with pytest.raises(NotADirectoryError):
+        list_table_files(spark, str(tmp_path / "b.csv"))
+
+
+def test_json_document_and_encoding(spark, tmp_path):
+    doc, latin = tmp_path / "d.json", tmp_path / "l.csv"
+    doc.write_text('[{"a": 1, "b": "x"},\n {"a": 2}]')
+    latin.write_bytes("a;b\n1;é\n".encode("latin-1"))
+    assert sorted(map(tuple, load_table(spark, str(doc)).collect()), key=str) == [(1, "x"), (2, None)]
+    assert load_table(spark, str(latin), encoding="latin1", sep=";").first()["b"] == "é"

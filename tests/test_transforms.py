@@ -134,3 +134,15 @@ def test_rebalance_is_close_and_repeatable(skewed):
     assert rows_of(thin.select("id")) == rows_of(remedies.rebalance(df.repartition(7), "label", ["id"]).select("id"))
     fat = {r["label"]: r["count"] for r in remedies.rebalance(df, "label", ["id"], method="over").groupBy("label").count().collect()}
     assert fat[1] == 2667 and abs(fat[0] - 2667) < 120
+
+
+def test_copies_are_dropped_exactly(spark):
+    df = spark.sql(
+        "SELECT CASE WHEN id % 3 = 0 THEN NULL ELSE id % 7 END AS a, CASE WHEN id % 3 = 0 THEN 'copy' ELSE cast(id AS string) END AS b, "
+        "array(id % 2 * 0) AS c FROM range(300)"
+    )
+    want = rows_of(df.distinct())
+    assert rows_of(remedies.drop_duplicate_rows(df)) == want and len(want) == 201
+    with_map = df.withColumn("m", F.create_map(F.lit("k"), F.col("b")))
+    assert remedies.drop_duplicate_rows(with_map).count() == 201
+    assert remedies.drop_duplicate_rows(df, ["a"]).count() == 8
