@@ -14,6 +14,7 @@ from tableprep.functions.columns import TEMPORAL, present
 
 GATHER_LIMIT = 50_000
 ACCURACY = 10_000
+NULL_PLACE = -1.7e308
 
 
 def ordered_number(df: DataFrame, name: str) -> Column:
@@ -206,31 +207,28 @@ def order_chunks(df: DataFrame, order: list[str], chunks: int, name: str) -> Dat
     """
     if chunks <= 1:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    first = ordered_number(df, order[0]).cast("double")
+    # nulls sort first; as a value of their own they are cut further when there are many
+    first = F.coalesce(ordered_number(df, order[0]).cast("double"), F.lit(NULL_PLACE))
     steps = [i / chunks for i in range(1, chunks)]
     bounds = df.agg(F.percentile_approx(first, steps, max(ACCURACY, 4 * chunks))).first()[0] or []
     repeats = {b: bounds.count(b) for b in bounds}
-    cuts = sorted(repeats)
+    cuts = sorted(b for b in repeats if math.isfinite(b))
     if not cuts:
         return df.withColumn(name, F.lit(0).cast("bigint"))
     coarse = f"{name}_coarse"
     out = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol=f"{name}_value", outputCol=coarse,
         handleInvalid="keep",
-    ).transform(df.withColumn(f"{name}_value", F.coalesce(first, F.lit(-math.inf))))
+    ).transform(df.withColumn(f"{name}_value", first))
 
     hot = [b for b, n in repeats.items() if n > 1]
     fine: Column = F.lit(0)
     if hot and len(order) > 1:
         second = ordered_number(df, order[1]).cast("double")
-        inner = {
-            r["v"]: r["b"]
-            for r in df.select(first.alias("v"), second.alias("w"))
-            .where(F.col("v").isin(hot))
-            .groupBy("v")
-            .agg(F.percentile_approx("w", [i / (max(repeats.values()) + 1) for i in range(1, max(repeats.values()) + 1)], ACCURACY).alias("b"))
-            .collect()
-        }
+        most = max(repeats.values())
+        finer = F.percentile_approx("w", [i / (most + 1) for i in range(1, most + 1)], ACCURACY).alias("b")
+        crowded = df.select(first.alias("v"), second.alias("w")).where(F.col("v").isin(hot))
+        inner = {r["v"]: r["b"] for r in crowded.groupBy("v").agg(finer).collect()}  # at most a row per chunk
         table = df.sparkSession.createDataFrame(
             [(v, sorted(set(b))) for v, b in inner.items() if b], f"{name}_hot double, {name}_cuts array<double>"
         )

@@ -49,8 +49,9 @@ def test_quantiles_of_times_are_microseconds(spark):
     assert exact_quantiles(df, {"t": [0.5]})["t"] == [1704067200e6 + 2 * 86400e6]
 
 
-def test_chunks_follow_the_order_and_cut_hot_times(spark):
-    rows = [(float(i % 3 == 0) * 7 or float(i), i) for i in range(6_000)]  # a third share one time
+@pytest.mark.parametrize("hot", [7.0, None])
+def test_chunks_follow_the_order_and_cut_hot_times(spark, hot):
+    rows = [(hot if i % 3 == 0 else float(i), i) for i in range(6_000)]  # a third share one time
     df = order_chunks(spark.createDataFrame(rows, "t double, id bigint"), ["t", "id"], 12, "chunk")
     got = [tuple(r) for r in df.orderBy("t", "id").select("t", "id", "chunk").collect()]
     chunks = [c for *_, c in got]
