@@ -36,9 +36,9 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "circus clown", "sore lose
 FIT_ROWS_PER_CLASS = 20_000
 STEMS = (3, 4, 5, 6, 7, 8)
 LONGEST_WORD = 24
-MIN_SUPPORT = 5
-UNSEEN = 3.0  # a pattern never seen in n clean texts may still stand in 3 / n of them
-MIN_LOG_ODDS = 2.5
+EVIDENCE = 20.0  # nats of log likelihood ratio against chance, high enough for the many patterns that are tried
+UNSEEN = 1.0
+MIN_LOG_ODDS = 3.0
 MAX_PATTERNS = 20_000
 BINS = 64
 CUT = 0.3
@@ -132,14 +132,17 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         F.lit(int(_DRAW * min(1, rows_per_class / max(1, sizes.get(0, 0)))))
     )
     picked = own.where(F.pmod(F.xxhash64(F.lit("toxicity"), "label_id"), F.lit(_DRAW)) < share).orderBy("label_id").limit(3 * rows_per_class)
-    return docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("label_id")).select(F.col(text_col).alias("text"), "toxic")
+    return docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("label_id")).select(
+        F.col(text_col).alias("text"), "toxic", (F.pmod(F.xxhash64(F.lit("calibration"), "label_id"), F.lit(3)) == 0).alias("calibrates")
+    )
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     rows_per_class: int = FIT_ROWS_PER_CLASS, exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
-    """Learn lexicon and calibration from the labelled rows that are not held out.
+    """Learn from the labelled rows that are not held out: the lexicon from two thirds, the calibration from the rest,
+    so that entries which stood in toxic texts by chance weigh as little as they should.
 
     A document labelled several times counts as toxic if any label says so; null labels are ignored. Without toxic
     rows the lexicon is empty and every score is the prior.
@@ -161,13 +164,19 @@ def fit(
                 ["pattern", "toxic", "n"],
             )
 
-    table = rows.mapInArrow(counts, "pattern string, toxic int, n long").groupBy("pattern").pivot("toxic", [0, 1]).sum("n").na.fill(0)
+    learning, calibrating = rows.where("NOT calibrates"), rows.where("calibrates")
+    table = learning.mapInArrow(counts, "pattern string, toxic int, n long").groupBy("pattern").pivot("toxic", [0, 1]).sum("n").na.fill(0)
     totals = table.where("pattern IS NULL").first()
     clean_rows, toxic_rows = (totals["0"], totals["1"]) if totals else (0, 0)
     odds = F.log((F.col("1") + 0.5) / (toxic_rows + 1)) - F.log((F.col("0") + UNSEEN) / (clean_rows + UNSEEN))
+    share = toxic_rows / max(1, toxic_rows + clean_rows)
+    both = F.col("0") + F.col("1")
+    evidence = F.col("1") * F.log(F.greatest(F.col("1"), F.lit(1)) / (both * share + 1e-9)) + F.col("0") * F.log(
+        F.greatest(F.col("0"), F.lit(1)) / (both * (1 - share) + 1e-9)
+    )
     chosen = (
-        table.where(F.col("pattern").isNotNull() & (F.col("1") >= MIN_SUPPORT)).select("pattern", odds.alias("odds"))
-        .where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "pattern").limit(MAX_PATTERNS)
+        table.where(F.col("pattern").isNotNull() & (F.col("1") > 0)).select("pattern", odds.alias("odds"), evidence.alias("evidence"))
+        .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("odds"), "pattern").limit(MAX_PATTERNS)
     )
     lexicon = {r["pattern"]: float(r["odds"]) for r in chosen.collect()}
     model = ToxicityModel(lexicon, exceptions, 0.0, 0.0)
@@ -183,7 +192,7 @@ def fit(
             [pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(total[at[:, 0], at[:, 1]])], ["toxic", "bin", "n"]
         )
 
-    bins = rows.mapInArrow(binned, "toxic int, bin int, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect()
+    bins = calibrating.mapInArrow(binned, "toxic int, bin int, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect()
     counted = np.zeros((2, BINS))
     for r in bins:
         counted[r["toxic"], r["bin"]] = r["n"]
