@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import exact_dedup, language_id, mixing, toxicity
+from tableprep.llm import exact_dedup, language_id, mixing, quality_outliers, sentencepiece_dropout, toxicity
 from tableprep.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_dropout.encode(read(spark, sf_dir, "documents"))
+
+
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers.judge(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -45,6 +53,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_quality_outliers": (op2_quality_outliers, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op7_mixing": (op7_mixing, None),
