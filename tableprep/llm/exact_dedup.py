@@ -117,17 +117,18 @@ def _unequal(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     normal = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.xxhash64(text).alias("text_hash"), normal.alias("text"))
+    # The number of members has no bound: texts and members meet by a shuffle at every size.
     texts = texts.join(
-        members, F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("row_hash"))
+        members.hint("merge"), F.col("text_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("row_hash"))
     ).dropDuplicates(["id", "row_hash"])
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / COMPARE_CHARS)))
     cut = texts.select("*", F.explode(cuts).alias("number"))
     cut = cut.withColumn("chunk", F.col("text").substr(F.col("number") * COMPARE_CHARS + 1, F.lit(COMPARE_CHARS))).drop("text")
-    salts = F.ceil(F.col("n_rows") / ROWS_PER_SALT)
+    salts = F.ceil(F.col("group_size") / ROWS_PER_SALT)
     mine = cut.where(~F.col("stays")).withColumn("salt", F.pmod(F.xxhash64("id", "row_hash"), salts))
     theirs = cut.where(F.col("stays")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     theirs = theirs.select(*GROUP, "salt", "number", F.col("chunk").alias("staying"))
-    met = mine.join(theirs, [*GROUP, "salt", "number"], "left")
+    met = mine.join(theirs.hint("merge"), [*GROUP, "salt", "number"], "left")
     return met.where(~F.col("chunk").eqNullSafe(F.col("staying"))).select("id", "row_hash").distinct()
 
 
@@ -145,13 +146,14 @@ def exact_groups(
     rows = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "fingerprints")
     split = 0
     while True:
-        groups = rows.where(F.col("split") == split).groupBy(*GROUP).agg(
-            F.max("id").alias("keep_id"), F.count("*").alias("distinct_rows"), F.sum("copies").alias("n_rows"),
+        groups = rows.groupBy(*GROUP).agg(
+            F.max("id").alias("keep_id"), F.count("*").alias("distinct_rows"), F.sum("copies").alias("group_size"),
             F.max_by("row_hash", F.struct("id", "row_hash")).alias("keep_hash"),
         )
-        several = groups.where("distinct_rows > 1")
+        groups = materialize(groups, "print-groups").hint("merge")
         stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
-        members = rows.join(several, GROUP).select("id", "row_hash", *GROUP, "n_rows", stays.alias("stays"))
+        several = groups.where((F.col("distinct_rows") > 1) & (F.col("split") == split))
+        members = rows.join(several, GROUP).select("id", "row_hash", *GROUP, "group_size", stays.alias("stays"))
         other = materialize(_unequal(docs, materialize(members, "equal-prints"), id_col, text_col), "unequal-texts")
         if other.isEmpty():
             break
@@ -161,12 +163,7 @@ def exact_groups(
             other, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("row_hash") == F.col("other_hash")), "left"
         ).select(*[c for c in rows.columns if c != "split"], F.coalesce("next", "split").alias("split"))
         rows = materialize(rows, "fingerprints")
-    groups = rows.groupBy(*GROUP).agg(
-        F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"),
-        F.max_by("row_hash", F.struct("id", "row_hash")).alias("keep_hash"),
-    )
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
     return rows.join(groups, GROUP).select("*", copy.alias("copy")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (stays & (F.col("copy") == 1)).alias("kept"), "text_sha256", "row_hash"
     )
@@ -179,7 +176,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = materialize(gone, "exact-gone").select(F.col(id_col).alias("__gone_id"), F.col("row_hash").alias("__gone_hash"), "any")
     mine = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (mine == F.col("__gone_hash"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(gone.hint("merge"), same, "left_anti")
     repeated = gone.where("any")
     if repeated.isEmpty():
         return left

@@ -202,8 +202,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (mine == F.col("__hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = docs.join(times.where("__n = 1"), same).select(*own, repeat.alias("__copy")).drop("__copy")
+    mixed = docs.join(times.where("__n = 1").hint("merge"), same).select(*own, repeat.alias("__copy")).drop("__copy")
     if times.where("__n > 1").isEmpty():
         return mixed
-    several = docs.join(times.where("__n > 1"), same).dropDuplicates(["__id", "__hash", "__source"])
+    several = docs.join(times.where("__n > 1").hint("merge"), same).dropDuplicates(["__id", "__hash", "__source"])
     return mixed.unionByName(several.select(*own, repeat.alias("__copy")).drop("__copy"))
