@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import exact_dedup, language_id, mixing, quality_outliers, sentencepiece_dropout, toxicity
+from tableprep.llm import exact_dedup, language_id, mixing, preference_format, quality_outliers, sentencepiece_dropout, toxicity
 from tableprep.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,54 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.fit(docs).predict(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = preference_format.conversations(read(spark, sf_dir, "conversations"))
+    rows = preference_format.format_pairs(preference_format.swapped_replies(talks))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return rows.select(
+        "conv_id", "rejected_from", "status", "n_prompt_turns", "prompt", "chosen_text", "rejected_text",
+        written("chosen_mask").alias("chosen_mask"), written("rejected_mask").alias("rejected_mask"),
+    )
+
+
+OP5_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+        '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN pos END) AS last, md5(conv_id::VARCHAR) AS o FROM t GROUP BY conv_id),
+p AS (
+    SELECT c.conv_id, c.last, c.o, coalesce(string_agg(CASE WHEN pos < last THEN shown END, '' ORDER BY pos), '') AS prompt,
+        max(CASE WHEN pos = last THEN text END) AS reply,
+        ('0x' || substr(o, 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM c) / 1000.0))::BIGINT AS bucket
+    FROM c JOIN t USING (conv_id) GROUP BY ALL
+),
+r AS (
+    SELECT *, count(*) OVER w AS n, coalesce(lead(conv_id) OVER o, first(conv_id) OVER w) AS other,
+        coalesce(lead(reply) OVER o, first(reply) OVER w) AS wrong
+    FROM p WHERE last IS NOT NULL
+    WINDOW o AS (PARTITION BY bucket ORDER BY o, conv_id),
+        w AS (PARTITION BY bucket ORDER BY o, conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+),
+s AS (
+    SELECT *, CASE WHEN n = 1 THEN 'no_pair' WHEN reply = wrong THEN 'same' ELSE 'pair' END AS status,
+        length(prompt) + length('<|im_start|>assistant') + 1 AS begin_at
+    FROM r
+)
+SELECT conv_id, CASE WHEN n > 1 THEN other END AS rejected_from, status,
+    CASE status WHEN 'pair' THEN last - 1 WHEN 'same' THEN last END AS n_prompt_turns,
+    CASE WHEN status = 'pair' THEN prompt END AS prompt,
+    CASE WHEN status = 'pair' THEN '<|im_start|>assistant' || chr(10) || reply || '<|im_end|>' || chr(10) END AS chosen_text,
+    CASE WHEN status = 'pair' THEN '<|im_start|>assistant' || chr(10) || wrong || '<|im_end|>' || chr(10) END AS rejected_text,
+    CASE WHEN status = 'pair' THEN begin_at || '-' || (begin_at + length(reply) + length('<|im_end|>')) END AS chosen_mask,
+    CASE WHEN status = 'pair' THEN begin_at || '-' || (begin_at + length(wrong) + length('<|im_end|>')) END AS rejected_mask
+FROM s
+UNION ALL
+SELECT conv_id, NULL, 'no_pair', NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE last IS NULL
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("row_hash", "times")
 
@@ -57,6 +105,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_quality_outliers": (op2_quality_outliers, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
+    "op5_preference_format": (op5_preference_format, OP5_SQL),
     "op7_mixing": (op7_mixing, None),
     "op10_toxicity": (op10_toxicity, None),
 }
