@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import exact_dedup, language_id, mixing, preference_format, quality_outliers, sentencepiece_dropout, toxicity
+from tableprep.llm import exact_dedup, language_id, mixing, ngram_join, preference_format, quality_outliers, sentencepiece_dropout, toxicity
 from tableprep.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("row_hash", "times")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf_dir, "documents")).drop("row_hash")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -107,5 +111,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_language_id": (op4_language_id, None),
     "op5_preference_format": (op5_preference_format, OP5_SQL),
     "op7_mixing": (op7_mixing, None),
+    "op9_ngram_join": (op9_ngram_join, None),
     "op10_toxicity": (op10_toxicity, None),
 }
