@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import exact_dedup, language_id, mixing, ngram_join, preference_format, quality_outliers, sentencepiece_dropout, toxicity
+from tableprep.llm import exact_dedup, language_id, mixing, ngram_join, preference_format, quality_outliers, sentencepiece_dropout, suffix_dedup, toxicity
 from tableprep.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ SELECT conv_id, NULL, 'no_pair', NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("row_hash", "times")
 
@@ -110,6 +114,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_preference_format": (op5_preference_format, OP5_SQL),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_mixing": (op7_mixing, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_toxicity": (op10_toxicity, None),
