@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import exact_dedup, language_id, mixing, ngram_join, preference_format, quality_outliers, sentencepiece_dropout, suffix_dedup, toxicity
+from tableprep.llm import exact_dedup, html_wrapper, language_id, mixing, ngram_join, preference_format, quality_outliers, sentencepiece_dropout, suffix_dedup, toxicity
 from tableprep.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("row_hash", "times")
 
 
+def op8_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(read(spark, sf_dir, "documents")).drop("row_hash")
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_preference_format": (op5_preference_format, OP5_SQL),
     "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_mixing": (op7_mixing, None),
+    "op8_html_wrapper": (op8_html_wrapper, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_toxicity": (op10_toxicity, None),
 }
