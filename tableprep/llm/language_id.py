@@ -120,6 +120,18 @@ class LanguageModel:
         rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
         return rows.mapInArrow(predicted, f"`{id_col}` long, lang_pred string, score double")
 
+    def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows whose text has a language, with all their columns; those labelled `und` go."""
+        shared = docs.sparkSession.sparkContext.broadcast(self)
+        place = docs.columns.index(text_col)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                labels, _ = shared.value.label(batch.column(place).to_pylist())
+                yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
+
+        return docs.mapInArrow(kept, docs.schema)
+
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
