@@ -42,9 +42,9 @@ class _Alphabet:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the texts, and the places where each text's begin."""
-    joined = "\x00\x00".join(t.lower() for t in texts) + "\x00\x00"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
+    lowered = ["\x00" + t.lower() + "\x00\x00" for t in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(texts)))])
     letter = _Alphabet.letters()[points]
     points = np.where(letter, points, np.uint32(32))
     first, second, third = points[:-2], points[1:-1], points[2:]
@@ -56,8 +56,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashed = np.empty((len(first), 2), np.int32)
     hashed[:, 0] = np.where(pair_on, np.maximum((mix * np.uint32(0x165667B1)) >> shift, 1), 0)
     hashed[:, 1] = np.where(triple_on, np.maximum((triple ^ (triple >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> shift, 1), 0)
-    places = np.minimum(np.concatenate([[0], np.cumsum(lengths)]), len(first))
-    return hashed, places
+    hashed[places[1:-1] - 1] = 0  # those would reach into the next text
+    return hashed, np.minimum(places, len(first))
 
 
 def _portions(texts: list[str | None]) -> Iterator[list[str]]:

@@ -55,23 +55,34 @@ def fit_quota(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     whole = int((lengths * counts).sum())
     if budget <= 0 or whole == 0:
         return quota
-    share = counts * (budget / whole)
+    best, off = quota, budget
+    # The less is spent in proportion, the more the knapsack can choose from; small budgets are left to it whole.
+    for part in (1.0, 0.98, 0.8, 0.0):
+        quota, rest = _in_proportion(lengths, counts, budget, counts * (budget / whole) * part)
+        if rest <= KNAPSACK:
+            quota = quota + _knapsack(lengths, counts - quota, rest)
+            rest = budget - int((quota * lengths).sum())
+        if rest < off:
+            best, off = quota, rest
+        if off == 0:
+            break
+    return best
+
+
+def _in_proportion(lengths: np.ndarray, counts: np.ndarray, budget: int, share: np.ndarray) -> tuple[np.ndarray, int]:
+    """Quotas near `share`, topped up by the largest fractions until what is left of the budget fits the knapsack."""
     quota = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((quota * lengths).sum())
     order = np.lexsort((lengths, -(share - np.floor(share))))
-    for i in order:
-        if rest <= KNAPSACK:
-            break
-        take = min(int(counts[i] - quota[i]), 1 if rest > lengths[i] else 0)
-        quota[i] += take
-        rest -= take * int(lengths[i])
-    for i in order:
-        if rest <= KNAPSACK:
-            break
-        take = min(int(counts[i] - quota[i]), max(0, (rest - KNAPSACK // 2) // int(lengths[i])))
-        quota[i] += take
-        rest -= take * int(lengths[i])
-    return quota + _knapsack(lengths, counts - quota, rest) if rest <= KNAPSACK else quota
+    for most in (1, None):
+        for i in order:
+            if rest <= KNAPSACK:
+                return quota, rest
+            room = max(0, (rest - KNAPSACK // 2) // int(lengths[i]))
+            take = min(int(counts[i] - quota[i]), room if most is None else min(most, room))
+            quota[i] += take
+            rest -= take * int(lengths[i])
+    return quota, rest
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
