@@ -206,7 +206,7 @@ class PieceModel:
         firsts = np.flatnonzero(begins)
         sizes = np.diff(np.append(firsts, len(symbols)))
         owner = np.searchsorted(bounds, firsts, side="right") - 1
-        keys = _mixed(_mixed(text_keys[owner] + _U(seed)) + (firsts - bounds[owner]).astype(_U))
+        keys = _mixed(_mixed(text_keys[owner] + _mixed(np.array([seed], np.int64).view(_U))) + (firsts - bounds[owner]).astype(_U))
         counts = np.ones(len(firsts), np.int64)
         placed: list[tuple[np.ndarray, np.ndarray]] = []  # (units, tokens of each unit padded with -1)
         unknown = np.flatnonzero(other[firsts])
