@@ -31,8 +31,8 @@ STEPS = 4
 CONSISTENCY = 1.41
 # Spread of each dimension below which differences mean nothing; also keeps the covariance regular.
 FLOORS = (0.5, 0.08, 0.25, 0.25, 0.08)
-# Squared distance beyond which a text is rejected; a chi-square of five degrees exceeds it once in a million texts.
-CUTOFF = 36.0
+# Squared distance beyond which a text is rejected: eight spreads, as transformed statistics have long tails.
+CUTOFF = 64.0
 LEAST_ROWS = 50  # smaller groups are judged together
 BINS, BINS_PER_FOLD = 4096, 64.0
 
