@@ -96,13 +96,22 @@ def encode_onehot_vector(s, d):
     from pyspark.ml.functions import vector_to_array
 
     df = read(s, d, "part").select("p_partkey", "p_brand")
-    encoded = encode.fit_one_hot(df, "p_brand", limit=10).apply(df)
+    encoded = encode.fit_one_hot(df, "p_brand", output="vector").apply(df)
     spots = F.posexplode(vector_to_array("p_brand_vector"))
     return encoded.select("p_partkey", spots.alias("category_index", "flag")).where("flag > 0").groupBy("category_index").agg(
         F.count(F.lit(1)).alias("parts")
     ).select(F.col("category_index").cast("bigint").alias("category_index"), "parts")
 
 
+def encode_clashing(s, d):
+    """Two columns encoded in a table whose own columns bear the names that encoders use inside."""
+    df = read(s, d, "customer").selectExpr(
+        "c_custkey", "c_mktsegment AS category", "c_nationkey AS fold", "c_name AS share", "c_acctbal AS encoded", "c_mktsegment AS n"
+    )
+    df = encode.fit_frequency(df, "category").apply(df)
+    return encode.fit_ordinal(df, "share").apply(df).withColumn("category", F.round("category", 6))
+
+
 def encode_ordinal(s, d):
     df = read(s, d, "part").select("p_partkey", "p_brand")
     return encode.fit_ordinal(df, "p_brand").apply(df)
@@ -402,6 +411,11 @@ QUERIES = {
         encode_onehot_vector,
         "SELECT r - 1 AS category_index, n AS parts FROM (SELECT row_number() OVER (ORDER BY p_brand) AS r, count(*) AS n FROM part GROUP BY p_brand)",
     ),
+    "encode_clashing": (
+        encode_clashing,
+        "SELECT c_custkey, round(count(*) OVER (PARTITION BY c_mktsegment)::DOUBLE / count(*) OVER (), 6) AS category, c_nationkey AS fold, "
+        "dense_rank() OVER (ORDER BY c_name) - 1 AS share, c_acctbal AS encoded, c_mktsegment AS n FROM customer",
+    ),
     "encode_ordinal": (encode_ordinal, "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand FROM part"),
     "encode_frequency": (
         encode_frequency,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh_name(taken: Iterable[str], base: str) -> str:
+    """A column name for internal use that none of `taken` has, letter case aside."""
+    low = {t.lower() for t in taken}
+    name, n = f"__{base}", 0
+    while name.lower() in low:
+        n += 1
+        name = f"__{base}_{n}"
+    return name
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN counted as missing."""
     column = quoted(name)

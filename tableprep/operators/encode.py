@@ -6,13 +6,13 @@ from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableprep.functions.columns import quoted
+from tableprep.functions.columns import fresh_name, quoted
 from tableprep.functions.hashing import draw, fast_bucket, text_bucket
 from tableprep.functions.joins import BROADCAST_ROWS, is_small, lookup
 from tableprep.operators.fitted import Fitted, fact
 from tableprep.session import materialize
 
-ONE_HOT_COLUMNS = 100
+ONE_HOT_COLUMNS = 1000
 
 
 def category_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
@@ -25,10 +25,11 @@ def category_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     return {c: counted.where(F.col("part") == i).drop("part") for i, c in enumerate(columns)}
 
 
-def _by_text(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """Look the column's text up in a table keyed by category."""
-    keyed = rows.withColumn("category", quoted(column).cast("string"))
-    return lookup(keyed, table, ["category"], weight="n").drop("category")
+def _by_text(rows: DataFrame, table: DataFrame, column: str, value: str) -> tuple[DataFrame, str]:
+    """Look the column's text up in a table keyed by category: rows with its `value`, under a name they don't use."""
+    name = fresh_name(rows.columns, value)
+    side = table.select("category", "n", F.col(value).alias(name))
+    return lookup(rows, side, {"category": quoted(column).cast("string")}, weight="n"), name
 
 
 def _unseen(known: Column, handle_unknown: str, column: str, default: Column) -> Column:
@@ -38,18 +39,28 @@ def _unseen(known: Column, handle_unknown: str, column: str, default: Column) ->
     return F.coalesce(known, default)
 
 
-def fit_one_hot(df: DataFrame, column: str, counts: DataFrame | None = None, *, handle_unknown: str = "ignore", limit: int = ONE_HOT_COLUMNS) -> Fitted:
-    """A 0/1 column per category up to `limit` categories, beyond that one sparse vector column.
+def fit_one_hot(
+    df: DataFrame, column: str, counts: DataFrame | None = None, *, handle_unknown: str = "ignore", output: str = "columns", limit: int = ONE_HOT_COLUMNS
+) -> Fitted:
+    """`columns`: a 0/1 column per category; `vector`: one sparse vector column. The form is the caller's choice at
+    every size; more categories than `limit` cannot be columns, which is an error.
 
     Values not seen when fitting become all zeros.
     """
     counts = category_counts(df, [column])[column] if counts is None else counts
-    if not is_small(counts, limit):
+    if output == "vector":
         return _one_hot_vector(counts, column, handle_unknown)
-    categories = [r["category"] for r in counts.orderBy("category").select("category").collect()]
+    if output != "columns":
+        raise ValueError(f"one_hot output is columns or vector, not {output}")
+    found = counts.select("category").limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} categories: ask for output vector")
+    categories = sorted((r["category"] for r in found), key=lambda c: c.encode())
     names = [f"{column}_{c}" for c in categories]
 
     def apply(rows: DataFrame) -> DataFrame:
+        if clash := set(names) & set(rows.columns):
+            raise ValueError(f"one-hot columns exist already: {sorted(clash)}")
         value = quoted(column).cast("string")
         if handle_unknown == "error":
             known = F.when(value.isin(*categories), value)
@@ -65,12 +76,12 @@ def _one_hot_vector(counts: DataFrame, column: str, handle_unknown: str) -> Fitt
     size = index.count()
 
     def apply(rows: DataFrame) -> DataFrame:
-        found = _by_text(rows, index, column)
-        spot = _unseen(F.col("category_index"), handle_unknown, column, F.lit(size))
-        placed = found.withColumn("category_index", spot.cast("double"))
-        encoder = OneHotEncoder(inputCol="category_index", outputCol=f"{column}_vector", dropLast=True)
-        width = rows.sparkSession.range(size, size + 1).select(F.col("id").cast("double").alias("category_index"))
-        return encoder.fit(width).transform(placed).drop("category_index", column)
+        found, name = _by_text(rows, index, column, "category_index")
+        spot = _unseen(quoted(name), handle_unknown, column, F.lit(size))
+        placed = found.withColumn(name, spot.cast("double"))
+        encoder = OneHotEncoder(inputCol=name, outputCol=f"{column}_vector", dropLast=True)
+        width = rows.sparkSession.range(size, size + 1).select(F.col("id").cast("double").alias(name))
+        return encoder.fit(width).transform(placed).drop(name, column)
 
     return Fitted(apply, [fact(column, "one_hot", "categories", size)], {f"one_hot_{column}": index}, {column: [f"{column}_vector"]})
 
@@ -100,9 +111,9 @@ def fit_ordinal(df: DataFrame, column: str, counts: DataFrame | None = None, *,
     index = category_index(counts)
 
     def apply(rows: DataFrame) -> DataFrame:
-        found = _by_text(rows, index, column)
-        number = _unseen(F.col("category_index"), handle_unknown, column, F.lit(-1).cast("bigint"))
-        return found.withColumn(column, number).drop("category_index")
+        found, name = _by_text(rows, index, column, "category_index")
+        number = _unseen(quoted(name), handle_unknown, column, F.lit(-1).cast("bigint"))
+        return found.withColumn(column, number).drop(name)
 
     return Fitted(apply, [fact(column, "ordinal", "unseen", -1)], {f"ordinal_{column}": index}, {column: [column]})
 
@@ -114,8 +125,8 @@ def fit_frequency(df: DataFrame, column: str, counts: DataFrame | None = None) -
     table = counts.withColumn("share", F.col("n") / F.lit(max(total, 1)).cast("double"))
 
     def apply(rows: DataFrame) -> DataFrame:
-        found = _by_text(rows, table, column)
-        return found.withColumn(column, F.coalesce("share", F.lit(0.0))).drop("share")
+        found, name = _by_text(rows, table, column, "share")
+        return found.withColumn(column, F.coalesce(quoted(name), F.lit(0.0))).drop(name)
 
     return Fitted(apply, [fact(column, "frequency", "rows", total)], {f"frequency_{column}": table}, {column: [column]})
 
@@ -157,9 +168,10 @@ def fit_target(
 
     def apply(rows: DataFrame) -> DataFrame:
         mine = fold if in_training is None else F.when(in_training, fold).otherwise(-1)
-        keyed = rows.withColumns({"category": quoted(column).cast("string"), "fold": mine})
-        found = lookup(keyed, table, ["category", "fold"], weight="n")
-        return found.withColumn(column, F.coalesce("encoded", F.lit(overall))).drop("encoded", "category", "fold")
+        name = fresh_name(rows.columns, "encoded")
+        side = table.withColumnRenamed("encoded", name)
+        found = lookup(rows, side, {"category": quoted(column).cast("string"), "fold": mine}, weight="n")
+        return found.withColumn(column, F.coalesce(quoted(name), F.lit(overall))).drop(name)
 
     facts = [fact(column, "target", "overall_mean", overall), fact(column, "target", "smoothing", smoothing)]
     return Fitted(apply, facts, {f"target_{column}": table}, {column: [column]})
