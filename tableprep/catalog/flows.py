@@ -5,36 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableprep.catalog.common import EVENTS_GAPS, LABELLED, TABLES, events_with_gaps, labelled_documents, read
-from tableprep.operators import remedies
+from tableprep.catalog.transforms import SEGMENTS
+from tableprep.operators import profile, remedies, text
 from tableprep.plans import assess, execute
 from tableprep.operators.roles import Task
 from tableprep.session import scratch_path
 from tableprep.sources import sinks, tables
 
-ORDER_COLUMNS = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-ORDERS = f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders"
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+ORDER_TYPES = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+ORDERS = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"
+)
 
 
 def orders(s, d):
     return read(s, d, "orders").select(*ORDER_COLUMNS)
 
 
+def _dated(df):
+    """Orders with their date, which must have been read as a time, as text that all engines write alike."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "o_orderdate" else F.col(c) for c in ORDER_COLUMNS])
+
+
+def scan_csv_gaps(s, d):
+    """Gaps written as NA and the like, quoted line breaks, quotes and separators in texts."""
+    path = scratch_path(s, "documents") + ".csv"
+    gaps = F.when(F.col("doc_id") % 3 == 0, "NA").when(F.col("doc_id") % 3 == 1, "null").otherwise("N/A")
+    rows = read(s, d, "documents").select(
+        "doc_id", F.concat(F.lit('"a", '), "text").alias("text"), F.when(F.col("lang") == "es", gaps).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("n_chars") % 5 == 0, gaps).otherwise(F.col("n_chars").cast("string")).alias("n_chars"),
+    )
+    rows.write.options(header=True, escape='"').csv(path)
+    return tables.load_table(s, path).withColumn("n_chars", F.col("n_chars") + 1)
+
+
+def scan_csv_profile(s, d):
+    """The profile of a table that went through a delimited file."""
+    path = scratch_path(s, "customer") + ".csv"
+    read(s, d, "customer").write.options(header=True, escape='"').csv(path)
+    rows = profile.column_profile(tables.load_table(s, path), "customer")
+    return rows.select("name", "type_class", "non_null_count", "missing_count", "unique_count", F.round("num_mean", 4).alias("num_mean"))
+
+
 def scan_csv(s, d):
     path = scratch_path(s, "orders") + ".csv"
     orders(s, d).write.option("header", True).csv(path)
-    return tables.load_table(s, path)
+    return _dated(tables.load_table(s, path))
 
 
 def scan_tsv(s, d):
     path = scratch_path(s, "orders") + ".tsv"
     orders(s, d).write.options(header=True, sep="\t").csv(path)
-    return tables.load_table(s, path)
+    return _dated(tables.load_table(s, path))
 
 
 def scan_txt_semicolon(s, d):
     path = scratch_path(s, "orders") + ".txt"
     orders(s, d).write.options(header=True, sep=";").csv(path)
-    return tables.load_table(s, path, sep=";", schema="o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    return _dated(tables.load_table(s, path, sep=";", schema=ORDER_TYPES))
 
 
 def scan_json(s, d):
@@ -42,13 +71,13 @@ def scan_json(s, d):
     path = scratch_path(s, "orders") + ".json"
     grouped = orders(s, d).groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.collect_list(F.struct(*ORDER_COLUMNS)).alias("rows"))
     grouped.select("part", F.to_json("rows").alias("value")).write.partitionBy("part").text(path)
-    return tables.load_table(s, path).select(*ORDER_COLUMNS)
+    return _dated(tables.load_table(s, path))
 
 
 def scan_jsonl(s, d):
     path = scratch_path(s, "orders") + ".jsonl"
     orders(s, d).write.json(path)
-    return tables.load_table(s, path).select(*ORDER_COLUMNS)
+    return _dated(tables.load_table(s, path))
 
 
 def scan_parquet(s, d):
@@ -160,6 +189,117 @@ def plan_apply_events(s, d):
     )
 
 
+def _document_plan(**changes):
+    return {
+        "plan_name": "documents", "status": "executable", "task_type": "classification", "input_files": ["documents.parquet"],
+        "target_column": "source", "id_columns": ["doc_id"], "feature_columns": ["lang", "n_chars", "text"], "split_strategy": {"strategy": "none"},
+        "output_artifacts": [{"artifact_type": "full_processed_data", "path": "documents"}], **changes,
+    }
+
+
+def plan_apply_embedding(s, d):
+    """A plan whose text step joins vectors: the vectors stay in the result."""
+    plan = _document_plan(text_processing_plan=[{"columns": ["text"], "method": "embedding"}])
+    vectors = read(s, d, "embeddings")
+    done = execute.prepare(
+        read(s, d, "documents"), plan,
+        functions={"embedding": lambda df: text.join_embeddings(df, vectors, "doc_id", "vec_id", "embedding").drop("text")},
+    )
+    return done.rows.groupBy("lang", "source", "split").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count("embedding").alias("vectors"), F.sum("n_chars").alias("n_chars"),
+        F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("first"),
+    )
+
+
+def plan_apply_drops(s, d):
+    """Every way a plan can drop a feature but the date one."""
+    plan = _document_plan(
+        missing_value_plan=[{"columns": ["n_chars"], "strategy": "drop_column"}], categorical_encoding_plan=[{"columns": ["lang"], "encoding": "drop"}],
+        text_processing_plan=[{"columns": ["text"], "method": "drop"}], feature_columns=["lang", "n_chars", "text", "doc_id"], id_columns=[],
+    )
+    return execute.prepare(read(s, d, "documents"), plan).rows
+
+
+def plan_apply_custom(s, d):
+    """A user's own step in every family; what the steps make stays in the result."""
+    plan = _document_plan(
+        missing_value_plan=[{"columns": ["n_chars"], "strategy": "custom"}], categorical_encoding_plan=[{"columns": ["lang"], "encoding": "custom"}],
+        numeric_scaling_plan=[{"columns": ["n_chars"], "scaling": "custom"}], text_processing_plan=[{"columns": ["text"], "method": "custom"}],
+    )
+    functions = {
+        "missing_value_plan": lambda df: df.withColumn("even", F.col("n_chars") % 2 == 0),
+        "categorical_encoding_plan": lambda df: df.withColumn("lang", F.upper("lang")),
+        "numeric_scaling_plan": lambda df: df.withColumn("n_chars", F.col("n_chars") * 2),
+        "text_processing_plan": lambda df: df.withColumn("bytes", F.octet_length("text")).drop("text"),
+    }
+    return execute.prepare(read(s, d, "documents"), plan, functions=functions).rows
+
+
+def plan_apply_dates(s, d):
+    """Dropped and custom date columns."""
+    plan = {
+        "plan_name": "orders", "status": "executable", "task_type": "classification", "input_files": ["orders.parquet"], "target_column": "o_orderstatus",
+        "feature_columns": ["o_orderkey", "o_orderdate", "shipped"], "split_strategy": {"strategy": "none"},
+        "datetime_processing_plan": [{"columns": ["o_orderdate"], "method": "custom"}, {"columns": ["shipped"], "method": "drop"}],
+        "output_artifacts": [{"artifact_type": "full_processed_data", "path": "orders"}],
+    }
+    own = {"datetime_processing_plan": lambda df: df.withColumn("o_year", F.year("o_orderdate")).drop("o_orderdate")}
+    return execute.prepare(read(s, d, "orders").withColumn("shipped", F.col("o_orderdate")), plan, functions=own).rows
+
+
+def plan_apply_renamed(s, d):
+    """A renamed feature is encoded under its new name."""
+    plan = {
+        "plan_name": "customers", "status": "executable", "task_type": "regression", "input_files": ["customer.parquet"], "target_column": "c_acctbal",
+        "feature_columns": ["c_custkey", "c_mktsegment"], "split_strategy": {"strategy": "none"},
+        "column_actions": [{"columns": ["c_mktsegment"], "action": "rename", "params": {"c_mktsegment": "segment"}}],
+        "categorical_encoding_plan": [{"columns": ["c_mktsegment"], "encoding": "one_hot"}],
+        "output_artifacts": [{"artifact_type": "full_processed_data", "path": "customers"}],
+    }
+    return execute.prepare(read(s, d, "customer"), plan).rows
+
+
+def _event_plan(**changes):
+    return {
+        "plan_name": "events", "status": "executable", "task_type": "forecasting", "input_files": ["events.parquet"], "target_column": "value",
+        "time_column": "ts", "id_columns": ["user_id"], "drop_columns": ["user_id", "props"], "feature_columns": ["event_type"],
+        "split_strategy": {"strategy": "time_based", "time_column": "ts", "train_size": 0.8, "test_size": 0.2},
+        "output_artifacts": [{"artifact_type": "full_processed_data", "path": "events"}], **changes,
+    }
+
+
+def _filled_events(direction):
+    def query(s, d):
+        plan = _event_plan(missing_value_plan=[{"columns": ["value"], "strategy": direction}])
+        done = execute.prepare(events_with_gaps(s, d).withColumn("props", F.lit("")), plan, key=["event_id"])
+        return done.rows.groupBy("split", "event_type").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count("value").alias("known"), F.round(F.sum("value"), 3).alias("total"),
+            F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"),
+        )
+
+    return query
+
+
+def _filled_sql(partition, order):
+    return (
+        f"WITH e AS (SELECT event_id, ts, user_id, event_type, {EVENTS_GAPS} AS value FROM events), "
+        "c AS (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.8) AS cut FROM e), "
+        "t AS (SELECT *, CASE WHEN epoch_us(ts) <= cut THEN 'train' ELSE 'test' END AS split FROM e, c), "
+        f"f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t) "
+        "SELECT split, event_type, count(*) AS row_count, count(filled) AS known, round(sum(filled), 3) AS total, "
+        "strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM f GROUP BY split, event_type"
+    )
+
+
+def plan_apply_resample(s, d):
+    """A resampled plan keeps its entities, times and aggregates."""
+    plan = _event_plan(
+        split_strategy={"strategy": "none"},
+        datetime_processing_plan=[{"columns": ["ts"], "method": "resample", "params": {"unit": "day", "aggregates": {"events": "count(*)", "highest": "max(value)"}}}],
+    )
+    return execute.prepare(read(s, d, "events"), plan).rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
+
+
 def feature_report(s, d):
     done = execute.prepare(labelled(s, d), labelled_plan(s, d))
     return sinks.feature_report(s, done.steps, done.rows).where("source_column <> 'source'")
@@ -191,6 +331,18 @@ def artifact_inventory(s, d):
 
 QUERIES = {
     "scan_csv": (scan_csv, ORDERS),
+    "scan_csv_gaps": (
+        scan_csv_gaps,
+        "SELECT doc_id, '\"a\", ' || text AS text, CASE WHEN lang <> 'es' THEN lang END AS lang, CASE WHEN n_chars % 5 <> 0 THEN n_chars + 1 END AS n_chars FROM documents",
+    ),
+    "scan_csv_profile": (
+        scan_csv_profile,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS name, '{kind}' AS type_class, count({c}) AS non_null_count, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count, "
+            f"{f'round(avg({c}), 4)' if kind in ('integer', 'float') else 'NULL'}::DOUBLE AS num_mean FROM customer"
+            for c, kind in TABLES["customer"]
+        ),
+    ),
     "scan_tsv": (scan_tsv, ORDERS),
     "scan_txt_semicolon": (scan_txt_semicolon, ORDERS),
     "scan_json": (scan_json, ORDERS),
@@ -243,6 +395,27 @@ QUERIES = {
         "q AS (SELECT event_type, count(*)::DOUBLE / (SELECT count(*) FROM f WHERE split = 'train') AS share FROM f WHERE split = 'train' GROUP BY event_type) "
         "SELECT split, count(*) AS row_count, count(filled) AS known, round(sum(filled), 3) AS total, round(avg(share), 6) AS mean_share FROM f JOIN q USING (event_type) GROUP BY split",
     ),
+    "plan_apply_embedding": (
+        plan_apply_embedding,
+        "SELECT lang, source, 'full' AS split, count(*) AS row_count, count(embedding) AS vectors, sum(n_chars)::BIGINT AS n_chars, "
+        "round(sum(embedding[1]::DOUBLE), 4) AS first FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY lang, source",
+    ),
+    "plan_apply_drops": (plan_apply_drops, "SELECT doc_id, source, 'full' AS split FROM documents"),
+    "plan_apply_custom": (
+        plan_apply_custom,
+        "SELECT upper(lang) AS lang, n_chars * 2 AS n_chars, n_chars % 2 = 0 AS even, strlen(text) AS bytes, source, 'full' AS split FROM documents",
+    ),
+    "plan_apply_dates": (plan_apply_dates, "SELECT o_orderkey, year(o_orderdate)::INT AS o_year, o_orderstatus, 'full' AS split FROM orders"),
+    "plan_apply_renamed": (
+        plan_apply_renamed,
+        "SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{v}')::INT AS segment_{v}" for v in SEGMENTS) + ", c_acctbal, 'full' AS split FROM customer",
+    ),
+    "plan_apply_ffill_dropped_ids": (_filled_events("ffill"), _filled_sql("user_id", "ts")),
+    "plan_apply_bfill_split": (_filled_events("bfill"), _filled_sql("user_id, split", "ts DESC")),
+    "plan_apply_resample": (
+        plan_apply_resample,
+        "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS ts, count(*) AS events, max(value) AS highest, 'full' AS split FROM events GROUP BY user_id, date_trunc('day', ts)",
+    ),
     "feature_report": (
         feature_report,
         "SELECT 'lang_' || lang AS feature, 'lang' AS source_column, 'one_hot' AS transform, 'int' AS data_type FROM "

@@ -6,6 +6,11 @@ thresholds, vocabularies and message texts that results must carry literally.
 
 # ---- fixed values: file suffixes that a table may have ----
 CSV_SUFFIXES = (".csv",)
+# Texts that mean a missing value in delimited files.
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+)
 TAB_SUFFIXES = (".tsv", ".txt")
 JSON_SUFFIXES = (".json",)
 JSON_LINES_SUFFIXES = (".jsonl", ".ndjson")

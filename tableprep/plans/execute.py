@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
@@ -73,59 +73,112 @@ def prepare(
         "datetime_processing_plan", "column_actions",
     )}
     key = list(key or plan.get("id_columns") or df.columns)
-    guarded = {"__key": F.struct(*[quoted(k) for k in key])}
-    rows = df.withColumns(guarded)
+    work = _Work(df.withColumn(KEY, F.struct(*[quoted(k) for k in key])), plan, functions)
     split_spec = plan.get("split_strategy") or {"strategy": "none"}
-    needed = {split_spec.get("stratify_column"), split_spec.get("time_column"), plan.get("time_column")}
+    ids = list(plan.get("id_columns") or [])
+    needed = {split_spec.get("stratify_column"), split_spec.get("time_column"), plan.get("time_column"), *ids}
 
-    rows = rows.drop(*[c for c in plan.get("drop_columns") or [] if c not in needed])
-    rows, failures = column_actions(rows, groups["column_actions"], functions)
+    # What orders or groups rows stays until the end, where only features, time and target are selected.
+    work.rows = work.rows.drop(*[c for c in work.pick(plan.get("drop_columns")) if c not in needed])
+    work.rows, failures = column_actions(work.rows, groups["column_actions"], functions, work.pick)
+    work.renamed = _renames(groups["column_actions"])
     for item in groups["missing_value_plan"]:
-        present = [c for c in item["columns"] if c in rows.columns]
+        present = work.pick(item["columns"])
         if item["strategy"] == "drop_rows":
-            rows = missing.drop_missing_rows(rows, present)
+            work.rows = missing.drop_missing_rows(work.rows, present)
         elif item["strategy"] == "drop_column":
-            rows = rows.drop(*present)
+            work.rows = work.rows.drop(*present)
 
-    names = [f"__key.{k}" for k in key]
-    rows = apply_split(rows, split_spec, names, functions)
-    steps: list[Fitted] = []
-
-    def run(step: Fitted) -> None:
-        nonlocal rows
-        steps.append(step)
-        rows = step.apply(rows)
-
-    def train() -> DataFrame:
-        return rows if split_spec["strategy"] == "none" else rows.where(F.col(SPLIT) == "train")
-
-    in_training = F.col(SPLIT) == "train"
-    _fill_gaps(run, train, groups["missing_value_plan"], plan, functions, lambda: rows)
+    names = [f"{KEY}.{k}" for k in key]
+    spec = {**split_spec, **{k: work.name(split_spec[k]) for k in ("stratify_column", "time_column") if split_spec.get(k)}}
+    work.rows = apply_split(work.rows, spec, names, functions)
+    work.whole = spec["strategy"] == "none"
+    _fill_gaps(work, groups["missing_value_plan"])
     for item in groups["categorical_encoding_plan"]:
-        _encode(run, train, item, plan, names, in_training, functions, split_spec, lambda: rows)
+        _encode(work, item, names)
     for item in groups["numeric_scaling_plan"]:
-        _scale(run, train, item, functions, lambda: rows)
+        _scale(work, item)
     for item in groups["text_processing_plan"]:
-        _text(run, train, item, functions, lambda: rows)
+        _text(work, item)
     sort_column = None
     for item in groups["datetime_processing_plan"]:
-        sort_column = _dates(run, item, functions, lambda: rows) or sort_column
+        sort_column = _dates(work, item) or sort_column
 
-    made = {s: n for step in steps for s, n in step.outputs.items()}
-    wanted: list[str] = []
+    made: dict[str, list[str]] = {}
+    for step in work.steps:
+        for source, now in step.outputs.items():
+            made[source] = [*now, *[c for c in made.get(source, []) if c != source and c not in now]]
+    wanted: list[str] = work.pick(ids) if work.resampled else []
     for c in plan.get("feature_columns") or []:
-        wanted += made.get(c, [c])
-    wanted += [c for c in (plan.get("time_column"), plan.get("target_column")) if c]
-    kept = [c for c in dict.fromkeys(wanted) if c in rows.columns]
-    return Prepared(rows.select(*[quoted(c) for c in kept], SPLIT), steps, plan, failures, sort_column)
+        wanted += made.get(work.name(c), work.pick([c]))
+    wanted += work.pick([c for c in (plan.get("time_column"), plan.get("target_column")) if c])
+    if work.resampled:
+        wanted += [c for step in work.steps for c in step.outputs.get(work.name(plan.get("time_column") or ""), [])]
+    kept = [c for c in dict.fromkeys(wanted) if c in work.rows.columns]
+    return Prepared(work.rows.select(*[quoted(c) for c in kept], SPLIT), work.steps, plan, failures, sort_column)
+
 
+KEY, ORDER = "__key", "__order"
 
-def column_actions(df: DataFrame, actions: list, functions: Mapping[str, Transform] | None = None) -> tuple[DataFrame, DataFrame | None]:
+
+def _renames(actions: list) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for item in actions:
+        params = item.get("params") or {}
+        if item["action"] == "rename":
+            out |= {c: params.get(c, params.get("to")) for c in item["columns"] if params.get(c, params.get("to"))}
+    return out
+
+
+class _Work:
+    """The rows on their way through a plan, and the steps so far."""
+
+    def __init__(self, rows: DataFrame, plan: Mapping[str, Any], functions: Mapping[str, Transform]):
+        self.rows, self.plan, self.functions = rows, plan, functions
+        self.steps: list[Fitted] = []
+        self.seen: set[str] = set(rows.columns)
+        self.renamed: dict[str, str] = {}
+        self.whole = self.resampled = False
+
+    def name(self, column: str) -> str:
+        """What a column of the plan is called now."""
+        return column if column in self.rows.columns else self.renamed.get(column, column)
+
+    def pick(self, columns: list[str] | None) -> list[str]:
+        """The columns as they are called now, without those the plan has dropped; unknown ones are an error."""
+        self.seen |= set(self.rows.columns)
+        names = [self.name(c) for c in columns or []]
+        if unknown := [c for c in names if c not in self.seen]:
+            raise ValueError(f"the plan names columns the table does not have: {unknown}")
+        return [c for c in names if c in self.rows.columns]
+
+    def run(self, step: Fitted, columns: list[str] | None = None) -> None:
+        """Apply a step. Of a user's own step on `columns`, whatever new columns it makes are its outputs."""
+        before = set(self.rows.columns)
+        self.seen |= before
+        self.rows = step.apply(self.rows)
+        self.steps.append(step)
+        if columns:
+            made = [c for c in self.rows.columns if c not in before]
+            step.outputs = {c: [c] if c in self.rows.columns else [] for c in columns}
+            step.outputs[columns[0]] += made
+
+    def custom(self, columns: list[str], function: Transform) -> None:
+        self.run(fitted.custom(columns, function), columns)
+
+    def train(self) -> DataFrame:
+        return self.rows if self.whole else self.rows.where(F.col(SPLIT) == "train")
+
+
+def column_actions(
+    df: DataFrame, actions: list, functions: Mapping[str, Transform] | None = None, pick: Callable[[list[str]], list[str]] | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """drop, rename (params: {old: new}) and cast (params: type); casts that fail become null and are counted."""
     failures: dict[str, Column] = {}
     source = df
     for item in actions:
-        names, params = [c for c in item["columns"] if c in df.columns], item.get("params") or {}
+        known = item["columns"] if pick is None else pick(item["columns"])
+        names, params = [c for c in known if c in df.columns], item.get("params") or {}
         if item["action"] == "drop":
             df = df.drop(*names)
         elif item["action"] == "rename":
@@ -168,107 +221,116 @@ def apply_split(df: DataFrame, spec: Mapping[str, Any], key: list[str], function
     return done.drop(*names)
 
 
-def _fill_gaps(run, train, items, plan, functions, rows) -> None:
+def _fill_gaps(work: _Work, items: list) -> None:
     statistics: dict[str, str] = {}
     constants: dict[str, Any] = {}
     for item in items:
-        names = [c for c in item["columns"] if c in rows().columns]
+        names = work.pick(item["columns"])
         strategy = item["strategy"]
         if strategy in ("mean", "median", "mode", "constant"):
             statistics |= {c: strategy for c in names}
             constants |= {c: item.get("fill_value") for c in names}
         elif strategy in ("ffill", "bfill") and names:
-            if not plan.get("time_column"):
+            if not work.plan.get("time_column"):
                 raise ValueError(f"{strategy} needs a time_column to order the rows by")
-            order = [plan["time_column"]]
-            group = [c for c in plan.get("id_columns") or [] if c in rows().columns]
+            time = work.name(work.plan["time_column"])
+            # Rows of one time go by a hash of the key. No value crosses splits, but for those from the past where time splits.
+            past_only = strategy == "ffill" and (work.plan.get("split_strategy") or {}).get("strategy") == "time_based"
+            group = [*([] if past_only else [SPLIT]), *work.pick(work.plan.get("id_columns"))]
             fill = partial(
-                missing.fill_in_order, columns=names, order=order, key=group,
+                missing.fill_in_order, columns=names, order=[time, ORDER], key=group,
                 direction="forward" if strategy == "ffill" else "backward",
             )
-            run(Fitted(fill, [fitted.fact(c, strategy, "order", order[0]) for c in names], outputs={c: [c] for c in names}))
+            ordered = lambda df, fill=fill: fill(df.withColumn(ORDER, F.xxhash64(KEY))).drop(ORDER)
+            work.run(Fitted(ordered, [fitted.fact(c, strategy, "order", time) for c in names], outputs={c: [c] for c in names}))
         elif strategy == "custom":
-            run(fitted.custom(names, functions["missing_value_plan"]))
+            work.custom(names, work.functions["missing_value_plan"])
     if statistics:
-        run(missing.fit_fill(train(), statistics, constants))
+        work.run(missing.fit_fill(work.train(), statistics, constants))
 
 
-def _encode(run, train, item, plan, key, in_training, functions, split_spec, rows) -> None:
-    names, params = [c for c in item["columns"] if c in rows().columns], item.get("params") or {}
+def _encode(work: _Work, item: Mapping[str, Any], key: list[str]) -> None:
+    names, params = work.pick(item["columns"]), item.get("params") or {}
     method, unknown = item["encoding"], item.get("handle_unknown", "ignore")
     if method == "none" or not names:
         return
     if method == "drop":
-        run(fitted.dropped(names))
+        work.run(fitted.dropped(names))
     elif method == "custom":
-        run(fitted.custom(names, functions["categorical_encoding_plan"]))
+        work.custom(names, work.functions["categorical_encoding_plan"])
     elif method == "hashing":
-        run(encode.hashing(names, int(params.get("buckets", 256))))
+        work.run(encode.hashing(names, int(params.get("buckets", 256))))
     elif method == "target":
         flat = [f"__fold_{i}" for i in range(len(key))]
+        target = work.name(work.plan["target_column"])
         for c in names:
-            keyed = train().withColumns({n: F.col(k) for n, k in zip(flat, key)})
-            whole = None if split_spec["strategy"] == "none" else in_training
-            step = encode.fit_target(keyed, c, plan["target_column"], fold_key=flat, in_training=whole)
+            keyed = work.train().withColumns({n: F.col(k) for n, k in zip(flat, key)})
+            in_training = None if work.whole else F.col(SPLIT) == "train"
+            step = encode.fit_target(keyed, c, target, fold_key=flat, in_training=in_training)
             inner = step.apply
             step.apply = lambda df, inner=inner: inner(df.withColumns({n: F.col(k) for n, k in zip(flat, key)})).drop(*flat)
-            run(step)
+            work.run(step)
     else:
-        counts = encode.category_counts(train(), names)
-        base = train()
+        base = work.train()
+        counts = encode.category_counts(base, names)
         for c in names:
             if method == "one_hot":
-                run(encode.fit_one_hot(base, c, counts[c], handle_unknown=unknown))
+                output = params.get("output", "columns")
+                work.run(encode.fit_one_hot(base, c, counts[c], handle_unknown=unknown, output=output, limit=int(params.get("limit", encode.ONE_HOT_COLUMNS))))
             elif method == "ordinal":
-                run(encode.fit_ordinal(base, c, counts[c], handle_unknown=unknown))
+                work.run(encode.fit_ordinal(base, c, counts[c], handle_unknown=unknown))
             else:
-                run(encode.fit_frequency(base, c, counts[c]))
+                work.run(encode.fit_frequency(base, c, counts[c]))
 
 
-def _scale(run, train, item, functions, rows) -> None:
-    names = [c for c in item["columns"] if c in rows().columns]
+def _scale(work: _Work, item: Mapping[str, Any]) -> None:
+    names = work.pick(item["columns"])
     if item["scaling"] == "none" or not names:
         return
     if item["scaling"] == "custom":
-        run(fitted.custom(names, functions["numeric_scaling_plan"]))
+        work.custom(names, work.functions["numeric_scaling_plan"])
     else:
-        run(scale.fit_scaling(train(), names, item["scaling"]))
+        work.run(scale.fit_scaling(work.train(), names, item["scaling"]))
 
 
-def _text(run, train, item, functions, rows) -> None:
-    names = [c for c in item["columns"] if c in rows().columns]
+def _text(work: _Work, item: Mapping[str, Any]) -> None:
+    names, params = work.pick(item["columns"]), item.get("params") or {}
     if item["method"] == "none" or not names:
         return
     if item["method"] == "drop":
-        run(fitted.dropped(names))
+        work.run(fitted.dropped(names))
     elif item["method"] == "tfidf":
         for c in names:
-            run(text.fit_tfidf_vector(train(), c))
-    elif item["method"] in functions:
-        run(fitted.custom(names, functions[item["method"]]))
+            work.run(text.fit_tfidf_vector(work.train(), c, features=int(params.get("features", text.HASHED_FEATURES))))
     else:
-        run(fitted.custom(names, functions["text_processing_plan"]))
+        work.custom(names, work.functions.get(item["method"]) or work.functions["text_processing_plan"])
 
 
-def _dates(run, item, functions, rows) -> str | None:
-    names, params, method = [c for c in item["columns"] if c in rows().columns], item.get("params") or {}, item["method"]
+def _dates(work: _Work, item: Mapping[str, Any]) -> str | None:
+    names, params, method = work.pick(item["columns"]), item.get("params") or {}, item["method"]
     if method == "none" or not names:
         return None
     if method == "sort_index":
         return names[0]
     if method == "drop":
-        run(fitted.dropped(names))
+        work.run(fitted.dropped(names))
     elif method in ("extract_parts", "cyclical"):
         for c in names:
-            before = set(rows().columns)
+            before = set(work.rows.columns)
             unfold = dates.extract_parts if method == "extract_parts" else dates.cyclical
             step = Fitted(partial(unfold, column=c), [fitted.fact(c, method, "", None)])
-            run(step)
-            step.outputs[c] = [n for n in rows().columns if n not in before]
+            work.run(step)
+            step.outputs[c] = [n for n in work.rows.columns if n not in before]
     elif method == "resample":
+        time = names[0]
         aggregates = {a: F.expr(e) for a, e in params["aggregates"].items()}
-        run(Fitted(lambda df: dates.resample(df, names[0], params["unit"], aggregates, key=[SPLIT]).withColumnRenamed("bucket", names[0]),
-                   [fitted.fact(names[0], method, "unit", params["unit"])]))
+        entity = work.pick(work.plan.get("id_columns"))
+
+        def resampled(df: DataFrame) -> DataFrame:
+            return dates.resample(df, time, params["unit"], aggregates, key=[SPLIT, *entity]).withColumnRenamed("bucket", time)
+
+        work.resampled = True
+        work.run(Fitted(resampled, [fitted.fact(time, method, "unit", params["unit"])], outputs={time: [time, *aggregates]}))
     else:
-        run(fitted.custom(names, functions["datetime_processing_plan"]))
+        work.custom(names, work.functions["datetime_processing_plan"])
     return None

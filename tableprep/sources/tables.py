@@ -8,10 +8,12 @@ from pathlib import PurePosixPath
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableprep import fixed_values as fixed
+from tableprep.functions.columns import quoted
 
 SUFFIXES = (
     fixed.CSV_SUFFIXES + fixed.TAB_SUFFIXES + fixed.JSON_SUFFIXES + fixed.JSON_LINES_SUFFIXES + fixed.PARQUET_SUFFIXES
@@ -28,10 +30,42 @@ def charset(encoding: str) -> str:
     return "us-ascii" if name == "ascii" else name
 
 
-def load_table(spark: SparkSession, path: str, *, encoding: str = "utf-8", schema: str | None = None, **options: Any) -> DataFrame:
+# Kinds a column of texts is tried as, in order, with the shape its texts must have.
+_KINDS = (
+    ("int", r"^\s*[+-]?\d+\s*$"),
+    ("bigint", r"^\s*[+-]?\d+\s*$"),
+    ("double", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|Infinity)\s*$"),
+    ("boolean", r"^(?i)(true|false)$"),
+    ("date", r"^\d{4}-\d{2}-\d{2}$"),
+    ("timestamp", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
+)
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Every column of texts cast to the narrowest kind that all its values have; found by one aggregate."""
+
+    def fits(name: str, kind: str, shape: str) -> Column:
+        value = quoted(name)
+        return value.isNull() | (value.rlike(shape) & value.try_cast(kind).isNotNull())
+
+    checks = [F.bool_and(fits(c, k, s)) for c in df.columns for k, s in _KINDS]
+    found = list(df.agg(*[F.count(quoted(c)) for c in df.columns], *checks).first()) if df.columns else []
+    kinds: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        fitting = found[len(df.columns) + i * len(_KINDS) :][: len(_KINDS)]
+        kinds[c] = next((k for (k, _), ok in zip(_KINDS, fitting) if ok and found[i]), "string")
+    return df.select([quoted(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def load_table(
+    spark: SparkSession, path: str, *, encoding: str = "utf-8", schema: str | None = None,
+    missing: tuple[str, ...] | None = fixed.MISSING_TOKENS, **options: Any,
+) -> DataFrame:
     """A lazy table from a csv, tsv, txt, json, jsonl, ndjson or parquet path.
 
-    Options go to the Spark reader. A `schema` spares the pass that infers types.
+    Options go to the Spark reader. A `schema` spares the pass that infers types. In delimited files the texts in
+    `missing` (None: none) are missing values, and quoted line breaks belong to their value; `multiLine=False` reads
+    files without such breaks in splits, which large single files need.
     """
     suffix = suffix_of(path)
     if suffix not in SUFFIXES:
@@ -45,10 +79,14 @@ def load_table(spark: SparkSession, path: str, *, encoding: str = "utf-8", schem
             return reader.options(**{"multiLine": True, "encoding": encoding, **options}).json(path)
         if suffix in fixed.JSON_LINES_SUFFIXES:
             return reader.options(**{"encoding": encoding, **options}).json(path)
-        text = {"header": True, "encoding": encoding, "inferSchema": schema is None, "escape": '"', "multiLine": False}
+        layout = {"header": True, "encoding": encoding, "escape": '"', "multiLine": True}
         if suffix in fixed.TAB_SUFFIXES:
-            text["sep"] = "\t"
-        return reader.options(**{**text, **options}).csv(path)
+            layout["sep"] = "\t"
+        df = reader.options(**{**layout, **options}).csv(path)
+        texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+        if missing is not None:
+            df = df.select([F.when(~quoted(c).isin(*missing), quoted(c)).alias(c) if c in texts else quoted(c) for c in df.columns])
+        return typed(df) if schema is None and "inferSchema" not in options else df
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"Data file not found: {path}") from error

@@ -151,3 +151,50 @@ def test_content_hash_ignores_order(people):
     other = people.withColumn("churn", F.expr("CASE WHEN id = 3 THEN 7 ELSE churn END"))
     assert sinks.content_hash(people).first() != sinks.content_hash(other).first()
     assert sinks.content_hash(people.union(people)).first() != sinks.content_hash(people.limit(0)).first()
+
+
+def test_steps_keep_what_they_make(people):
+    plan = changed(
+        categorical_encoding_plan=[], numeric_scaling_plan=[], text_processing_plan=[{"columns": ["kind"], "method": "embedding"}],
+        missing_value_plan=[{"columns": ["age"], "strategy": "custom"}],
+    )
+    functions = {
+        "embedding": lambda df: df.withColumn("vector", F.array(F.lit(1.0))).drop("kind"),
+        "missing_value_plan": lambda df: df.withColumn("age_known", F.col("age").isNotNull()),
+    }
+    assert prepare(people, plan, functions=functions).rows.columns == ["age", "age_known", "vector", "churn", "split"]
+
+
+def test_renamed_features_stay_and_unknown_ones_raise(people):
+    renamed = changed(column_actions=[{"columns": ["kind"], "action": "rename", "params": {"kind": "sort"}}])
+    assert prepare(people, renamed).rows.columns == ["age", "sort_x", "sort_y", "churn", "split"]
+    for bad in ({"feature_columns": ["age", "colour"]}, {"numeric_scaling_plan": [{"columns": ["hight"], "scaling": "standard"}]}):
+        with pytest.raises(ValueError, match="does not have"):
+            prepare(people, changed(**bad))
+
+
+def test_fills_keep_to_entity_and_split(spark):
+    rows = [("b", i, None if i < 3 else 100.0 + i) for i in range(10)] + [("a", i, 1.0 + i if i != 7 else None) for i in range(10)]
+    df = spark.createDataFrame([(s, f"2024-01-{i + 1:02d}", v, i % 2) for s, i, v in rows], "store string, day string, v double, y int")
+    df = df.withColumn("day", F.to_timestamp("day"))
+    base = dict(
+        id_columns=["store"], drop_columns=["store"], feature_columns=["v"], target_column="y", time_column="day", categorical_encoding_plan=[],
+        numeric_scaling_plan=[], split_strategy={"strategy": "time_based", "time_column": "day", "train_size": 0.7, "test_size": 0.3},
+    )
+    ahead = changed(**base, missing_value_plan=[{"columns": ["v"], "strategy": "ffill"}])
+    got = {(r["v"], r["day"].day) for r in prepare(df, ahead, key=["store", "day"]).rows.collect() if r["v"] is None or r["v"] > 50}
+    assert {d for v, d in got if v is None} >= {1, 2, 3}
+    back = changed(**base, missing_value_plan=[{"columns": ["v"], "strategy": "bfill"}])
+    late = spark.createDataFrame([("a", f"2024-01-{i + 1:02d}", float(i) if i > 6 else None, 0) for i in range(10)], "store string, day string, v double, y int")
+    rows = prepare(late.withColumn("day", F.to_timestamp("day")), back, key=["store", "day"]).rows.collect()
+    assert all(r["v"] is None for r in rows if r["split"] == "train") and all(r["v"] is not None for r in rows if r["split"] == "test")
+
+
+def test_resampled_plans_keep_aggregates_and_entities(people):
+    plan = changed(
+        id_columns=["kind"], feature_columns=["age"], time_column="t", split_strategy={"strategy": "none"}, categorical_encoding_plan=[], numeric_scaling_plan=[],
+        datetime_processing_plan=[{"columns": ["t"], "method": "resample", "params": {"unit": "day", "aggregates": {"rows": "count(*)", "mean_age": "avg(age)"}}}],
+    )
+    done = prepare(people, plan, key=["id"]).rows
+    assert done.columns == ["kind", "t", "rows", "mean_age", "split"]
+    assert done.agg(F.sum("rows")).first()[0] == 200 and done.select("kind").distinct().count() == 2
