@@ -348,7 +348,10 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     named = _named(pages, id_col, url_col, html_col)
     counts = materialize(named.groupBy("host").agg(F.count("*").alias("n_pages")), "wrapper-hosts")
     draw = F.pmod(F.xxhash64(F.lit("wrapper"), "id"), F.lit(1 << 30))
-    keys = named.select("host", "id", draw.alias("draw")).join(counts.hint("merge"), "host")
+    # Salted: a busy host's pages must not meet its count in one task.
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    keys = named.select("host", "id", draw.alias("draw"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    keys = keys.join(counts.withColumn("salt", each).hint("merge"), ["host", "salt"])
     keys = keys.where(F.col("draw") * F.col("n_pages") < F.lit(4 * SAMPLE_PAGES * (1 << 30))).select("host", "id").distinct()
     keys = materialize(keys, "wrapper-sample")
 
