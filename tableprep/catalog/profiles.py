@@ -71,6 +71,23 @@ def top_values_orders(s, d):
     return profile.top_values(read(s, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", "o_orderdate"))
 
 
+def _long_texts(s, d):
+    """Whole documents and pages, many of which begin alike."""
+    pages = read(s, d, "pages").select("html", F.lit(None).cast("string").alias("text"))
+    return pages.unionByName(read(s, d, "documents").select("text", F.lit(None).cast("string").alias("html")))
+
+
+LONG_TEXTS = "(SELECT html, NULL::VARCHAR AS text FROM pages UNION ALL SELECT NULL, text FROM documents)"
+
+
+def top_values_documents(s, d):
+    return profile.top_values(_long_texts(s, d))
+
+
+def sample_values_documents(s, d):
+    return profile.sample_values(_long_texts(s, d))
+
+
 def sample_values_part(s, d):
     return profile.sample_values(read(s, d, "part").select("p_name", "p_brand", "p_type", "p_size"))
 
@@ -163,6 +180,8 @@ QUERIES = {
             "o_orderstatus": "{}", "o_orderpriority": "{}", "o_custkey": "{}::VARCHAR", "o_orderdate": iso_sql("v"),
         }, 10, "count(*) DESC, {0}"),
     ),
+    "top_values_documents": (top_values_documents, _ranked_sql(LONG_TEXTS, {"html": "{}", "text": "{}"}, 10, "count(*) DESC, {0}")),
+    "sample_values_documents": (sample_values_documents, _ranked_sql(LONG_TEXTS, {"html": "{}", "text": "{}"}, 5, "{0}")),
     "sample_values_part": (
         sample_values_part,
         _ranked_sql("part", {"p_name": "{}", "p_brand": "{}", "p_type": "{}", "p_size": "{}::VARCHAR"}, 5, "{0}"),

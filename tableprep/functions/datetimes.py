@@ -18,7 +18,7 @@ DATETIME_FORMATS = (
     ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
     ("yyyy", r"^\d{4}$"),
 )
-LONGEST = 32
+LONGEST = 32  # characters that any of these shapes can have
 EARLIEST, LATEST = "1677-09-22", "2262-04-11"
 
 
@@ -26,6 +26,5 @@ def parse_with(text: Column, position: int) -> Column:
     """The text as a timestamp by one format; null when it has another shape or is out of range."""
     pattern, shape = DATETIME_FORMATS[position]
     trimmed = F.trim(text)
-    fits = (F.length(text) <= LONGEST) & trimmed.rlike(shape)
-    stamp = F.when(fits, F.try_to_timestamp(trimmed, F.lit(pattern)))
+    stamp = F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(pattern)))
     return F.when(stamp.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp")), stamp)

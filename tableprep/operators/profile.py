@@ -4,15 +4,20 @@ One fused aggregate gives counts and numeric and time ranges. A second pass coun
 values: columns of one data type are unfolded to (position, value) rows and grouped, with partial
 aggregation before the shuffle, and that table yields the distinct counts, the top values, the
 samples and the datetime test. Long texts are grouped by a 128-bit fingerprint and a prefix, so
-that whole documents are never shuffled; only the few that are reported are fetched again.
+that whole documents are never shuffled; only those that may be reported are fetched again. Order
+and ties always go by whole values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import heapq
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +34,11 @@ from tableprep.functions.columns import (
     type_class,
     value_text,
 )
-from tableprep.functions.datetimes import DATETIME_FORMATS, parse_with
+from tableprep.functions.datetimes import DATETIME_FORMATS, LONGEST, parse_with
 from tableprep.functions.hashing import row_fingerprint, value_fingerprint
+from tableprep.functions.joins import is_small
 from tableprep.functions.quantiles import exact_quantiles
+from tableprep.session import materialize
 
 PREFIX = 64
 TEXT = "text"
@@ -40,6 +47,14 @@ CONCURRENT_TABLES = 8
 SUMMARY_CLASSES = ("boolean", "integer", "float", "numeric")
 
 
+class Family(NamedTuple):
+    """Value counts of the columns of one data type, at these positions of the table."""
+
+    key: str
+    counts: DataFrame
+    positions: list[int]
+
+
 def table_profile(
     df: DataFrame,
     dataset_name: str = "dataframe",
@@ -79,12 +94,12 @@ def column_profile(
     families = value_counts(df)
     # count_if over n keeps n in every branch, so that all of them reuse one shuffle
     distinct = F.count_if(F.col("n") > 0).alias("unique_count")
-    parts = [_union([c.groupBy("position").agg(distinct) for _, c in families])]
+    parts = [_union([f.counts.groupBy("position").agg(distinct) for f in families])]
     if max_sample_values > 0:
         parts.append(_listed(df, families, max_sample_values, by_count=False))
     if include_value_counts and max_top_values > 0:
         parts.append(_listed(df, families, max_top_values, by_count=True))
-    texts = [c for f, c in families if f == TEXT]
+    texts = [f.counts for f in families if f.key == TEXT]
     if texts:
         parts.append(_union([_datetime_texts(c) for c in texts]))
     out = reduce(lambda a, b: a.join(F.broadcast(b), "position", "left"), parts, summary)
@@ -149,10 +164,10 @@ def column_summary(df: DataFrame, dataset_name: str, *, median: str = "exact", d
     return row.select(F.inline(F.array(*structs))).withColumn("dataset_name", F.lit(dataset_name))
 
 
-def value_counts(df: DataFrame) -> list[tuple[str, DataFrame]]:
+def value_counts(df: DataFrame) -> list[Family]:
     """Per data type a table with the count n of every distinct value of every column.
 
-    Text and nested columns have (position, is_text, head, h0, h1, n); all others
+    Text and nested columns have (position, is_text, head, h0, h1, padded, n); all others
     (position, value, n). Wide tables are unfolded in batches.
     """
     families: dict[str, list[int]] = {}
@@ -163,8 +178,9 @@ def value_counts(df: DataFrame) -> list[tuple[str, DataFrame]]:
     for key, positions in families.items():
         for start in range(0, len(positions), COLUMN_BATCH):
             batch = positions[start : start + COLUMN_BATCH]
-            grouped = _text_counts(df, batch) if key == TEXT else _typed_counts(df, batch)
-            pieces.append((key, grouped))
+            # Counts of texts are written, as their candidates are looked at before the rest is planned.
+            grouped = materialize(_text_counts(df, batch), "text-counts") if key == TEXT else _typed_counts(df, batch)
+            pieces.append(Family(key, grouped, batch))
     return pieces
 
 
@@ -188,40 +204,93 @@ def _typed_counts(df: DataFrame, positions: list[int]) -> DataFrame:
 def _text_counts(df: DataFrame, positions: list[int]) -> DataFrame:
     long = F.length("value") > PREFIX
     h0, h1 = value_fingerprint(F.col("value"))
+    trimmed = F.trim("value")  # a date between many blanks is a date
     keyed = _unfolded(df, positions).select(
         "position", "is_text", F.substring("value", 1, PREFIX).alias("head"),
         F.when(long, h0).alias("h0"), F.when(long, h1).alias("h1"),
+        F.when(long & (F.length(trimmed) <= LONGEST), trimmed).alias("padded"),
     )
-    return keyed.groupBy("position", "is_text", "head", "h0", "h1").agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy("position", "is_text", "head", "h0", "h1", "padded").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_values(df: DataFrame, family: str, counts: DataFrame, k: int, *, by_count: bool) -> DataFrame:
+def ranked_values(df: DataFrame, family: Family, k: int, *, by_count: bool) -> DataFrame:
     """(position, rank, value, n): the k most frequent, or k smallest, values. Ties go by value."""
-    by_value = [F.col(c) for c in (("head", "h0", "h1") if family == TEXT else ("value",))]
-    order = [F.col("n").desc(), *by_value] if by_count else by_value
-    window = Window.partitionBy("position").orderBy(*order)
-    picked = counts.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    if family == TEXT:
-        return whole_values(df, picked).select("position", "rank", "value", "n")
-    data_type = counts.schema["value"].dataType
-    return picked.select("position", "rank", value_text(F.col("value"), data_type).alias("value"), "n")
-
-
-def whole_values(df: DataFrame, picked: DataFrame) -> DataFrame:
-    """Replace the prefix of a picked long text by the text itself."""
+    _limit_windows(df, k)
+    counts = family.counts
+    if family.key != TEXT:
+        order = [F.col("n").desc(), F.col("value")] if by_count else [F.col("value")]
+        rank = F.row_number().over(Window.partitionBy("position").orderBy(*order))
+        picked = counts.withColumn("rank", rank).where(F.col("rank") <= k)
+        data_type = counts.schema["value"].dataType
+        return picked.select("position", "rank", value_text(F.col("value"), data_type).alias("value"), "n")
+    if by_count:
+        # All that share the last count and prefix are candidates; whole values decide among them.
+        head = F.rank().over(Window.partitionBy("position").orderBy(F.col("n").desc(), "head"))
+        found = whole_values(df, counts.withColumn("place", head).where(F.col("place") <= k), family.positions)
+        order = [F.col("n").desc(), F.col("value")]
+    else:
+        smallest = smallest_texts(df, family.positions, k)
+        h0, h1 = value_fingerprint(F.col("value"))
+        long = F.length("value") > PREFIX
+        keyed = smallest.select(
+            F.col("position").alias("at"), "value", F.substring("value", 1, PREFIX).alias("start"),
+            F.when(long, h0).alias("f0"), F.when(long, h1).alias("f1"),
+        )
+        same = (F.col("position") == F.col("at")) & (F.col("head") == F.col("start")) & F.col("h0").eqNullSafe(F.col("f0")) & F.col("h1").eqNullSafe(F.col("f1"))
+        found = counts.join(F.broadcast(keyed), same)
+        order = [F.col("value")]
+    rank = F.row_number().over(Window.partitionBy("position").orderBy(*order))
+    return found.select("position", rank.alias("rank"), "value", "n").where(F.col("rank") <= k)
+
+
+def _limit_windows(df: DataFrame, k: int) -> None:
+    """Let Spark cut the ranks of a window per task for any k that is asked for."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf = df.sparkSession.conf
+    if int(conf.get(name)) < k:
+        conf.set(name, str(k))
+
+
+def smallest_texts(df: DataFrame, positions: list[int], k: int) -> DataFrame:
+    """(position, value): the k smallest distinct whole texts of each column. A task hands on k of each at most."""
+    names = {f"c{i}": i for i in positions}
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[str]] = {i: [] for i in names.values()}
+        for batch in batches:
+            for column, i in zip(batch.columns, names.values()):
+                values = pc.drop_null(column)
+                if len(best[i]) == k and len(values):
+                    values = values.filter(pc.less(values, pa.scalar(best[i][-1], values.type)))
+                if len(values):
+                    best[i] = heapq.nsmallest(k, {*best[i], *pc.unique(values).to_pylist()})
+        rows = [(i, v) for i, found in best.items() for v in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["position", "value"])
+
     fields = df.schema.fields
-    texts = [i for i, f in enumerate(fields) if type_class(f.dataType) in ("string", "object")]
-    wanted = F.broadcast(picked.where(F.col("h0").isNotNull()).select("position", "h0", "h1"))
+    texts = df.select(*[comparable(df, fields[i].name).cast("string").alias(c) for c, i in names.items()])
+    found = texts.mapInArrow(smallest, "position int, value string").distinct()
+    rank = F.row_number().over(Window.partitionBy("position").orderBy("value"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def whole_values(df: DataFrame, picked: DataFrame, positions: list[int]) -> DataFrame:
+    """Adds `value`: the text itself, fetched where `head` is but its prefix."""
+    picked = materialize(picked, "picked-values")
+    wanted = picked.where(F.col("h0").isNotNull()).select("position", "h0", "h1")
+    if wanted.isEmpty():
+        return picked.withColumn("value", F.col("head"))
+    # Mostly k rows a column; many only where long texts share both their count and their prefix.
+    wanted = F.broadcast(wanted) if is_small(wanted) else wanted.hint("merge")
     h0, h1 = value_fingerprint(F.col("value"))
-    rows = _unfolded(df, texts).where(F.length("value") > PREFIX)
+    rows = _unfolded(df, positions).where(F.length("value") > PREFIX)
     found = (
         rows.select("position", "value", h0.alias("h0"), h1.alias("h1"))
         .join(wanted, ["position", "h0", "h1"], "left_semi")
         .groupBy("position", "h0", "h1")
         .agg(F.min("value").alias("whole"))
     )
-    joined = picked.join(F.broadcast(found), ["position", "h0", "h1"], "left")
-    return joined.withColumn("value", F.coalesce("whole", "head")).drop("whole")
+    return picked.join(found, ["position", "h0", "h1"], "left").withColumn("value", F.coalesce("whole", "head")).drop("whole")
 
 
 def top_values(df: DataFrame, k: int = fixed.MAX_TOP_VALUES) -> DataFrame:
@@ -236,8 +305,8 @@ def sample_values(df: DataFrame, k: int = fixed.MAX_SAMPLE_VALUES) -> DataFrame:
 
 def _ranked_rows(df: DataFrame, k: int, *, by_count: bool) -> DataFrame:
     families = value_counts(df)
-    rows = _union([ranked_values(df, f, c, k, by_count=by_count) for f, c in families])
-    totals = _union([c.groupBy("position").agg(F.sum("n").alias("total")) for _, c in families])
+    rows = _union([ranked_values(df, f, k, by_count=by_count) for f in families])
+    totals = _union([f.counts.groupBy("position").agg(F.sum("n").alias("total")) for f in families])
     names = F.array(*[F.lit(c) for c in df.columns])
     return rows.join(F.broadcast(totals), "position").select(
         F.get(names, F.col("position")).alias("name"), F.col("rank").cast("bigint").alias("rank"),
@@ -246,7 +315,7 @@ def _ranked_rows(df: DataFrame, k: int, *, by_count: bool) -> DataFrame:
 
 
 def _listed(df: DataFrame, families: list, k: int, *, by_count: bool) -> DataFrame:
-    rows = _union([ranked_values(df, f, c, k, by_count=by_count) for f, c in families])
+    rows = _union([ranked_values(df, f, k, by_count=by_count) for f in families])
     entry = F.struct("rank", "value", "n")
     listed = rows.groupBy("position").agg(F.sort_array(F.collect_list(entry)).alias("listed"))
     if by_count:
@@ -261,10 +330,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _datetime_texts(counts: DataFrame) -> DataFrame:
     """Per text column the format most values parse by, kept when enough of them do."""
     formats = range(len(DATETIME_FORMATS))
-    short = F.col("is_text") & F.col("h0").isNull()
+    text = F.when(F.col("is_text"), F.when(F.col("h0").isNull(), F.col("head")).otherwise(F.col("padded")))
     stamps = counts.select(
         "position", "n",
-        *[F.when(short, parse_with(F.col("head"), j)).alias(f"s{j}") for j in formats],
+        *[parse_with(text, j).alias(f"s{j}") for j in formats],
     )
     per_format = stamps.groupBy("position").agg(
         F.sum("n").alias("total"),

@@ -7,7 +7,7 @@ import json
 
 import pytest
 
-from tableprep.operators.profile import column_profile, profile_document, quick_profile, table_profile
+from tableprep.operators.profile import column_profile, profile_document, quick_profile, sample_values, table_profile, top_values
 from tableprep.sources.tables import as_table, list_table_files, load_table, load_tables, table_metadata
 
 
@@ -162,3 +162,18 @@ def test_json_document_and_encoding(spark, tmp_path):
     latin.write_bytes("a;b\n1;é\n".encode("latin-1"))
     assert sorted(map(tuple, load_table(spark, str(doc)).collect()), key=str) == [(1, "x"), (2, None)]
     assert load_table(spark, str(latin), encoding="latin1", sep=";").first()["b"] == "é"
+
+
+def test_long_texts_are_ordered_by_their_whole(spark):
+    rows = [("x" * 64 + c,) for c in "fedcba"] + [("x" * 64 + "f",)] * 2 + [("short",)]
+    df = spark.createDataFrame(rows, "t string")
+    samples = [r["value"] for r in sample_values(df, 4).orderBy("rank").collect()]
+    assert samples == ["short"] + ["x" * 64 + c for c in "abc"]
+    tops = [(r["value"][-1], r["count"]) for r in top_values(df, 4).orderBy("rank").collect()]
+    assert tops == [("f", 3), ("t", 1), ("a", 1), ("b", 1)]
+
+
+def test_padded_dates_are_dates(spark):
+    df = spark.createDataFrame([(" " * n + f"2024-05-0{n % 9 + 1}" + " " * n,) for n in (0, 1, 20, 90)], "t string")
+    row = column_profile(df).first()
+    assert row["datetime_format"] == "yyyy-MM-dd" and row["datetime_min"][:10] == "2024-05-01"
