@@ -35,8 +35,31 @@ CASES = {
     ),
 }
 
+# Tables in which rules fire that the tables as they are give no cause for: name -> (table, expressions, condition).
+_CUSTOMER = ["c_custkey", "c_acctbal"]
+MADE = {
+    "single_class": ("customer", [*_CUSTOMER, "'one' AS label"], "true"),
+    "imbalanced": ("customer", [*_CUSTOMER, "CASE WHEN c_custkey % 50 = 0 THEN 'rare' ELSE 'usual' END AS label"], "true"),
+    "copied": ("orders", ["o_orderstatus", "o_orderpriority", "o_orderstatus AS label"], "true"),
+    "empty": ("customer", [*_CUSTOMER, "c_mktsegment AS label"], "c_custkey < 0"),
+    "timeless": ("customer", ["c_acctbal", "c_mktsegment"], "true"),
+    "unparsed": ("customer", ["concat('week ', c_nationkey) AS date", "c_acctbal", "c_mktsegment"], "true"),
+}
+_LABEL = [("c_custkey", "integer"), ("c_acctbal", "float"), ("label", "string")]
+_KINDS = {
+    "single_class": (_LABEL, "classification", "label", None), "imbalanced": (_LABEL, "classification", "label", None),
+    "copied": ([("o_orderstatus", "string"), ("o_orderpriority", "string"), ("label", "string")], "classification", "label", None),
+    "empty": (_LABEL, "classification", "label", None),
+    "timeless": ([("c_acctbal", "float"), ("c_mktsegment", "string")], "forecasting", "c_acctbal", None),
+    "unparsed": ([("date", "string"), ("c_acctbal", "float"), ("c_mktsegment", "string")], "forecasting", "c_acctbal", "date"),
+}
+CASES |= {c: (f"(SELECT {', '.join(MADE[c][1])} FROM {MADE[c][0]} WHERE {MADE[c][2]})", *_KINDS[c]) for c in MADE}
+
 
 def source(spark: SparkSession, sf_dir: str, case: str) -> DataFrame:
+    if case in MADE:
+        table, expressions, condition = MADE[case]
+        return read(spark, sf_dir, table).where(condition).selectExpr(*expressions)
     if case == "labelled":
         return labelled_documents(spark, sf_dir).select([c for c, _ in LABELLED_COLUMNS])
     if case == "gaps":
@@ -298,7 +321,7 @@ def _catalog_issues_sql() -> str:
 QUERIES = {
     **{f"roles_{c}": (_roles(c), f"SELECT {ROLE_COLUMNS} FROM ({roles_sql(c)})") for c in ("customer", "lineitem", "events", "labelled", "part")},
     **{f"role_lists_{c}": (_rollup(c), rollup_sql(c)) for c in ("orders", "nation", "part", "gaps")},
-    **{f"quality_{c}": (_issues(c), f"SELECT {ISSUE_COLUMNS} FROM ({issues_sql(c)})") for c in ("lineitem", "orders", "nation", "labelled", "gaps")},
+    **{f"quality_{c}": (_issues(c), f"SELECT {ISSUE_COLUMNS} FROM ({issues_sql(c)})") for c in ("lineitem", "orders", "nation", "labelled", "gaps", *MADE)},
     **{f"quality_summary_{c}": (_summary(c), summary_sql(c)) for c in ("labelled", "gaps", "customer")},
     "fix_drop_flagged": (
         fix_drop_flagged,

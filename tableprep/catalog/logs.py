@@ -94,6 +94,11 @@ def log_durations(s, d):
     return runlog.durations(normal(s, d)).withColumns({"started": at_text("started"), "ended": at_text("ended")})
 
 
+def log_agent_runs(s, d):
+    """One row per start of an agent, restarts included."""
+    return runlog.agent_runs(normal(s, d)).withColumns({"started": at_text("started"), "ended": at_text("ended")})
+
+
 def log_failures(s, d):
     return runlog.failures(normal(s, d))
 
@@ -237,6 +242,18 @@ QUERIES = {
         "arg_max(event, (moment, event)) FILTER (event <> 'agent_started') AS last "
         f"FROM ({NORMAL}) WHERE event IN ('agent_started', 'agent_finished', 'agent_failed') GROUP BY task_id, run_id, agent)",
     ),
+    "log_agent_runs": (
+        log_agent_runs,
+        f"WITH e AS (SELECT task_id, run_id, agent, moment, event, event = 'agent_started' AS starts FROM ({NORMAL}) "
+        "WHERE event IN ('agent_started', 'agent_finished', 'agent_failed')), "
+        "w AS (SELECT *, lead(moment) OVER o AS m, lead(event) OVER o AS f, count(*) FILTER (starts) OVER o AS attempt FROM e "
+        "WINDOW o AS (PARTITION BY task_id, run_id, agent ORDER BY moment, starts, event)) "
+        f"SELECT task_id, run_id, agent, attempt, {AT_TEXT.format('moment')} AS started, "
+        f"CASE WHEN f <> 'agent_started' THEN {AT_TEXT.format('m')} END AS ended, "
+        "CASE WHEN f <> 'agent_started' THEN (epoch_us(m) - epoch_us(moment)) / 1e6 END AS seconds, "
+        "CASE WHEN f IS NULL THEN 'running' WHEN f = 'agent_started' THEN 'interrupted' WHEN f = 'agent_failed' THEN 'failed' ELSE 'finished' END AS outcome "
+        "FROM w WHERE starts",
+    ),
     "log_failures": (
         log_failures,
         f"SELECT agent, 'Error' || (user_id % 5) AS error_type, count(*) AS failures, count(DISTINCT task_id) AS tasks "

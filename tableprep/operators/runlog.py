@@ -68,9 +68,14 @@ def normalise(events: DataFrame) -> DataFrame:
     return cleaned.where(F.col("level").isin(*fixed.LOG_LEVELS) & (F.col("event") != ""))
 
 
+# The shape of the times that log lines carry.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?$"
+
+
 def instant(column: str = "time") -> Column:
-    """The ISO time of a row, offset included, as an instant."""
-    return F.try_to_timestamp(F.col(column))
+    """The ISO time of a row, offset included, as an instant; null for any other text, a bare year or date included."""
+    text = F.trim(F.col(column).cast("string"))
+    return F.when(text.rlike(ISO_TIME), F.try_to_timestamp(text))
 
 
 def last_events(events: DataFrame) -> DataFrame:
@@ -95,6 +100,36 @@ def durations(events: DataFrame, start: str = "agent_started", finish: str = "ag
     return paired.select("task_id", "run_id", "agent", "started", "ended", seconds.alias("seconds"), outcome.alias("outcome"))
 
 
+def agent_runs(events: DataFrame, start: str = "agent_started", finish: str = "agent_finished", failed: str = "agent_failed") -> DataFrame:
+    """One row per start: task, run, agent, attempt, started, ended, seconds, outcome.
+
+    A start ends with the next end before the next start; one followed by another start was `interrupted`, one followed
+    by nothing is `running`. Events are put in order within a day; what a day leaves open meets the first event of the
+    next day with any, so that a busy agent is not one window. An end without a start has no row.
+    """
+    key = ["task_id", "run_id", "agent"]
+    rows = events.where(F.col("event").isin(start, finish, failed)).select(*key, instant().alias("at"), "event").where("at IS NOT NULL")
+    rows = rows.withColumn("day", F.to_date("at"))
+    mark = F.struct("at", (F.col("event") == start).alias("starts"), "event")
+    within = Window.partitionBy(*key, "day").orderBy("at", F.col("event") == start, "event")
+    placed = rows.withColumns({"next": F.lead(mark).over(within), "before": F.count_if(F.col("event") == start).over(within)})
+    days = rows.groupBy(*key, "day").agg(F.min(mark).alias("first"), F.count_if(F.col("event") == start).alias("starts"))
+    by_day = Window.partitionBy(*key).orderBy("day")  # a row per day
+    so_far = F.sum("starts").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*[F.col(k).alias(f"day_{k}") for k in key], F.col("day").alias("of_day"), F.lead("first").over(by_day).alias("later"), F.coalesce(so_far, F.lit(0)).alias("earlier"))
+    same = [F.col(k).eqNullSafe(F.col(f"day_{k}")) for k in key]
+    starts = placed.where(F.col("event") == start).join(days, [*same, F.col("day") == F.col("of_day")])
+    following = F.coalesce("next", "later")
+    ends = ~following["starts"]
+    ended = F.when(ends, following["at"])
+    outcome = F.when(following.isNull(), "running").when(~ends, "interrupted").when(following["event"] == failed, "failed").otherwise("finished")
+    seconds = (F.unix_micros(ended) - F.unix_micros("at")) / F.lit(1e6)
+    return starts.select(
+        *key, (F.col("earlier") + F.col("before")).cast("bigint").alias("attempt"), F.col("at").alias("started"),
+        ended.alias("ended"), seconds.alias("seconds"), outcome.alias("outcome"),
+    )
+
+
 def failures(events: DataFrame) -> DataFrame:
     """(agent, error_type, failures, tasks) of ERROR and CRITICAL events. Tasks are counted exactly."""
     wrong = events.where(F.col("level").isin("ERROR", "CRITICAL"))

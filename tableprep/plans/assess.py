@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tableprep.operators import profile, quality, roles
 from tableprep.plans import defaults
@@ -27,7 +28,7 @@ class Assessment:
 
     def plan(self, dataset_name: str, input_files: list[str], output: str = "prepared") -> dict[str, Any]:
         """The default plan document of one dataset."""
-        mine = f"dataset_name = '{dataset_name}'"
+        mine = F.col("dataset_name") == F.lit(dataset_name)
         header = defaults.plan_header(self.rollup, self.summary).where(mine).first().asDict()
         columns = [r.asDict() for r in defaults.column_plan(self.columns, self.roles).where(mine).collect()]
         return defaults.default_plan(header, columns, input_files, output)
