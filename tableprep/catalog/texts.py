@@ -19,9 +19,9 @@ NUMBER = "CAST(conv_id AS STRING)"
 BREAK = "chr(10)"
 RESPONSE = (
     f"CASE {KIND} "
-    f"WHEN 0 THEN 'Before' || {BREAK} || '```json' || {BREAK} || '{{\"task\": ' || {NUMBER} || '}}' || {BREAK} || '```' || {BREAK} || text "
-    f"WHEN 1 THEN 'It says: {{\"a\": [1, ' || {NUMBER} || '], \"b\": \"x}}\"}} done. ' || text "
-    f"WHEN 2 THEN '```python' || {BREAK} || 'print(' || {NUMBER} || ')' || {BREAK} || '```' || {BREAK} || '```JSON' || {BREAK} || '[' || {NUMBER} || ']' || {BREAK} || '```' "
+    f"WHEN 0 THEN 'Measured:' || {BREAK} || '```json' || {BREAK} || '{{\"depth\": ' || {NUMBER} || '}}' || {BREAK} || '```' || {BREAK} || text "
+    f"WHEN 1 THEN 'my guess {{\"hours\": [3, ' || {NUMBER} || '], \"sky\": \"clear}}\"}} so far. ' || text "
+    f"WHEN 2 THEN '```sql' || {BREAK} || 'abs(' || {NUMBER} || ')' || {BREAK} || '```' || {BREAK} || '```JSON' || {BREAK} || '[' || {NUMBER} || ']' || {BREAK} || '```' "
     "WHEN 3 THEN text "
     f"WHEN 4 THEN text || '{{\"open\": [1, ' || {NUMBER} "
     "WHEN 5 THEN 'bad {not json} ' || text "
@@ -60,7 +60,7 @@ def doc_json_yield(s, d):
 
 
 JSON_TEXT = (
-    "CASE kind WHEN 0 THEN '{\"task\": ' || conv_id || '}' WHEN 1 THEN '{\"a\": [1, ' || conv_id || '], \"b\": \"x}\"}' "
+    "CASE kind WHEN 0 THEN '{\"depth\": ' || conv_id || '}' WHEN 1 THEN '{\"hours\": [3, ' || conv_id || '], \"sky\": \"clear}\"}' "
     "WHEN 2 THEN '[' || conv_id || ']' WHEN 5 THEN '{not json}' WHEN 6 THEN '[{\"n\": ' || conv_id || '}]' "
     "WHEN 7 THEN '{\"quote\": \"a \\\" { b\", \"n\": ' || conv_id || '}' END"
 )
@@ -253,13 +253,13 @@ QUERIES = {
     "doc_fences": (
         doc_fences,
         f"SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(response, '{FENCE_SQL}', 2), lambda b: trim(b, chr(10) || ' ')), '|') AS blocks, "
-        f"CASE kind WHEN 0 THEN '{{\"task\": ' || conv_id || '}}' WHEN 2 THEN '[' || conv_id || ']' ELSE '' END AS json_blocks FROM ({RESPONSES})",
+        f"CASE kind WHEN 0 THEN '{{\"depth\": ' || conv_id || '}}' WHEN 2 THEN '[' || conv_id || ']' ELSE '' END AS json_blocks FROM ({RESPONSES})",
     ),
     "doc_strip_fence": (
         doc_strip_fence,
         f"SELECT conv_id, turn, CASE WHEN kind = 6 THEN '[{{\"n\": ' || conv_id || '}}]' "
         # one fence pair around the whole text, as the match may run over inner fences
-        "WHEN kind = 2 THEN 'print(' || conv_id || ')' || chr(10) || '```' || chr(10) || '```JSON' || chr(10) || '[' || conv_id || ']' "
+        "WHEN kind = 2 THEN 'abs(' || conv_id || ')' || chr(10) || '```' || chr(10) || '```JSON' || chr(10) || '[' || conv_id || ']' "
         f"ELSE regexp_replace(response, '^\\s+|\\s+$', '', 'g') END AS bare FROM ({RESPONSES})",
     ),
     "doc_json": (doc_json, f"SELECT conv_id, turn, {JSON_TEXT} AS json_text, {JSON_STATUS} AS json_status FROM ({RESPONSES})"),

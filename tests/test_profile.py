@@ -16,55 +16,61 @@ def by_name(df):
 
 
 @pytest.fixture(scope="module")
-def customers(spark):
-    return spark.createDataFrame([("C1", 20.0, 0), ("C2", 30.0, 1), ("C3", None, 0), ("C3", 40.0, 0)], "customer_id string, age double, churn int")
+def wells(spark):
+    """Six readings of three wells, one depth unknown, no row twice."""
+    rows = [("north", 4.5, True), ("north", 5.0, False), ("south", None, False), ("south", 12.5, False), ("mill", 0.5, False), ("mill", 1.0, True)]
+    return spark.createDataFrame(rows, "well string, depth double, dry boolean")
 
 
-def test_customers(customers):
-    table = table_profile(customers, "customers").first()
-    assert (table["row_count"], table["duplicate_row_count"], table["column_count"]) == (4, 0, 3)
-    cols = by_name(column_profile(customers, "customers"))
-    age = cols["age"]
-    assert (age["missing_count"], age["missing_rate"], age["num_min"], age["num_max"]) == (1, 0.25, 20.0, 40.0)
-    assert cols["churn"]["top_values"][0]["value"] == "0"
-    assert cols["churn"]["top_values"][0]["count"] == 3
-    assert cols["churn"]["top_values"][0]["rate"] == 0.75
-    assert cols["customer_id"]["unique_rate"] == 0.75
+def test_counts_ranges_and_top_values(wells):
+    table = table_profile(wells, "wells").first()
+    assert (table["row_count"], table["duplicate_row_count"], table["column_count"]) == (6, 0, 3)
+    cols = by_name(column_profile(wells, "wells"))
+    depth = cols["depth"]
+    assert (depth["missing_count"], depth["missing_rate"], depth["num_min"], depth["num_median"], depth["num_max"]) == (1, 0.166667, 0.5, 4.5, 12.5)
+    dry = cols["dry"]["top_values"]
+    assert [(v["value"], v["count"], v["rate"]) for v in dry] == [("false", 4, 0.666667), ("true", 2, 0.333333)]
+    assert cols["well"]["unique_rate"] == 0.5
 
 
 def test_csv_dates_are_detected(spark, tmp_path):
-    path = tmp_path / "sales.csv"
-    path.write_text("date,sales\n2026-01-01,10\n2026-01-02,12\n")
-    cols = by_name(column_profile(load_table(spark, str(path)), path.name))
-    assert cols["date"]["datetime_min"] == "2026-01-01T00:00:00"
-    text = by_name(column_profile(load_table(spark, str(path), schema="date string, sales int"), path.name))
-    assert text["date"]["datetime_format"] == "yyyy-MM-dd"
-    assert text["date"]["datetime_max"] == "2026-01-02T00:00:00"
-
-
-def test_csv_numbers(spark, tmp_path):
-    path = tmp_path / "xy.csv"
-    path.write_text("x,y\n1,a\n2,b\n")
+    path = tmp_path / "harvest.csv"
+    path.write_text("picked;row;kilos\n03-09-2023;7;12.5\n28-08-2023;7;9\n30-08-2023;8;NA\n")
+    cols = by_name(column_profile(load_table(spark, str(path), sep=";"), path.name))
+    assert (cols["picked"]["datetime_format"], cols["picked"]["datetime_min"], cols["picked"]["datetime_max"]) == (
+        "dd-MM-yyyy", "2023-08-28T00:00:00", "2023-09-03T00:00:00",
+    )
+    assert (cols["kilos"]["type_class"], cols["kilos"]["missing_count"]) == ("float", 1)
+    iso = tmp_path / "iso.csv"
+    iso.write_text("picked\n2023-09-03\n2023-08-28\n")
+    assert by_name(column_profile(load_table(spark, str(iso))))["picked"]["datetime_min"] == "2023-08-28T00:00:00"
+
+
+def test_csv_kinds_gaps_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('tag,level,open,note\n007,3000000000,True,"two\nlines, ""quoted"""\nNA,4,false,n/a\n12,null,,plain\n')
     df = load_table(spark, str(path))
-    cols = by_name(column_profile(df, "xy"))
-    assert (cols["x"]["num_mean"], cols["x"]["num_median"], cols["x"]["row_count"]) == (1.5, 1.5, 2)
+    assert [f.dataType.simpleString() for f in df.schema] == ["int", "bigint", "boolean", "string"]
+    assert [tuple(r) for r in df.collect()] == [(7, 3_000_000_000, True, 'two\nlines, "quoted"'), (None, 4, False, None), (12, None, None, "plain")]
+    as_written = load_table(spark, str(path), missing=None)
+    assert as_written.schema["tag"].dataType.simpleString() == "string" and as_written.where("note = 'n/a'").count() == 1
     meta = table_metadata(df, str(path)).first()
-    assert (meta["file_name"], meta["file_size_bytes"], meta["row_count"]) == ("xy.csv", path.stat().st_size, 2)
+    assert (meta["file_name"], meta["file_size_bytes"], meta["row_count"]) == ("notes.csv", path.stat().st_size, 3)
 
 
 def test_column_cap(spark):
-    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
-    assert [r["name"] for r in column_profile(df, max_columns=2).collect()] == ["a", "b"]
-    assert table_profile(df, max_columns=2).first()["truncated_columns"] == ["c"]
+    df = spark.createDataFrame([("p", 1.5, True, 9), ("q", 2.5, False, 8)], "part string, load double, spare boolean, shelf int")
+    assert [r["name"] for r in column_profile(df, max_columns=3).collect()] == ["part", "load", "spare"]
+    assert table_profile(df, max_columns=3).first()["truncated_columns"] == ["shelf"]
 
 
 def test_nan_is_missing_and_json_has_no_nan(spark):
-    df = spark.createDataFrame([(dt.datetime(2026, 1, 1), 1.0), (dt.datetime(2026, 1, 2), float("nan"))], "when timestamp, value double")
-    columns = column_profile(df, "t")
-    value = by_name(columns)["value"]
-    assert value["sample_values"] == ["1.0"]
-    assert (value["missing_count"], value["num_std"]) == (1, 0.0)
-    for row in profile_document(table_profile(df, "t"), columns).collect():
+    rows = [(dt.datetime(2019, 5, 4, 6), float("nan")), (dt.datetime(2019, 5, 4, 7), 7.25), (dt.datetime(2019, 5, 4, 8), float("nan"))]
+    columns = column_profile(spark.createDataFrame(rows, "read_at timestamp, salt double"), "sea")
+    salt = by_name(columns)["salt"]
+    assert (salt["sample_values"], salt["missing_count"], salt["num_std"]) == (["7.25"], 2, 0.0)
+    tables = table_profile(spark.createDataFrame(rows, "read_at timestamp, salt double"), "sea")
+    for row in profile_document(tables, columns).collect():
         json.loads(row["document"], parse_constant=lambda c: pytest.fail(c))
 
 
@@ -109,10 +115,10 @@ def test_long_texts_are_reported_whole(spark):
     assert set(t["sample_values"]) == {long + "1", long + "2", "short"}
 
 
-def test_same_result_in_any_partitioning(customers):
-    want = [tuple(r) for r in column_profile(customers).collect()]
+def test_same_result_in_any_partitioning(wells):
+    want = [tuple(r) for r in column_profile(wells).collect()]
     for n in (1, 7):
-        assert [tuple(r) for r in column_profile(customers.repartition(n)).collect()] == want
+        assert [tuple(r) for r in column_profile(wells.repartition(n)).collect()] == want
 
 
 def test_reader_errors(spark, tmp_path):
@@ -124,20 +130,20 @@ def test_reader_errors(spark, tmp_path):
         load_tables(spark, [])
 
 
-def test_quick_profile_is_close(customers):
-    exact, quick = by_name(column_profile(customers)), by_name(quick_profile(customers))
+def test_quick_profile_is_close(wells):
+    exact, quick = by_name(column_profile(wells)), by_name(quick_profile(wells))
     for name in exact:
         assert quick[name]["unique_count"] == exact[name]["unique_count"]
         assert quick[name]["missing_rate"] == exact[name]["missing_rate"]
-    assert quick["age"]["num_median"] == 30.0
+    assert quick["depth"]["num_median"] == 4.5
 
 
-def test_tables_and_paths_are_both_taken(spark, customers, tmp_path):
+def test_tables_and_paths_are_both_taken(spark, wells, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"a": 1}\n{"a": 2}\n')
     df, name, kind = as_table(spark, str(path))
     assert (df.count(), name, kind) == (2, "x.jsonl", "path")
-    assert as_table(spark, customers)[1:] == ("dataframe", "dataframe")
+    assert as_table(spark, wells)[1:] == ("dataframe", "dataframe")
     with pytest.raises(TypeError):
         as_table(spark, 3)
 
