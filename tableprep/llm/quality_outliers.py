@@ -35,6 +35,7 @@ FLOORS = (0.5, 0.08, 0.25, 0.25, 0.08)
 CUTOFF = 64.0
 LEAST_ROWS = 50  # smaller groups are judged together
 BINS, BINS_PER_FOLD = 4096, 64.0
+SALTS = 32
 
 DIMENSIONS = len(FLOORS)
 VECTOR = [f"x{i}" for i in range(DIMENSIONS)]
@@ -137,16 +138,21 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return rows.select("key", F.inline(both))
 
 
+def _per_salt(rows: DataFrame) -> DataFrame:
+    """One row of each group's figures per salt: a large group must not meet them in one task."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: the nearest three quarters of each group by the estimate, and the estimate from those."""
-    near = vectors.join(estimate, "key").withColumn("d2", _squared_distance())
+    near = vectors.join(_per_salt(estimate), ["key", "salt"]).withColumn("d2", _squared_distance())
     near = near.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log1p("d2") * BINS_PER_FOLD)).cast("int"))
     counted = near.groupBy("key", "start", "bin").agg(F.count("*").alias("n"))
     by_group = Window.partitionBy("key", "start")
     so_far = F.sum("n").over(by_group.orderBy("bin"))
     cut = counted.select("key", "start", "bin", so_far.alias("so_far"), F.sum("n").over(by_group).alias("all"))
     cut = cut.where(F.col("so_far") >= F.ceil(F.col("all") * SHARE)).groupBy("key", "start").agg(F.min("bin").alias("cut"))
-    inner = near.join(materialize(cut, "mcd-cuts"), ["key", "start"]).where("bin <= cut")
+    inner = near.join(_per_salt(materialize(cut, "mcd-cuts")), ["key", "start", "salt"]).where("bin <= cut")
     off = [F.col(x) - F.col(m) for x, m in zip(VECTOR, CENTRE)]
     sums = [F.sum(off[i]).alias(f"s{i}") for i in range(DIMENSIONS)]
     products = [F.sum(off[i] * off[j]).alias(f"p{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
@@ -180,15 +186,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     named = docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns})
     rows = base_statistics(named, id_col, text_col).withColumns(dict(zip(VECTOR, _vector())))
-    rows = materialize(rows.withColumn("group", F.concat(known("lang"), F.lit("\x01"), known("source"))), "quality-rows")
-    counts = rows.where("NOT base_failed").groupBy(F.col("group").alias("own")).count().where(F.col("count") >= LEAST_ROWS)
-    counts = materialize(counts, "quality-groups")
-    keyed = rows.join(counts, F.col("group") == F.col("own"), "left").withColumn("key", F.coalesce("own", F.lit("")))
-    keyed = materialize(keyed.drop("own", "count", "group"), "quality-keyed")
-    vectors = keyed.where("NOT base_failed").select("key", *VECTOR)
+    rows = rows.withColumn("group", F.concat(known("lang"), F.lit("\x01"), known("source")))
+    salt = F.pmod(F.xxhash64(id_col, "n_words", "word_chars", "n_symbols"), F.lit(SALTS))
+    rows = materialize(rows.withColumn("salt", salt), "quality-rows")
+    counts = rows.where("NOT base_failed").groupBy("group").count().where(F.col("count") >= LEAST_ROWS)
+    counts = materialize(counts.select("group", F.col("group").alias("own")), "quality-groups")
+    keyed = rows.join(_per_salt(counts), ["group", "salt"], "left").withColumn("key", F.coalesce("own", F.lit("")))
+    keyed = materialize(keyed.drop("own", "group"), "quality-keyed")
+    vectors = keyed.where("NOT base_failed").select("key", "salt", *VECTOR)
     alone = vectors.groupBy("key").count().where(F.col("count") >= LEAST_ROWS).select("key")
     estimates = robust_estimates(vectors).join(alone, "key", "left_semi")
-    judged = keyed.join(materialize(estimates, "mcd-estimates"), "key", "left").withColumn("distance", _squared_distance())
+    judged = keyed.join(_per_salt(materialize(estimates, "mcd-estimates")), ["key", "salt"], "left").withColumn("distance", _squared_distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select(
         id_col, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
