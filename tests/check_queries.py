@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -20,7 +21,7 @@ def main() -> int:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf_dir), registered.oracle_sql(), 0
