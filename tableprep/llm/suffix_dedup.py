@@ -168,8 +168,15 @@ class SuffixSort:
         return low
 
     def sort(self, windows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Windows, given in order of class, sorted within each class: runs of 1, 2, 4, ... are merged."""
-        order = windows.copy()
+        """Windows, given in order of class, sorted within each class.
+
+        A stable sort puts them in order of their first eight bytes; those that tie are then merged in runs of 1, 2, 4, ...
+        by comparing suffixes.
+        """
+        order = windows[np.lexsort((self.head[windows], classes))]
+        places = np.sort(classes, kind="stable")
+        new = (places[1:] != places[:-1]) | (self.head[order[1:]] != self.head[order[:-1]])
+        classes = np.concatenate([[0], np.cumsum(new)]) if len(order) else places
         begin = np.searchsorted(classes, classes, side="left")
         end = np.searchsorted(classes, classes, side="right")
         here = np.arange(len(order))
