@@ -203,7 +203,8 @@ def doc_gate_normalised(s, d):
 
 
 def _gate_normalised_sql() -> str:
-    critical, optional, response = {5: "which column"}, {6: "class shares", 10: "history"}, {}
+    # An accepted task with optional gaps always gets the standard text.
+    critical, optional, response = {5: "which column"}, {6: "class shares", 10: "history"}, {10: fixed.TASK_RESPONSES["optional"]}
     for k, (_, parsed, errors, warnings, decision) in GATE.items():
         if parsed == "accepted" and decision == "need_info":
             critical[k] = "|".join(errors)
@@ -221,6 +222,42 @@ def _gate_normalised_sql() -> str:
     )
 
 
+STRICT_KIND = "o_orderkey % 9"
+STRICT_FAULTS = {
+    1: "task_name cannot be empty", 2: "problem_statement cannot be empty", 3: "unknown field", 4: "input_mode: unknown field",
+    5: "input_mode: data_type is not in its vocabulary", 6: "output_mode: prediction_type is not in its vocabulary",
+}
+STRICT_RESPONSES = {7: fixed.TASK_RESPONSES["need_info"], 8: fixed.TASK_RESPONSES["rejected"]}
+
+
+def doc_gate_strict(s, d):
+    """Documents with one fault of form each, or a blank response; the clerk and statement carry the order's values."""
+    def pick(cases, default):
+        return f"CASE {STRICT_KIND} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in cases.items()) + f" ELSE {default} END"
+
+    text = " || ".join([
+        "'{\"task_name\": \"'", pick({1: " "}, "concat('order ', o_orderkey)"), "'\", \"problem_statement\": \"'", pick({2: ""}, "o_orderpriority"),
+        "'\", \"task_type\": \"'", pick({8: "unknown"}, "'classification'"), "'\", \"decision\": \"'", pick({7: "need_info"}, "'accepted'"),
+        "'\", \"should_model\": true, \"input_mode\": {\"required_inputs\": [\"rows\"], \"target_column\": \"late\", \"'", pick({4: "shape"}, "'data_granularity'"),
+        "'\": null, \"data_type\": \"'", pick({5: "banana"}, "'tabular'"), "'\"}, \"output_mode\": {\"target_description\": \"d\", \"output_format\": \"f\", \"prediction_type\": \"'",
+        pick({6: "hunch"}, "'class_label'"), "'\"}, \"evaluation\": {\"primary_metric\": \"f1\", \"validation_strategy\": \"holdout\"}, \"'", pick({3: "mood"}, "'raw_user_request'"),
+        "'\": \"x\", \"missing_information\": {\"critical\": '", pick({7: "[\"rows\"]"}, "'[]'"), "', \"optional\": []}}'",
+    ])
+    parsed = taskgate.parse_tasks(read(s, d, "orders").selectExpr("o_orderkey", f"{text} AS document"), "document")
+    done = taskgate.normalise(taskgate.gate(parsed))
+    return done.select("o_orderkey", F.coalesce("problem", F.lit("")).alias("problem"), "can_model", "should_model", "decision", "response")
+
+
+def _strict_sql() -> str:
+    def case(values, default):
+        return f"CASE {STRICT_KIND} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.items()) + f" ELSE '{default}' END"
+
+    return (
+        f"SELECT o_orderkey, {case(STRICT_FAULTS, '')} AS problem, {STRICT_KIND} = 0 AS can_model, {STRICT_KIND} = 0 AS should_model, "
+        f"{case({7: 'need_info', 8: 'rejected'}, 'accepted')} AS decision, {case(STRICT_RESPONSES, '')} AS response FROM orders"
+    )
+
+
 def doc_confirm(s, d):
     """Gated tasks are stored; the confirmation comes later."""
     stored = materialize(taskgate.normalise(taskgate.gate(tasks(s, d))), "gated")
@@ -280,6 +317,7 @@ QUERIES = {
         f"SELECT o_orderkey, {_gate_case(0, 'classification')} AS task_type, {_gate_case(1, 'accepted')} AS decision, {TASK_KIND} = 0 AS can_model, "
         f"{_gate_case(2, '')} AS errors, {_gate_case(3, '')} AS warnings FROM orders",
     ),
+    "doc_gate_strict": (doc_gate_strict, _strict_sql()),
     "doc_gate_normalised": (doc_gate_normalised, _gate_normalised_sql()),
     "doc_confirm": (doc_confirm, _confirm_sql()),
     "doc_decisions": (

@@ -196,6 +196,28 @@ GATE_CONFIRM_INTRO = (
     "当前需求的关键信息已经足够，可以进入建模；但仍缺少一些可选信息，"
     "补充后可能提升建模质量。请补充以下信息，或回复 yes 直接继续：\n"
 )
+TASK_RESPONSES = {
+    "optional": "当前需求的关键信息已经足够，可以进入建模；但仍缺少一些可选信息。请补充这些信息，或回复 yes 直接继续建模。",
+    "need_info": "当前需求可以建模，但缺少关键信息，请补充后再继续。",
+    "need_confirmation": "当前需求可以建模，但缺少一些可选信息。是否继续建模？",
+    "rejected": "当前需求不能明确归类为 classification、regression、forecasting 或 clustering，因此暂不进入自动建模。",
+}
+DATA_TYPES = ("tabular", "text", "image", "time_series", "multimodal", "unknown")
+PREDICTION_TYPES = ("class_label", "probability", "numeric_value", "future_value", "cluster_id", "unknown")
+# The fields of a task definition, and of those of its fields that hold others.
+TASK_FIELDS = (
+    "task_name", "task_type", "decision", "should_model", "problem_statement", "input_mode", "output_mode", "constraints", "evaluation",
+    "assumptions", "missing_information", "user_facing_response", "downstream_notes", "raw_user_request",
+)
+TASK_INNER_FIELDS = {
+    "input_mode": (
+        "data_type", "required_inputs", "optional_inputs", "target_column", "id_columns", "time_column", "data_granularity", "known_data_sources",
+    ),
+    "output_mode": ("prediction_type", "target_description", "output_format"),
+    "constraints": ("must_have", "must_not", "resource_limits", "privacy_or_safety"),
+    "evaluation": ("primary_metric", "secondary_metrics", "validation_strategy", "metric_reasoning"),
+    "downstream_notes": ("for_research_agent", "for_data_agent", "for_train_agent", "for_evaluation_agent"),
+}
 CONFIRMED_ASSUMPTION = "用户确认在缺少以下可选信息时继续建模: "
 CONFIRMED_JOINER = "；"
 CONFIRMED_RESPONSE = "已确认在缺少可选信息的情况下继续进入后续建模。"

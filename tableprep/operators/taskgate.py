@@ -18,6 +18,7 @@ TASK_SCHEMA = (
     "assumptions array<string>, missing_information string, user_facing_response string"
 )
 GAPS_SCHEMA = "critical array<string>, optional array<string>"
+KEYS_SCHEMA = ", ".join(f"{name} map<string,string>" for name in fixed.TASK_INNER_FIELDS)
 
 
 def _list(column: Column) -> Column:
@@ -38,11 +39,17 @@ def parse_tasks(df: DataFrame, document: str) -> DataFrame:
     """Add the fields of each task definition, defaults filled in, and what makes it inconsistent.
 
     An unknown task type is rejected, and an accepted task with optional gaps waits for
-    confirmation, before any gate rule is looked at.
+    confirmation, before any gate rule is looked at. Blank names and statements, unknown fields and
+    words outside the vocabularies make a document inconsistent too. Where a decision leaves the
+    response blank it gets the standard text, and an accepted task with optional gaps always does.
     """
     task = F.col("__task")
-    parsed = df.withColumn("__task", F.from_json(F.col(document), TASK_SCHEMA))
+    parsed = df.withColumns({
+        "__task": F.from_json(F.col(document), TASK_SCHEMA), "__keys": F.from_json(F.col(document), KEYS_SCHEMA),
+        "__own": F.json_object_keys(F.col(document)),
+    })
     fields = parsed.withColumns({
+        "__fault": _fault(task, F.col("__keys"), F.col("__own")),
         "task_type": task["task_type"],
         "stated_decision": F.when(task["task_type"] == "unknown", "rejected").otherwise(task["decision"]),
         "__gaps": upgrade_missing(task["missing_information"]),
@@ -50,23 +57,47 @@ def parse_tasks(df: DataFrame, document: str) -> DataFrame:
         "assumptions": _list(task["assumptions"]), "response": _text(task["user_facing_response"]),
     }).withColumn(
         "gaps", F.struct(_list(F.col("__gaps.critical")).alias("critical"), _list(F.col("__gaps.optional")).alias("optional"))
-    ).drop("__task", "__gaps")
+    ).drop("__task", "__gaps", "__keys", "__own")
     decision = F.col("stated_decision")
     critical, optional = F.size("gaps.critical") > 0, F.size("gaps.optional") > 0
     waits = (decision == "need_confirmation")
     problem = (
-        F.when(task_missing(), "not a task definition")
+        F.when(task_missing(), "not a task definition").when(F.col("__fault").isNotNull(), F.col("__fault"))
         .when((decision == "accepted") & critical, "accepted with critical gaps")
         .when((decision == "need_info") & ~critical, "need_info without critical gaps")
         .when(waits & critical, "need_confirmation with critical gaps")
         .when(waits & ~optional, "need_confirmation without optional gaps")
     )
     settled = F.when((decision == "accepted") & optional, "need_confirmation").otherwise(decision)
+    texts = fixed.TASK_RESPONSES
+    standard = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    response = (
+        F.when((decision == "accepted") & optional, texts["optional"])
+        .when(F.trim("response") == "", F.coalesce(standard[settled], F.col("response"))).otherwise(F.col("response"))
+    )
     return fields.withColumns({
-        "problem": problem, "decision": settled,
+        "problem": problem, "decision": settled, "response": response,
         "task_type": F.when(settled == "rejected", "unknown").otherwise(F.col("task_type")),
-        "should_model": settled == "accepted",
-    }).drop("stated_decision")
+        "should_model": (settled == "accepted") & problem.isNull(),
+    }).drop("stated_decision", "__fault")
+
+
+def _fault(task: Column, keys: Column, own: Column) -> Column:
+    """The first rule of form that a document breaks, null if none."""
+    def outside(column: Column, vocabulary: tuple[str, ...]) -> Column:
+        return column.isNotNull() & ~column.isin(*vocabulary)
+
+    def strangers(names: Column, allowed: tuple[str, ...]) -> Column:
+        return F.exists(names, lambda k: ~k.isin(*allowed))
+
+    fault = F.when(F.trim(_text(task["task_name"])) == "", "task_name cannot be empty").when(
+        F.trim(_text(task["problem_statement"])) == "", "problem_statement cannot be empty"
+    ).when(strangers(own, fixed.TASK_FIELDS), "unknown field")
+    for name, allowed in fixed.TASK_INNER_FIELDS.items():
+        fault = fault.when(strangers(F.map_keys(keys[name]), allowed), f"{name}: unknown field")
+    return fault.when(
+        outside(task["input_mode"]["data_type"], fixed.DATA_TYPES), "input_mode: data_type is not in its vocabulary"
+    ).when(outside(task["output_mode"]["prediction_type"], fixed.PREDICTION_TYPES), "output_mode: prediction_type is not in its vocabulary")
 
 
 def task_missing() -> Column:
@@ -115,13 +146,14 @@ def gate(tasks: DataFrame) -> DataFrame:
         (blank(checks["validation_strategy"]), warnings["validation"]),
     ])
     return tasks.withColumns({"errors": failed, "warnings": noted}).withColumn(
-        "can_model", (F.size("errors") == 0) & (F.size("warnings") == 0)
+        "can_model", (F.size("errors") == 0) & (F.size("warnings") == 0) & F.col("problem").isNull()
     )
 
 
 def normalise(gated: DataFrame) -> DataFrame:
-    """Accepted tasks with errors become need_info, those with only warnings need_confirmation."""
-    downgrade = (F.col("decision") == "accepted") & ~F.col("can_model")
+    """Accepted tasks with errors become need_info, those with only warnings need_confirmation. Inconsistent documents
+    stay as they are, with their problem."""
+    downgrade = (F.col("decision") == "accepted") & F.col("problem").isNull() & ((F.size("errors") > 0) | (F.size("warnings") > 0))
     to_info = downgrade & (F.size("errors") > 0)
     to_confirm = downgrade & ~to_info
     critical = F.when(to_info, F.array_distinct(F.concat("gaps.critical", "errors"))).otherwise(F.col("gaps.critical"))
