@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tableprep.session import materialize
 
 NAMES = ("train", "validation", "test")
 DIGEST_PREFIX = 4
+ROWS_PER_PREFIX = 1_000_000  # hashes of one class under one prefix that a window may rank
 
 
 def split_shares(train: float | None, validation: float | None, test: float | None) -> list[tuple[str, float]]:
@@ -70,9 +73,17 @@ def stratified_cuts(df: DataFrame, digest: Column, stratum: str, shares: list[tu
     """(__class, __n, __cut_i): rows whose hash is below __cut_i belong to one of the first i+1 splits."""
     rows = df.select(
         F.coalesce(quoted(stratum).cast("string"), F.lit("\u0000")).alias("__class"), digest.alias("digest")
-    ).withColumn("prefix", F.substring("digest", 1, DIGEST_PREFIX))
-    tally = materialize(rows.groupBy("__class", "prefix").agg(F.count(F.lit(1)).alias("n")), "strata")
-    per_class = Window.partitionBy("__class")  # at most 16^DIGEST_PREFIX rows per class
+    )
+    length = DIGEST_PREFIX
+    while True:
+        keyed = rows.withColumn("prefix", F.substring("digest", 1, length))
+        tally = materialize(keyed.groupBy("__class", "prefix").agg(F.count(F.lit(1)).alias("n")), "strata")
+        most = tally.agg(F.max("n")).first()[0] or 0
+        if most <= ROWS_PER_PREFIX or length >= 2 * DIGEST_PREFIX:
+            break
+        length += max(1, math.ceil(math.log(most / ROWS_PER_PREFIX, 16)))
+    rows = keyed
+    per_class = Window.partitionBy("__class")  # at most 16^length rows per class, and as many as its hashes need
     upto = per_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     summed = tally.select(
         "__class", "prefix", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(per_class).alias("__n")

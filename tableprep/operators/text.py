@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import quoted
-from tableprep.functions.joins import lookup
+from tableprep.functions.joins import left_join, lookup
 from tableprep.operators.fitted import Fitted, fact
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -69,9 +69,12 @@ def fit_tfidf_vector(df: DataFrame, column: str, *, features: int = HASHED_FEATU
 
 
 def join_embeddings(df: DataFrame, vectors: DataFrame, key: str, vector_key: str, vector: str) -> DataFrame:
-    """Attach the vectors of another table by key; rows without one keep a null vector."""
-    side = vectors.select(quoted(vector_key).alias(key), quoted(vector).alias("embedding"))
-    return df.join(side, key, "left")
+    """Attach the vectors of another table by key; rows without one keep a null vector.
+
+    A key that has several vectors gets one of them, the least, so no row is repeated.
+    """
+    side = vectors.groupBy(quoted(vector_key).alias(key)).agg(F.min(quoted(vector)).alias("embedding"))
+    return left_join(df, side, [key])
 
 
 def embed_texts(

@@ -146,3 +146,20 @@ def test_copies_are_dropped_exactly(spark):
     with_map = df.withColumn("m", F.create_map(F.lit("k"), F.col("b")))
     assert remedies.drop_duplicate_rows(with_map).count() == 201
     assert remedies.drop_duplicate_rows(df, ["a"]).count() == 8
+
+
+def test_stratified_split_lengthens_its_prefixes(spark, monkeypatch):
+    df = spark.range(3000).withColumn("kind", F.when(F.col("id") % 4 == 0, "a").otherwise("b"))
+    shares = split.split_shares(0.6, 0.2, 0.2)
+    plain = split.stratified_split(df, ["id"], "kind", shares)
+    monkeypatch.setattr(split, "DIGEST_PREFIX", 1)
+    monkeypatch.setattr(split, "ROWS_PER_PREFIX", 5)
+    longer = split.stratified_split(df, ["id"], "kind", shares)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, longer.collect()))
+
+
+def test_vectors_join_once_per_row(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (None, "w")], "k int, t string")
+    vectors = spark.createDataFrame([(1, [0.5]), (1, [0.25]), (3, [1.0]), (None, [9.0])], "v int, e array<double>")
+    found = {r["t"]: r["embedding"] for r in text.join_embeddings(rows, vectors, "k", "v", "e").collect()}
+    assert found == {"x": [0.25], "y": None, "z": None, "w": None}
