@@ -3,7 +3,7 @@
 Every byte covered by a string of 200 bytes that also starts elsewhere is removed. A suffix array of a whole corpus
 does not fit one machine, so suffixes are first dealt to where their equals are: of the 64-byte grams a window of 200
 bytes begins with or holds, the one of least hash is its anchor, and equal windows have equal anchors. Neighbouring
-windows with one anchor form a stretch of some 270 bytes. A stretch that occurs twice is settled by its hash. Where
+windows with one anchor form a stretch of some 270 bytes. It is longer where the anchor recurs. A stretch that occurs twice is settled by its hash. Where
 stretches differ but share an anchor, one of each kind is sorted: suffixes are merged by a mergesort that compares two
 of them through prefix polynomial hashes, a binary search finding how far they agree, and neighbours in the order that
 agree over 200 bytes repeat each other, which is checked on the bytes.
@@ -220,10 +220,11 @@ class SuffixSort:
         return np.array([seen[key] > 1 for key in keys], bool)
 
 
-def repeated_ranges(slices: list[bytes], classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each slice that has an equal one in its class, -1 where there is none.
+def repeated_runs(slices: list[bytes], classes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slice, first and last window of every run of windows that have an equal one in the class of their slice.
 
-    Slices come in order of class. All windows of a slice hold its anchor, so what they cover has no gaps.
+    Slices come in order of class. Starts in a run lie at most MATCH apart, so it covers its bytes without gaps. A slice
+    whose anchor recurs can be long and have several runs, with bytes between them that stand nowhere else.
     """
     lengths = np.fromiter(map(len, slices), np.int64, len(slices))
     offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -232,10 +233,19 @@ def repeated_ranges(slices: list[bytes], classes: list[int]) -> tuple[np.ndarray
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     windows = np.repeat(offsets[:-1], counts) + inner
     on = SuffixSort(data).repeated(windows, np.repeat(np.asarray(classes, np.int64), counts))
+    owner, inner = np.repeat(np.arange(len(slices)), counts)[on], inner[on]
+    cut = (owner[1:] != owner[:-1]) | (inner[1:] - inner[:-1] > MATCH)
+    new, end = np.ones(len(owner), bool), np.ones(len(owner), bool)
+    new[1:], end[:-1] = cut, cut
+    return owner[new], inner[new], inner[end]
+
+
+def repeated_ranges(slices: list[bytes], classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each slice that has an equal one in its class, -1 where there is none."""
+    owner, begin, end = repeated_runs(slices, classes)
     first, last = np.full(len(slices), np.iinfo(np.int64).max), np.full(len(slices), -1, np.int64)
-    owner = np.repeat(np.arange(len(slices)), counts)[on]
-    np.minimum.at(first, owner, inner[on])
-    np.maximum.at(last, owner, inner[on])
+    np.minimum.at(first, owner, begin)
+    np.maximum.at(last, owner, end)
     return np.where(last < 0, -1, first), last
 
 
@@ -351,8 +361,8 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Sorts the suffixes of whole classes, many small ones at a time. Rows come sorted by anchor."""
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
-        first, last = repeated_ranges([r[5] for r in rows], [r[6] for r in rows])
-        hit = [(r[0], r[1], r[2] + int(a), r[2] + int(b) + MATCH) for r, a, b in zip(rows, first, last) if b >= 0 and r[4]]
+        runs = zip(*(x.tolist() for x in repeated_runs([r[5] for r in rows], [r[6] for r in rows])))
+        hit = [(rows[k][0], rows[k][1], rows[k][2] + a, rows[k][2] + b + MATCH) for k, a, b in runs if rows[k][4]]
         columns = list(zip(*hit)) if hit else [(), (), (), ()]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "tag", "begin", "end"])
@@ -458,7 +468,9 @@ def repeated_spans(
         windows = large.mapInArrow(_window_hashes, "id long, tag int, first long, anchor long, open boolean, window long, at long")
         twice = windows.groupBy("anchor", "window").count().where(F.col("count") > 1).drop("count")
         hit = windows.where("open").join(materialize(twice, "suffix-windows").hint("merge"), ["anchor", "window"], "left_semi")
-        split = hit.groupBy("id", "tag", "first").agg((F.col("first") + F.min("at")).alias("begin"), (F.col("first") + F.max("at") + MATCH).alias("end"))
+        # Starts of one bucket lie less than MATCH apart, so what they cover has no gaps.
+        bucket = F.floor(F.col("at") / MATCH).alias("bucket")
+        split = hit.groupBy("id", "tag", "first", bucket).agg((F.col("first") + F.min("at")).alias("begin"), (F.col("first") + F.max("at") + MATCH).alias("end"))
         ranges = ranges.unionByName(split.select("id", "tag", "begin", "end"))
     ranges = materialize(ranges, "suffix-ranges").groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("more"))
     removed = touched.select("id", "tag", "text", "spans").join(materialize(ranges, "suffix-more").hint("merge"), ["id", "tag"], "left")

@@ -93,3 +93,29 @@ def test_colliding_hashes_are_found_out(monkeypatch):
     first, last = s.repeated_ranges(slices, [0, 0, 0])
     assert first.tolist() == [8, 8, 8] or (first == -1).all()
     assert s.repeated_ranges(slices[:2], [0, 1])[0].tolist() == [-1, -1]
+
+
+def lines_around_unique_words():
+    """A line repeated, words that stand nowhere else, and the line repeated again: the anchor recurs on both sides."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    rows = []
+    for period in (20, 45, 70, 100, 130):
+        line = word(period) + "\n"
+        for _ in range(6):
+            times = 400 // period + 1
+            rows.append((len(rows), line * times + word(int(rng.integers(12, 41))) + line * times, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("largest", [4096, 3])
+def test_unique_words_between_repeated_lines_stay(spark, largest):
+    rows = lines_around_unique_words()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    assert found(s.repeated_spans(docs, largest_class=largest)) == brute_force(rows)
+
+
+def test_runs_of_a_slice_have_no_gaps():
+    line = b"0123456789abcdefghijklmnopqrstuvwxyz\n" * 12
+    owner, first, last = s.repeated_runs([line + b"nowhere else" + line], [0])
+    assert owner.tolist() == [0, 0] and first.tolist() == [0, len(line) + 12] and last.tolist() == [len(line) - 200, 2 * len(line) + 12 - 200]
