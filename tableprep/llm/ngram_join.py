@@ -279,19 +279,29 @@ def near_groups(
     are similar only if they have the same words; null texts and texts without words are classes of their own, without
     links. Null ids count as smaller than any. An empty table gives an empty result; other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, threshold, tolerance).drop("class_hash")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """Groups with class_hash besides, the row_hash of the class's row of largest id; null for texts without words.
+
+    Ids may be null or repeat, so classes go by numbers of their own, and class_id and class_hash together name one.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
     rows = materialize(keyed.mapInArrow(_set_rows, SET_SCHEMA), "near-sets")
     worded = rows.where("n_shingles > 0")
     key = ["set1", "set2"]
     sets = worded.groupBy(*key).agg(
-        F.max("id").alias("node"), F.count("*").alias("copies"), F.max_by(F.struct("row_hash", "bands"), F.struct("id", "row_hash")).alias("of")
+        F.max("id").alias("top"), F.count("*").alias("copies"), F.max_by(F.struct("row_hash", "bands"), F.struct("id", "row_hash")).alias("of")
     )
-    sets = materialize(sets.select(*key, "node", "copies", F.col("of.row_hash").alias("node_hash"), F.col("of.bands").alias("bands")), "near-classes")
-    proposed = _proposed(sets).join(sets.select("node", "copies", "node_hash"), "node")
+    sets = sets.select(*key, "top", "copies", F.col("of.row_hash").alias("top_hash"), F.col("of.bands").alias("bands"))
+    # Numbered as it is written: whoever reads the table sees the same numbers.
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    proposed = _proposed(sets).join(sets.select("node", "top", "copies", "top_hash"), "node")
     proposed = materialize(proposed, "near-members")
     # Neither members nor texts have a bound: they meet by a shuffle at every size.
-    members = keyed.join(proposed.hint("merge"), (F.col("id") == F.col("node")) & (F.col("row_hash") == F.col("node_hash")))
+    members = keyed.join(proposed.hint("merge"), (F.col("id") == F.col("top")) & (F.col("row_hash") == F.col("top_hash")))
     members = members.dropDuplicates(["node"]).select("component", "blocks", "node", "copies", "text")
     packed = materialize(members.mapInArrow(_packed, "component long, blocks long, node long, copies long, shingles binary, signature binary"), "near-packed")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -306,34 +316,36 @@ def near_groups(
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(judged.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = materialize(classes, "near-linked")
-    largest = classes.groupBy("root").agg(F.max("node").alias("class_id"))
-    known = materialize(classes.join(largest, "root").join(links, "node").select("node", "class_id", "links"), "near-known")
-    named = sets.select(*key, "node", "copies").join(known.hint("merge"), "node", "left")
+    tops = classes.join(sets.select("node", "top", "top_hash"), "node")
+    largest = tops.groupBy("root").agg(F.max(F.struct("top", "top_hash")).alias("of"))
+    known = classes.join(largest, "root").join(links, "node")
+    known = materialize(known.select("node", F.col("of.top").alias("class_id"), F.col("of.top_hash").alias("class_hash"), "links"), "near-known")
+    named = sets.select(*key, "node", "top", "top_hash", "copies").join(known.hint("merge"), "node", "left")
     named = materialize(named, "near-named").hint("merge")
     full = worded.join(named, key).select(
-        "id", "row_hash", F.col("node").alias("copy_id"), F.coalesce("class_id", "node").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        "id", "row_hash", F.col("top").alias("copy_id"), F.coalesce("class_id", "top").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_hash", "top_hash").alias("class_hash"),
     )
     bare = rows.where("n_shingles = 0").select(
-        "id", "row_hash", F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
+        "id", "row_hash", F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        F.lit(None).cast("long").alias("class_hash"),
     )
     named_back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return full.unionByName(bare).select(
-        named_back("id").alias(id_col), named_back("copy_id").alias("copy_id"), named_back("class_id").alias("class_id"), "n_links", "row_hash"
+        named_back("id").alias(id_col), named_back("copy_id").alias("copy_id"), named_back("class_id").alias("class_id"), "n_links", "row_hash", "class_hash"
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the largest id, with all its columns."""
-    found = materialize(near_groups(docs, id_col, text_col), "near-groups")
+    """One row of each class, that with the largest id, with all its columns.
+
+    Texts without words are classes of their own and all stay. Of rows that share the largest id, that with the largest
+    row_hash stays; of equal ones a single row.
+    """
+    found = materialize(_grouped(docs, id_col, text_col).where("class_hash IS NOT NULL"), "near-groups")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stays = F.col(id_col).eqNullSafe(F.col("class_id"))
+    stays = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("row_hash") == F.col("class_hash"))
     gone = found.groupBy(id_col, "row_hash").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
-    # Rows that repeat an id: of equal ones a single row stays; of different texts in one class only the last does.
-    rank = found.where(stays).groupBy("class_id").agg(F.max("row_hash").alias("stay_hash"), F.countDistinct("row_hash").alias("texts"))
-    rank = rank.where("texts > 1").select(F.col("class_id").alias("many"), "stay_hash")
-    gone = gone.join(rank, F.col(id_col).eqNullSafe(F.col("many")), "left")
-    gone = gone.withColumn("stays", F.col("stays") & F.coalesce(F.col("row_hash") == F.col("stay_hash"), F.lit(True)))
     gone = materialize(gone.where("NOT stays OR n > 1").select(F.col(id_col).alias("__gone"), F.col("row_hash").alias("__hash"), "stays"), "near-gone")
     same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__hash"))
     left = docs.join(gone.hint("merge"), same, "left_anti")

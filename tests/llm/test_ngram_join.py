@@ -115,3 +115,15 @@ def test_stage_keeps_one_row_of_each_class(edge_docs, edge_rows):
     assert left.columns == edge_docs.columns
     ids = [r["doc_id"] for r in left.collect()]
     assert sorted(ids, key=str) == sorted({c for _, c, _ in brute_force(edge_rows)}, key=str)
+
+
+def test_unrelated_texts_under_null_and_repeated_ids(spark):
+    alone = lambda name: " ".join(f"{name}{j}" for j in range(60))
+    rows = [(None, alone(f"n{k}x")) for k in range(5)] + [(7, alone(f"r{k}x")) for k in range(4)]
+    rows += [(None, alone("n0x") + " more"), (None, alone("pair") + " one"), (None, alone("pair") + " two"), (7, alone("r0x") + " end"), (3, alone("r0x"))]
+    rows += [(None, ""), (None, None), (None, " "), (7, ""), (7, "\t"), (None, alone("twice")), (None, alone("twice"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(n.near_groups(docs)) == brute_force(rows)
+    left = [r["text"] for r in n.drop_near_copies(docs).collect()]
+    assert len(left) == 5 + 4 + 1 + 5 + 1
+    assert {(t or "").split(" ")[0] for t in left} == {(t or "").split(" ")[0] for _, t in rows}
