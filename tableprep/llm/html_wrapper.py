@@ -266,7 +266,7 @@ def main_path(wrapper: list[Item]) -> list[str]:
     """Keys from the root to the element that holds the article.
 
     That is the richest element named as content, if it holds half of the words outside furniture; else the way down
-    goes on as long as one element holds most of them. An empty path means the whole page.
+    goes on as long as one element holds nine tenths of them. An empty path means the whole page.
     """
     named: list[tuple[int, int, list[str]]] = []
 
@@ -284,12 +284,10 @@ def main_path(wrapper: list[Item]) -> list[str]:
     rich = [x for x in named if x[0] > 0 and 2 * x[0] >= total]
     if rich:
         return max(rich, key=lambda x: (x[0], x[1]))[2]
-    if named and max(named)[0] > 0:
-        return max(named, key=lambda x: (x[0], x[1]))[2]
     path, items = [], wrapper
     while True:
         best = max((i for i in items if i.key != "#"), key=_worth, default=None)
-        if best is None or best.is_block() or 5 * _worth(best) < 3 * sum(_worth(i) for i in items) or not _worth(best):
+        if best is None or best.is_block() or 10 * _worth(best) < 9 * total or not _worth(best):
             return path
         path, items = path if best.key.startswith("(") else [*path, best.key], best.items
 

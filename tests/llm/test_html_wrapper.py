@@ -81,3 +81,11 @@ def test_no_rows(spark):
 @pytest.mark.parametrize("bad", ["<!-- never closed", "<p title='>'>x", "</p></div>", "<td><td><tr>", "<a href=\"x>", "<![CDATA[x]]>"])
 def test_any_text_can_be_parsed(bad):
     w.extract(bad, ["html", "body"])
+
+
+def test_small_named_element_does_not_win_over_the_article():
+    page = "<body><div class=a><div class=b><p>{0} first part of the article.</p></div><div class=c><p>{0} second part of it.</p></div></div><div class=text>hi</div></body>"
+    pages = [page.format(i) for i in range(4)]
+    path = w.main_path(w.infer([w.skeleton(x) for x in pages]))
+    for i, x in enumerate(pages):
+        assert f"{i} first part of the article. {i} second part of it." in w.extract(x, path)
