@@ -40,6 +40,8 @@ FURNITURE_WORDS = frozenset(
     "search share sharing social related recommended breadcrumb breadcrumbs pagination pager widget comment comments reply replies "
     "respond disqus toolbar skip copyright".split()
 )
+# Parts of a class that tell about the layout around an element, as in with-sidebar or no-comments.
+LAYOUT_WORDS = frozenset("with without no not has have is fixed".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -56,21 +58,58 @@ _PARTS = re.compile(r"[a-z]+")
 class Element:
     """A page element: key (tag with its first class or id), and children, which are elements or texts."""
 
-    __slots__ = ("tag", "key", "furniture", "content", "children")
+    __slots__ = ("tag", "key", "furniture", "sure", "content", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.key, self.children = tag, tag, []
         found = {a.lower(): (x or y or z).lower() for a, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = set(_PARTS.findall(" ".join(found.values())))
+        names = [set(_PARTS.findall(token)) for token in " ".join(found.values()).split()]
+        words = set().union(*names)
         name = (found.get("class") or found.get("id") or "").split()
         if name:
             self.key = f"{tag}.{re.sub('[0-9]+', '', name[0])}"
         self.content = tag in ("article", "main") or (tag in ("div", "section", "td") and bool(words & CONTENT_WORDS))
-        self.furniture = tag in FURNITURE or (tag not in ("html", "body", "article", "main") and bool(words & FURNITURE_WORDS))
+        told = () if tag in ("html", "body", "article", "main") else [x for x in names if x & FURNITURE_WORDS and not x & LAYOUT_WORDS]
+        self.furniture = tag in FURNITURE or bool(told)
+        # Forms and names like content-sidebar may also wrap the page.
+        self.sure = (tag in FURNITURE and tag != "form") or any(x <= FURNITURE_WORDS for x in told)
 
 
 def parse(page: str) -> Element:
     """The elements of a page as a browser would roughly see them; anything goes in, comments and raw elements stay out."""
+    root = _elements(page)
+    _spare_wrappers(root)
+    return root
+
+
+def _spare_wrappers(root: Element) -> None:
+    """Elements named as furniture that wrap the article are none.
+
+    Such an element holds the page's main element, or its only articles while nothing outside is named as content, or,
+    where its name is not furniture throughout, most of the words outside links and no less of what is named as content.
+    """
+    order, todo = [], [(root, -1, False)]
+    while todo:
+        element, parent, link = todo.pop()
+        link = link or element.tag == "a"
+        own = 0 if link else sum(len("".join(c.split())) for c in element.children if isinstance(c, str))
+        named = element.content and (not element.furniture or element.tag in ("article", "main"))
+        order.append([element, parent, own, int(named), int(element.tag == "main"), int(element.tag == "article")])
+        here = len(order) - 1
+        todo.extend((c, here, link) for c in element.children if isinstance(c, Element))
+    for row in reversed(order):
+        if row[1] >= 0:
+            for k in range(2, 6):
+                order[row[1]][k] += row[k]
+    _, _, words, named, _, _ = order[0]
+    for element, _, own, inside, mains, articles in order:
+        if element.furniture and element.tag != "head":
+            alone = inside == named
+            wraps = mains or (articles and alone) or (not element.sure and 2 * own > words and (inside or alone))
+            element.furniture = not wraps
+
+
+def _elements(page: str) -> Element:
     root = Element("#root")
     stack, at, n = [root], 0, len(page)
     opened = {"#root": 1}
@@ -172,7 +211,8 @@ def _items(told: list, in_link: bool = False) -> list[Item]:
 
 def _united(a: Item, b: Item) -> Item:
     """One item for two of the same key."""
-    out = Item(a.key, a.kind | b.kind, None, a.constant if a.constant == b.constant else None, a.chars + b.chars, a.links + b.links)
+    kind = (a.kind & b.kind & 1) | ((a.kind | b.kind) & 2)  # furniture only if it is so on all pages
+    out = Item(a.key, kind, None, a.constant if a.constant == b.constant else None, a.chars + b.chars, a.links + b.links)
     out.items = align(a.items, b.items)
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     return out
@@ -300,14 +340,15 @@ def _select(element: Element, path: list[str]) -> list[Element]:
 
 
 def text_of(elements: list[Element]) -> str:
-    """Their words without furniture, white space made single blanks; inline elements do not part words."""
+    """Their words without furniture inside them, white space made single blanks; inline elements do not part words."""
     parts: list[str] = []
+    chosen = set(map(id, elements))
     todo: list = list(reversed(elements))
     while todo:
         node = todo.pop()
         if isinstance(node, str):
             parts.append(node)
-        elif not node.furniture:
+        elif not node.furniture or id(node) in chosen:
             if node.tag in INLINE:
                 todo.extend(reversed(node.children))
             else:

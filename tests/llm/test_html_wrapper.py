@@ -89,3 +89,17 @@ def test_small_named_element_does_not_win_over_the_article():
     path = w.main_path(w.infer([w.skeleton(x) for x in pages]))
     for i, x in enumerate(pages):
         assert f"{i} first part of the article. {i} second part of it." in w.extract(x, path)
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "content-sidebar-wrap", "no-comments", "has-banner", "nav-fixed", "page-search"])
+def test_wrapper_of_the_page_is_not_furniture(name):
+    page = "<body><div class='{1}'><h1>Title {0}</h1><p>The article of page {0} is here.</p><div class=sidebar>Other things</div></div><div class=footer>us</div></body>"
+    pages = [page.format(i, name) for i in range(4)]
+    path = w.main_path(w.infer([w.skeleton(x) for x in pages]))
+    for i, x in enumerate(pages):
+        assert w.extract(x, path) == f"Title {i} The article of page {i} is here."
+
+
+def test_form_around_an_article_is_not_furniture_and_comments_are():
+    page = "<form id=all><article><p>Short one.</p></article><div class=comments><p>A comment that is longer than the article.</p></div></form>"
+    assert w.extract(page, None) == "Short one."
