@@ -11,9 +11,11 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +26,6 @@ from tableprep.session import materialize
 
 SAMPLE_PAGES = 12  # pages a wrapper is inferred from
 SALTS = 64
-DEEPEST = 60  # elements nested deeper are read as if their tags were not there
 NO_ID = -(1 << 63)
 LONGEST_PERIOD = 4  # elements in a repeated group
 
@@ -143,14 +144,14 @@ def _elements(page: str) -> Element:
                 stack[-1].children.append(Element(tag))
                 continue
             ends = CLOSES.get(tag) or (() if tag in INLINE else ("p",))
-            depth = len(stack) - 1
+            depth = len(stack) - 1 if any(opened.get(t) for t in ends) else 0
             while depth > 0 and stack[depth].tag not in SCOPES and stack[depth].tag not in ends:
                 depth -= 1
             if depth > 0 and stack[depth].tag in ends:
                 for gone in stack[depth:]:
                     opened[gone.tag] -= 1
                 del stack[depth:]
-            if len(stack) <= DEEPEST and not attributes.rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 element = Element(tag, attributes)
                 stack[-1].children.append(element)
                 stack.append(element)
@@ -159,20 +160,25 @@ def _elements(page: str) -> Element:
 
 
 def skeleton(page: str) -> str:
-    """A page's token stream without its words: elements, and length and checksum of each text."""
+    """A page's token stream without its words: elements, their ends (0), and length and checksum of each text.
 
-    def told(element: Element) -> list:
-        out = []
-        for child in element.children:
-            if isinstance(child, Element):
-                out.append([child.key, int(child.furniture) + 2 * int(child.content), told(child)])
-            else:
-                words = " ".join(child.split())
-                if words:
-                    out.append([len(words), zlib.crc32(words.encode())])
-        return out
-
-    return json.dumps(told(parse(page)), separators=(",", ":"))
+    The stream is flat, so that no depth of nesting is too much.
+    """
+    out: list = []
+    todo: list = list(reversed(parse(page).children))
+    while todo:
+        node = todo.pop()
+        if node == 0:
+            out.append(0)
+        elif isinstance(node, Element):
+            out.append([node.key, int(node.furniture) + 2 * int(node.content)])
+            todo.append(0)
+            todo.extend(reversed(node.children))
+        else:
+            words = " ".join(node.split())
+            if words:
+                out.append([len(words), zlib.crc32(words.encode())])
+    return json.dumps(out, separators=(",", ":"))
 
 
 class Item:
@@ -191,21 +197,54 @@ class Item:
 
     def text(self) -> str:
         """The regular expression that this item stands for."""
-        inner = " ".join(i.text() for i in self.items)
-        own = ("#" if self.constant is None else f"'{self.constant:08x}'") if self.key == "#" else inner if self.key.startswith("(") else f"<{self.key}>{inner}</>"
-        suffix = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[int(self.optional), int(self.repeated)]
-        return f"({own}){suffix}" if suffix or self.key.startswith("(") else own
-
-
-def _items(told: list, in_link: bool = False) -> list[Item]:
-    out = []
+        out: list[str] = []
+        todo: list[Item | str] = [self]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, str):
+                out.append(item)
+                continue
+            suffix = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[int(item.optional), int(item.repeated)]
+            group = item.key.startswith("(")
+            begin, end = ("(", f"){suffix}") if suffix or group else ("", "")
+            if item.key == "#":
+                out.append(begin + ("#" if item.constant is None else f"'{item.constant:08x}'") + end)
+                continue
+            if not group:
+                begin, end = f"{begin}<{item.key}>", f"</>{end}"
+            out.append(begin)
+            todo.append(end)
+            for k, inner in enumerate(reversed(item.items)):
+                todo.extend((" ", inner) if k else (inner,))
+        return "".join(out)
+
+
+@contextmanager
+def _any_depth() -> Iterator[None]:
+    """Lets calls nest as deep as pages do. Frames of Python functions are on the heap, so the limit guards nothing here."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1 << 30))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _items(told: list) -> list[Item]:
+    """The items of a token stream."""
+    out: list[Item] = []
+    above: list[tuple] = []  # items so far, key, kind and link of the elements around
+    link = False
     for part in told:
-        if isinstance(part[0], int):
-            out.append(Item("#", constant=part[1], chars=part[0], links=part[0] if in_link else 0))
+        if part == 0:
+            inner = collapse(out)
+            out, key, kind, link = above.pop()
+            out.append(Item(key, kind, inner, None, sum([i.chars for i in inner]), sum([i.links for i in inner])))
+        elif isinstance(part[0], int):
+            out.append(Item("#", constant=part[1], chars=part[0], links=part[0] if link else 0))
         else:
-            link = in_link or part[0].split(".")[0] == "a"
-            inner = collapse(_items(part[2], link))
-            out.append(Item(part[0], part[1], inner, None, sum(i.chars for i in inner), sum(i.links for i in inner)))
+            above.append((out, *part, link))
+            out, link = [], link or part[0].split(".")[0] == "a"
     return out
 
 
@@ -287,19 +326,27 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
 def infer(skeletons: list[str]) -> list[Item]:
     """The wrapper of the pages: each is aligned with what the ones before it gave."""
     wrapper: list[Item] | None = None
-    for told in skeletons:
-        page = collapse(_items(json.loads(told)))
-        wrapper = page if wrapper is None else align(wrapper, page)
+    with _any_depth():
+        for told in skeletons:
+            page = collapse(_items(json.loads(told)))
+            wrapper = page if wrapper is None else align(wrapper, page)
     return wrapper or []
 
 
-def _worth(item: Item) -> int:
-    """Characters of an item outside furniture and links."""
-    if item.kind & 1:
-        return 0
-    if item.key == "#":
-        return item.chars - item.links
-    return sum(_worth(i) for i in item.items)
+def _weigh(wrapper: list[Item]) -> dict[int, int]:
+    """Characters outside furniture and links of every item, by its identity."""
+    order, todo = [], [(i, None) for i in wrapper]
+    worth: dict[int, int] = {}
+    while todo:
+        item, above = todo.pop()
+        order.append((item, above))
+        worth[id(item)] = item.chars - item.links if item.key == "#" else 0
+        if not item.kind & 1:
+            todo.extend((i, item) for i in item.items)
+    for item, above in reversed(order):
+        if above is not None and not item.kind & 1:
+            worth[id(above)] += worth[id(item)]
+    return worth
 
 
 def main_path(wrapper: list[Item]) -> list[str]:
@@ -308,28 +355,32 @@ def main_path(wrapper: list[Item]) -> list[str]:
     That is the richest element named as content, if it holds half of the words outside furniture; else the way down
     goes on as long as one element holds nine tenths of them. An empty path means the whole page.
     """
-    named: list[tuple[int, int, list[str]]] = []
-
-    def look(items: list[Item], path: list[str]) -> None:
-        for item in items:
-            if item.key == "#" or item.kind & 1:
-                continue
-            here = path if item.key.startswith("(") else [*path, item.key]
-            if item.kind & 2:
-                named.append((_worth(item), len(here), here))
-            look(item.items, here)
-
-    look(wrapper, [])
-    total = sum(_worth(i) for i in wrapper)
-    rich = [x for x in named if x[0] > 0 and 2 * x[0] >= total]
-    if rich:
-        return max(rich, key=lambda x: (x[0], x[1]))[2]
+    worth = _weigh(wrapper)
+    total = sum(worth[id(i)] for i in wrapper)
+    best_named, path = (0, 0), None
+    here: list[str] = []
+    todo: list[tuple[Item, int]] = [(i, 0) for i in reversed(wrapper)]
+    while todo:
+        item, depth = todo.pop()
+        if item.key == "#" or item.kind & 1:
+            continue
+        del here[depth:]
+        if not item.key.startswith("("):
+            here.append(item.key)
+        own = worth[id(item)]
+        if item.kind & 2 and own > 0 and 2 * own >= total and (own, len(here)) > best_named:
+            best_named, path = (own, len(here)), list(here)
+        todo.extend((i, len(here)) for i in reversed(item.items))
+    if path is not None:
+        return path
     path, items = [], wrapper
     while True:
-        best = max((i for i in items if i.key != "#"), key=_worth, default=None)
-        if best is None or best.is_block() or 10 * _worth(best) < 9 * total or not _worth(best):
+        best = max((i for i in items if i.key != "#"), key=lambda i: worth[id(i)], default=None)
+        if best is None or best.is_block() or 10 * worth[id(best)] < 9 * total or not worth[id(best)]:
             return path
-        path, items = path if best.key.startswith("(") else [*path, best.key], best.items
+        if not best.key.startswith("("):
+            path.append(best.key)
+        items = best.items
 
 
 def _select(element: Element, path: list[str]) -> list[Element]:

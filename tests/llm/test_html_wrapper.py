@@ -103,3 +103,12 @@ def test_wrapper_of_the_page_is_not_furniture(name):
 def test_form_around_an_article_is_not_furniture_and_comments_are():
     page = "<form id=all><article><p>Short one.</p></article><div class=comments><p>A comment that is longer than the article.</p></div></form>"
     assert w.extract(page, None) == "Short one."
+
+
+def test_nesting_of_any_depth_keeps_its_tags():
+    inner = "<div>One.</div><div>Two.</div><nav>menu</nav><div class=ads>buy</div>"
+    page = "<body><article>" + "<font>" * 70 + "<div>" * 30 + inner + "</div>" * 30 + "<p>Last words.</p></article><footer>us</footer></body>"
+    assert w.extract(page, ["body", "article"]) == w.extract(page, None) == "One. Two. Last words."
+    deep = "<div>" * 20_000 + "<p>deep {0}</p>" + "</div>" * 20_000 + "<p>after</p>"
+    path = w.main_path(wrapper := w.infer([w.skeleton(deep.format(i)) for i in range(2)]))
+    assert w.extract(deep.format(5), path).startswith("deep 5") and wrapper[0].text().count("<div>") == 20_000
