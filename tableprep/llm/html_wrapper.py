@@ -2,8 +2,8 @@
 
 Pages of one host mostly come from one template. From a bounded sample of a host's pages a wrapper is inferred: the
 token streams of the pages are aligned one after another, and every mismatch is resolved into an optional group, a
-repeated group, or, between texts, a slot. The wrapper shows which element holds what varies from page to page and is
-not navigation, advertising and the like; the path to that element is the host's rule, applied to all of its pages.
+repeated group, or, between texts, a slot. The wrapper shows which element holds most of the text that is not links,
+navigation, advertising and the like; the path to that element is the host's rule, applied to all of its pages.
 """
 
 from __future__ import annotations
