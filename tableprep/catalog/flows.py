@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tableprep.catalog.common import EVENTS_GAPS, LABELLED, TABLES, events_with_gaps, labelled_documents, read
@@ -121,7 +122,7 @@ def sink_report(s, d):
 
 
 def content_digest(s, d):
-    return sinks.digest_sum(read(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return sinks.digest_sum(read(s, d, "customer").withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal")).withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))))
 
 
 def content_hash(s, d):
@@ -300,9 +301,75 @@ def plan_apply_resample(s, d):
     return execute.prepare(read(s, d, "events"), plan).rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
 
 
+def _reloaded(s, done, functions=None):
+    """The prepared plan's steps written, and read back in a session of its own."""
+    path = scratch_path(s, "preprocessor")
+    done.write_preprocessor(path)
+    return execute.load_preprocessor(s.newSession(), path, functions)
+
+
+def plan_reload_lineitem(s, d):
+    """The default plan's parameters, fitted on the training rows, applied to all rows as if they were new."""
+    df = read(s, d, "lineitem")
+    plan = assess.assess(df, "lineitem", Task("regression", "l_extendedprice")).plan("lineitem", ["lineitem.parquet"])
+    rows = _reloaded(s, execute.prepare(df, plan)).apply(df)
+    return rows.groupBy("l_shipdate_year").agg(
+        F.count(F.lit(1)).alias("row_count"), F.round(F.avg("l_discount"), 4).alias("l_discount"), F.round(F.avg("l_tax"), 4).alias("l_tax"),
+        F.sum("l_returnflag_A").alias("l_returnflag_A"), F.round(F.sum("l_extendedprice"), 2).alias("price"),
+    )
+
+
+def plan_reload_encoded(s, d):
+    """Fills, an index, shares, target means, flags and hashed texts, applied to rows without the target."""
+    plan = {
+        "plan_name": "customers", "status": "executable", "task_type": "regression", "input_files": ["customer.parquet"], "target_column": "c_acctbal",
+        "id_columns": ["c_custkey"], "feature_columns": ["c_name", "segment", "target", "share", "nation", "gap", "most"],
+        "column_actions": [{"columns": ["c_mktsegment"], "action": "rename", "params": {"c_mktsegment": "segment"}}],
+        "missing_value_plan": [{"columns": ["gap"], "strategy": "mean"}, {"columns": ["most"], "strategy": "mode"}],
+        "categorical_encoding_plan": [
+            {"columns": ["segment"], "encoding": "ordinal"}, {"columns": ["target"], "encoding": "target"},
+            {"columns": ["share"], "encoding": "frequency"}, {"columns": ["nation"], "encoding": "one_hot", "params": {"output": "vector"}},
+        ],
+        "numeric_scaling_plan": [{"columns": ["gap"], "scaling": "minmax"}],
+        "text_processing_plan": [{"columns": ["c_name"], "method": "tfidf", "params": {"features": 64}}],
+        "split_strategy": {"strategy": "random", "train_size": 0.8, "test_size": 0.2},
+        "output_artifacts": [{"artifact_type": "preprocessor", "path": "customers"}],
+    }
+    segment, key = F.col("c_mktsegment"), F.col("c_custkey")
+    df = read(s, d, "customer").withColumns({
+        "target": segment, "share": segment, "nation": F.col("c_nationkey"), "gap": F.when(key % 3 != 0, F.col("c_acctbal")),
+        "most": F.when(key % 4 != 0, F.col("c_nationkey")),
+    })
+    rows = _reloaded(s, execute.prepare(df, plan)).apply(df.drop("c_acctbal"))
+    spot = vector_to_array("nation_vector")
+    return rows.select(
+        "segment", F.round("target", 6).alias("target"), F.round("share", 6).alias("share"), F.round("gap", 6).alias("gap"), "most",
+        (F.array_position(spot, F.lit(1.0)) - 1).alias("nation"),
+    )
+
+
+RELOAD_SQL = """
+WITH c AS (
+    SELECT *, CASE WHEN ('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END AS split,
+        CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS gap, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS most
+    FROM customer
+),
+t AS (SELECT * FROM c WHERE split = 'train'),
+a AS (SELECT avg(c_acctbal) AS overall, count(*) AS n, avg(gap) AS mean FROM t),
+m AS (SELECT c_mktsegment, (sum(c_acctbal) + 10 * any_value(overall)) / (count(*) + 10) AS target, count(*) / any_value(n) AS share,
+    row_number() OVER (ORDER BY c_mktsegment) - 1 AS segment FROM t, a GROUP BY c_mktsegment),
+f AS (SELECT min(coalesce(gap, mean)) AS low, max(coalesce(gap, mean)) AS high FROM t, a),
+k AS (SELECT most FROM t WHERE most IS NOT NULL GROUP BY most ORDER BY count(*) DESC, most LIMIT 1),
+v AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey::VARCHAR) - 1 AS nation FROM t GROUP BY c_nationkey)
+SELECT coalesce(segment, -1) AS segment, round(coalesce(target, overall), 6) AS target, round(coalesce(share, 0), 6) AS share,
+    round((coalesce(gap, mean) - low) / (high - low), 6) AS gap, coalesce(c.most, k.most) AS most, coalesce(nation, -1) AS nation
+FROM c LEFT JOIN m USING (c_mktsegment) LEFT JOIN v USING (c_nationkey), a, f, k
+"""
+
+
 def feature_report(s, d):
     done = execute.prepare(labelled(s, d), labelled_plan(s, d))
-    return sinks.feature_report(s, done.steps, done.rows).where("source_column <> 'source'")
+    return sinks.feature_report(s, done.steps, done.rows)
 
 
 def fitted_facts(s, d):
@@ -312,8 +379,9 @@ def fitted_facts(s, d):
     done = execute.prepare(df, {**plan, "split_strategy": {"strategy": "none"}})
     path = scratch_path(s, "prepared")
     sinks.write_parameters(s, done.steps, path)
-    facts = s.read.parquet(f"{path}/facts").where("strategy = 'standard'")
-    return facts.select("source_column", "parameter", F.round(F.col("value").cast("double"), 4).alias("value"))
+    facts = s.read.parquet(f"{path}/facts")
+    rounded = F.round(F.expr("try_cast(value AS double)"), 4).cast("string")
+    return facts.select("source_column", "strategy", "parameter", F.coalesce(rounded, "value").alias("value"))
 
 
 def artifact_inventory(s, d):
@@ -371,7 +439,8 @@ QUERIES = {
     ),
     "content_digest": (
         content_digest,
-        "SELECT count(*) AS row_count, sum(('0x' || substr(md5(c_custkey || '|' || c_name || '|' || c_mktsegment), 1, 8))::BIGINT)::BIGINT AS digest_sum FROM customer",
+        "WITH c AS (SELECT c_custkey::VARCHAR AS a, c_name AS b, c_nationkey::VARCHAR AS c, printf('%.2f', c_acctbal) AS d, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS e FROM customer) "
+        "SELECT count(*) AS row_count, sum(('0x' || substr(md5(" + " || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for x in "abcde") + "), 1, 8))::BIGINT)::BIGINT AS digest_sum FROM c",
     ),
     "content_hash": (content_hash, None),
     "plan_apply_labelled": (
@@ -416,18 +485,28 @@ QUERIES = {
         plan_apply_resample,
         "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS ts, count(*) AS events, max(value) AS highest, 'full' AS split FROM events GROUP BY user_id, date_trunc('day', ts)",
     ),
+    "plan_reload_lineitem": (
+        plan_reload_lineitem,
+        f"WITH t AS ({LINE_SPLIT}), m AS (SELECT avg(l_discount) AS da, stddev_samp(l_discount) AS ds, avg(l_tax) AS ta, stddev_samp(l_tax) AS ts FROM t WHERE split = 'train') "
+        "SELECT year(l_shipdate) AS l_shipdate_year, count(*) AS row_count, round(avg((l_discount - da) / ds), 4) AS l_discount, round(avg((l_tax - ta) / ts), 4) AS l_tax, "
+        "count(*) FILTER (l_returnflag = 'A') AS \"l_returnflag_A\", round(sum(l_extendedprice), 2) AS price FROM t, m GROUP BY 1",
+    ),
+    "plan_reload_encoded": (plan_reload_encoded, RELOAD_SQL),
     "feature_report": (
         feature_report,
         "SELECT 'lang_' || lang AS feature, 'lang' AS source_column, 'one_hot' AS transform, 'int' AS data_type FROM "
         f"(SELECT DISTINCT lang FROM ({LABELLED_SPLIT}) WHERE split = 'train') "
+        f"UNION ALL SELECT 'source_' || source, 'source', 'one_hot', 'int' FROM (SELECT DISTINCT source FROM ({LABELLED_SPLIT}) WHERE split = 'train') "
         "UNION ALL SELECT 'n_chars', 'n_chars', 'standard', 'double' UNION ALL SELECT 'text_tfidf', 'text', 'tfidf', 'vector'",
     ),
     "fitted_facts": (
         fitted_facts,
         " UNION ALL ".join(
-            f"SELECT '{c}' AS source_column, '{n}' AS parameter, round({f}({c}), 4) AS value FROM lineitem"
+            f"SELECT '{c}' AS source_column, 'standard' AS strategy, '{n}' AS parameter, round({f}({c}), 4)::VARCHAR AS value FROM lineitem"
             for c in ("l_discount", "l_tax") for n, f in (("mean", "avg"), ("std", "stddev_samp"))
-        ),
+        )
+        + "".join(f" UNION ALL SELECT DISTINCT '{c}', 'one_hot', 'category', {c} FROM lineitem" for c in ("l_returnflag", "l_linestatus"))
+        + " UNION ALL SELECT 'l_shipdate', 'extract_parts', '', ''",
     ),
     "artifact_inventory": (
         artifact_inventory,

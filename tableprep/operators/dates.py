@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import quoted
+from tableprep.operators.fitted import StepData, Transform, step_kind
 
 PARTS = ("year", "quarter", "month", "day", "dayofweek", "hour")
 # How many steps each part has before it starts again.
@@ -68,3 +69,21 @@ def resample(
     step = F.expr({"quarter": "interval 3 months", "week": "interval 7 days"}.get(unit, f"interval 1 {unit}"))
     grid = ends.select(*key, F.explode(F.sequence("first", "last", step)).alias("bucket"))
     return grid.join(out, [*key, "bucket"], "left")
+
+
+@step_kind("extract_parts")
+def _parts(data: StepData) -> Transform:
+    return lambda rows: extract_parts(rows, data.params["column"])
+
+
+@step_kind("cyclical")
+def _cycles(data: StepData) -> Transform:
+    return lambda rows: cyclical(rows, data.params["column"])
+
+
+@step_kind("resample")
+def _resampled(data: StepData) -> Transform:
+    """Aggregates are SQL texts by name; the bucket takes the time column's name."""
+    p = data.params
+    aggregates = {a: F.expr(e) for a, e in p["aggregates"].items()}
+    return lambda rows: resample(rows, p["column"], p["unit"], aggregates, key=p["key"]).withColumnRenamed("bucket", p["column"])

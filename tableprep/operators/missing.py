@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprep.functions.columns import FLOATING, present, quoted, type_class
-from tableprep.functions.quantiles import exact_quantiles, order_chunks
-from tableprep.operators.fitted import Fitted, fact
+from tableprep.functions.quantiles import order_chunks
+from tableprep.operators.fitted import Fitted, StepData, Transform, fact, make, step_kind
+from tableprep.operators.fitting import Answers, Fit, fit_together, value_of
 
 ROWS_PER_CHUNK = 2_000_000
 MOST_CHUNKS = 4_000
@@ -22,37 +23,41 @@ def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
-def fit_fill(df: DataFrame, strategies: Mapping[str, str], constants: Mapping[str, Any] | None = None) -> Fitted:
-    """Fill values per column: mean, median, mode or constant. Statistics come from `df`."""
+def fill_fit(df: DataFrame, strategies: Mapping[str, str], constants: Mapping[str, Any] | None = None) -> Fit:
+    """Fill values per column: mean, median, mode or constant, of the rows it is fitted on."""
     of = {s: [c for c, t in strategies.items() if t == s] for s in ("mean", "median", "mode", "constant")}
-    values: dict[str, Any] = {c: (constants or {})[c] for c in of["constant"]}
-    if of["mean"]:
-        row = df.agg(*[F.avg(present(df, c).cast("double")).alias(f"m{i}") for i, c in enumerate(of["mean"])]).first()
-        values |= {c: row[i] for i, c in enumerate(of["mean"])}
-    if of["median"]:
-        values |= {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in of["median"]}).items()}
-    values |= modes(df, of["mode"])
 
+    def build(found: Answers) -> Fitted:
+        values: dict[str, dict[str, Any]] = {c: {"value": (constants or {})[c]} for c in of["constant"]}
+        values |= {c: {"value": found.scalars[c]} for c in of["mean"]}
+        values |= {c: {"value": found.quantiles[c][0]} for c in of["median"]}
+        values |= {c: {"text": text, "type": kind, "value": shown} for c, (text, kind, shown) in found.modes.items()}
+        for c, value in values.items():
+            value["widen"] = strategies[c] in ("mean", "median") and type_class(df.schema[c].dataType) in ("integer", "boolean")
+        facts = [fact(c, strategies[c], "fill_value", values[c]["value"]) for c in values]
+        return make("fill", {"values": values}, facts=facts, outputs={c: [c] for c in values})
+
+    columns = list(strategies)
+    means = {c: F.avg(present(df, c).cast("double")) for c in of["mean"]}
+    return Fit(columns, columns, build, scalars=means, modes=of["mode"], quantiles={c: [0.5] for c in of["median"]})
+
+
+@step_kind("fill")
+def _filled(data: StepData) -> Transform:
     def apply(rows: DataFrame) -> DataFrame:
         filled = {}
-        for c, value in values.items():
-            data_type = rows.schema[c].dataType
-            widen = strategies[c] in ("mean", "median") and type_class(data_type) in ("integer", "boolean")
-            target = T.DoubleType() if widen else data_type
-            filled[c] = F.coalesce(present(rows, c).cast(target), F.lit(value).cast(target))
+        for c, known in data.params["values"].items():
+            target = T.DoubleType() if known["widen"] else rows.schema[c].dataType
+            value = value_of(F.lit(known["text"]), known["type"]) if "type" in known else F.lit(known["value"])
+            filled[c] = F.coalesce(present(rows, c).cast(target), value.cast(target))
         return rows.withColumns(filled)
 
-    return Fitted(apply, [fact(c, strategies[c], "fill_value", values[c]) for c in values], outputs={c: [c] for c in values})
+    return apply
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
-    """Most frequent value per column, the smallest on ties; a distributed top-1 over counts."""
-    found = {}
-    for c in columns:
-        counted = df.select(present(df, c).alias("value")).where(F.col("value").isNotNull()).groupBy("value").count()
-        best = counted.orderBy(F.col("count").desc(), "value").limit(1).collect()
-        found[c] = best[0]["value"] if best else None
-    return found
+def fit_fill(df: DataFrame, strategies: Mapping[str, str], constants: Mapping[str, Any] | None = None) -> Fitted:
+    """Statistics of all columns at once, see `fill_fit`."""
+    return fit_together(df, [fill_fit(df, strategies, constants)])[0]
 
 
 def fill_in_order(
@@ -104,6 +109,12 @@ def fill_in_order(
     return joined.withColumns(completed).select(df.columns)
 
 
+@step_kind("carry")
+def _carried(data: StepData) -> Transform:
+    p = data.params
+    return lambda rows: fill_in_order(rows, p["columns"], p["order"], key=p["key"], direction=p["direction"])
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, missing_count) from one scan."""
     row = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)])

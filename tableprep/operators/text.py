@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import quoted
 from tableprep.functions.joins import left_join, lookup
-from tableprep.operators.fitted import Fitted, fact
+from tableprep.operators.fitted import Fitted, StepData, Transform, fact, make, step_kind
+from tableprep.operators.fitting import Answers, Fit, fit_together
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 HASHED_FEATURES = 1 << 16
@@ -50,22 +52,34 @@ def tfidf(df: DataFrame, key: list[str], text: str, *, corpus: DataFrame | None
     return joined.select(*key, "term", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"))
 
 
-def fit_tfidf_vector(df: DataFrame, column: str, *, features: int = HASHED_FEATURES) -> Fitted:
+def tfidf_fit(column: str, *, features: int = HASHED_FEATURES) -> Fit:
     """One sparse vector column of fixed width, for tables that go on to training."""
     words, counts, out = f"{column}__words", f"{column}__tf", f"{column}_tfidf"
     split = RegexTokenizer(inputCol=column, outputCol=words, pattern=TOKEN_PATTERN, gaps=False)
     hashed = HashingTF(inputCol=words, outputCol=counts, numFeatures=features)
 
-    def prepared(rows: DataFrame) -> DataFrame:
-        filled = rows.withColumn(column, F.coalesce(quoted(column), F.lit("")))
-        return hashed.transform(split.transform(filled))
+    def fit(df: DataFrame) -> PipelineModel:
+        return Pipeline(stages=[split, hashed, IDF(inputCol=counts, outputCol=out)]).fit(_texts(df, column).select(quoted(column)))
+
+    def build(found: Answers) -> Fitted:
+        params = {"column": column, "helpers": [words, counts]}
+        return make("tfidf", params, facts=[fact(column, "tfidf", "features", features)], outputs={column: [out]}, models={"tfidf": found.alone})
+
+    return Fit([column], [column], build, alone=fit)
+
 
-    model = IDF(inputCol=counts, outputCol=out).fit(prepared(df))
+def _texts(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn(column, F.coalesce(quoted(column), F.lit("")))
 
-    def apply(rows: DataFrame) -> DataFrame:
-        return model.transform(prepared(rows)).drop(words, counts, column)
 
-    return Fitted(apply, [fact(column, "tfidf", "features", features)], outputs={column: [out]})
+@step_kind("tfidf")
+def _vectors(data: StepData) -> Transform:
+    column = data.params["column"]
+    return lambda rows: data.models["tfidf"].transform(_texts(rows, column)).drop(*data.params["helpers"], column)
+
+
+def fit_tfidf_vector(df: DataFrame, column: str, *, features: int = HASHED_FEATURES) -> Fitted:
+    return fit_together(df, [tfidf_fit(column, features=features)])[0]
 
 
 def join_embeddings(df: DataFrame, vectors: DataFrame, key: str, vector_key: str, vector: str) -> DataFrame:

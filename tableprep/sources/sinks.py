@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableprep.functions.columns import quoted
 from tableprep.functions.hashing import row_fingerprint
-from tableprep.operators.fitted import Fitted
+from tableprep.operators.fitted import MAKERS, Fitted, StepData, Transform
 
 FACT_SCHEMA = "source_column string, strategy string, parameter string, value string"
 
@@ -42,12 +47,41 @@ def feature_report(spark: SparkSession, steps: list[Fitted], result: DataFrame)
     return spark.createDataFrame(rows, "feature string, source_column string, transform string, data_type string")
 
 
+STEP_SCHEMA = "position int, kind string, params string, outputs string, facts array<struct<source_column:string,strategy:string,parameter:string,value:string>>, tables map<string,string>, models map<string,string>"
+
+
 def write_parameters(spark: SparkSession, steps: list[Fitted], path: str) -> None:
-    """Parameters as parquet: one folder for the small ones, one per category map."""
+    """Fitted steps as parquet: the small parameters as facts and per step, a folder for each table and each model."""
     fitted_parameters(spark, steps).write.parquet(f"{path}/facts")
-    for step in steps:
+    rows = []
+    for position, step in enumerate(steps):
+        tables = {name: f"tables/{position:03d}-{n}" for n, name in enumerate(step.tables)}
+        models = {name: f"models/{position:03d}-{n}" for n, name in enumerate(step.models)}
         for name, table in step.tables.items():
-            table.write.parquet(f"{path}/tables/{name}")
+            table.write.parquet(f"{path}/{tables[name]}")
+        for name, model in step.models.items():
+            model.write().save(f"{path}/{models[name]}")
+        texts = (json.dumps(x, ensure_ascii=False, default=str) for x in (step.params, step.outputs))
+        rows.append((position, step.kind, *texts, step.facts, tables, models))
+    spark.createDataFrame(rows, STEP_SCHEMA).coalesce(1).write.parquet(f"{path}/steps")
+
+
+def read_steps(spark: SparkSession, path: str, functions: Mapping[str, Transform], *, new_rows: bool) -> list[Fitted]:
+    """The steps `write_parameters` wrote, made anew from their data. Custom steps are taken from `functions` by name."""
+    steps = []
+    for row in sorted(spark.read.parquet(f"{path}/steps").collect(), key=lambda r: r["position"]):  # one row a step of a plan
+        params, outputs, facts = json.loads(row["params"]), json.loads(row["outputs"]), [tuple(f) for f in row["facts"]]
+        if row["kind"] == "custom":
+            if params["name"] not in functions:
+                raise ValueError(f"the steps need a function for {params['name']}")
+            step = Fitted(functions[params["name"]], facts, kind="custom", params=params)
+        else:
+            tables = {name: spark.read.parquet(f"{path}/{at}") for name, at in row["tables"].items()}
+            models = {name: PipelineModel.load(f"{path}/{at}") for name, at in row["models"].items()}
+            step = Fitted(MAKERS[row["kind"]](StepData(params, tables, models, new_rows)), facts, tables, kind=row["kind"], params=params, models=models)
+        step.outputs = outputs
+        steps.append(step)
+    return steps
 
 
 def artifact_inventory(spark: SparkSession, artifacts: list[dict], folder: str) -> DataFrame:
@@ -96,7 +130,12 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def digest_sum(df: DataFrame) -> DataFrame:
-    """(row_count, digest_sum): a sum of md5 prefixes of the row texts, repeatable in other engines."""
-    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
-    prefix = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("bigint")
+    """(row_count, digest_sum): a sum of md5 prefixes of the row texts, repeatable in other engines.
+
+    A row's text has every value's length before it, and a bare mark for null, so that neither null and empty nor values
+    moved across a border look alike.
+    """
+    texts = [quoted(c).cast("string") for c in df.columns]
+    marked = F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+    prefix = F.conv(F.substring(F.md5(marked), 1, 8), 16, 10).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(prefix).alias("digest_sum"))

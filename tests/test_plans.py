@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tableprep.operators.roles import Task
 from tableprep.plans.assess import assess
 from tableprep.plans.checks import plan_conflicts, plan_errors
-from tableprep.plans.execute import check_plan, column_actions, prepare
+from tableprep.plans.execute import check_plan, column_actions, load_preprocessor, prepare
 from tableprep.sources import sinks
 
 VALID = {
@@ -198,3 +198,62 @@ def test_resampled_plans_keep_aggregates_and_entities(crates):
     done = prepare(crates, plan, key=["id"]).rows
     assert done.columns == ["variety", "t", "rows", "mean_weight", "split"]
     assert done.agg(F.sum("rows")).first()[0] == 200 and done.select("variety").distinct().count() == 2
+
+
+@pytest.mark.parametrize("changes", [
+    {}, {"missing_value_plan": [{"columns": ["weight", "variety"], "strategy": "mode"}]},
+    {"missing_value_plan": [{"columns": ["weight"], "strategy": "constant", "fill_value": 7}], "numeric_scaling_plan": [{"columns": ["weight"], "scaling": "log"}]},
+    {"categorical_encoding_plan": [{"columns": ["variety"], "encoding": "hashing", "params": {"buckets": 8}}]},
+    {"categorical_encoding_plan": [{"columns": ["variety"], "encoding": "one_hot", "params": {"output": "vector"}}]},
+    {"categorical_encoding_plan": [{"columns": ["variety"], "encoding": "ordinal"}], "numeric_scaling_plan": [{"columns": ["weight"], "scaling": "robust"}]},
+    {"categorical_encoding_plan": [{"columns": ["variety"], "encoding": "frequency"}], "missing_value_plan": [{"columns": ["weight"], "strategy": "drop_rows"}]},
+    {"feature_columns": ["t", "variety"], "datetime_processing_plan": [{"columns": ["t"], "method": "cyclical"}]},
+    {"feature_columns": ["t", "weight"], "datetime_processing_plan": [{"columns": ["t"], "method": "extract_parts"}], "drop_columns": ["variety"], "categorical_encoding_plan": []},
+    {"text_processing_plan": [{"columns": ["variety"], "method": "tfidf"}], "categorical_encoding_plan": []},
+    {"numeric_scaling_plan": [{"columns": ["weight"], "scaling": "custom"}], "column_actions": [{"columns": ["variety"], "action": "rename", "params": {"variety": "sort"}}]},
+])
+def test_steps_read_back_do_the_same(spark, crates, tmp_path, changes):
+    functions = {"numeric_scaling_plan": lambda df: df.withColumn("weight", F.col("weight") * 2)}
+    done = prepare(crates, changed(**changes), functions=functions)
+    done.write_preprocessor(str(tmp_path / "steps"))
+    again = load_preprocessor(spark, str(tmp_path / "steps"), functions).apply(crates)
+    want = done.rows.drop("split")
+    assert again.columns == want.columns
+    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
+    unlabelled = load_preprocessor(spark, str(tmp_path / "steps"), functions).apply(crates.drop("spoiled"))
+    assert unlabelled.columns == [c for c in want.columns if c != "spoiled"] and unlabelled.count() == want.count()
+
+
+def test_new_rows_get_the_target_mean_over_all_folds(spark, crates, tmp_path):
+    done = prepare(crates, changed(categorical_encoding_plan=[{"columns": ["variety"], "encoding": "target"}]))
+    done.write_preprocessor(str(tmp_path / "steps"))
+    rows = load_preprocessor(spark, str(tmp_path / "steps")).apply(crates.drop("spoiled").withColumn("variety", F.when(F.col("id") > 3, F.col("variety"))))
+    held_out = {r["variety"] for r in done.rows.where("split = 'test'").collect()}
+    overall = next(float(v) for c, s, n, v in done.steps[1].facts + done.steps[0].facts if n == "overall_mean")
+    assert {r["variety"] for r in rows.collect()} == {*held_out, overall}
+
+
+def test_custom_steps_must_be_brought_along(spark, crates, tmp_path):
+    plan = changed(numeric_scaling_plan=[{"columns": ["weight"], "scaling": "custom"}])
+    prepare(crates, plan, functions={"numeric_scaling_plan": lambda df: df}).write_preprocessor(str(tmp_path / "steps"))
+    with pytest.raises(ValueError, match="need a function for numeric_scaling_plan"):
+        load_preprocessor(spark, str(tmp_path / "steps"))
+
+
+def test_independent_steps_are_fitted_together(spark, crates):
+    """However many columns a level has, it asks as often."""
+    def jobs(columns):
+        df = crates.select("*", *[F.col("weight").alias(f"w{i}") for i in range(columns)], *[F.col("variety").alias(f"v{i}") for i in range(columns)])
+        numbers, texts = [f"w{i}" for i in range(columns)], [f"v{i}" for i in range(columns)]
+        plan = changed(
+            feature_columns=[*numbers, *texts], missing_value_plan=[{"columns": numbers, "strategy": "mean"}, {"columns": texts, "strategy": "mode"}],
+            categorical_encoding_plan=[{"columns": texts, "encoding": "one_hot"}], numeric_scaling_plan=[{"columns": numbers, "scaling": "standard"}],
+            split_strategy={"strategy": "random", "train_size": 0.8, "test_size": 0.2},
+        )
+        tag = f"fit-{columns}"
+        spark.sparkContext.setJobGroup(tag, tag)
+        prepare(df, plan)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+
+    assert jobs(6) <= jobs(1) <= 20
