@@ -14,8 +14,9 @@ from tableprep.catalog.common import (
     profile_sql,
     read,
 )
-from tableprep.operators import profile
+from tableprep.operators import heavy, profile, samples, sketches
 from tableprep.operators.remedies import drop_duplicate_rows
+from tableprep.session import scratch_path
 
 SHOWN = (
     "dataset_name, name, type_class, row_count, non_null_count, missing_count, missing_rate, unique_count, unique_rate, "
@@ -92,6 +93,75 @@ def sample_values_part(s, d):
     return profile.sample_values(read(s, d, "part").select("p_name", "p_brand", "p_type", "p_size"))
 
 
+def heavy_values_documents(s, d):
+    """The same rows as top_values, from bounded counters and one verifying count."""
+    return heavy.heavy_values(_long_texts(s, d))
+
+
+def heavy_values_lineitem(s, d):
+    """Counters too few for the keys of lines: their loss is bounded, and what it leaves open is counted in full."""
+    return heavy.heavy_values(read(s, d, "lineitem").select(*HEAVY_COLUMNS), counters=64)
+
+
+HEAVY_COLUMNS = {"l_orderkey": "{}::VARCHAR", "l_returnflag": "{}", "l_linenumber": "{}::VARCHAR", "l_suppkey": "{}::VARCHAR"}
+
+
+def sample_values_ordered(s, d):
+    """The first texts, languages and sources along the length of the documents."""
+    return samples.ordered_samples(read(s, d, "documents").select("text", "lang", "source", "doc_id", "n_chars"), "n_chars")
+
+
+def sample_values_ordered_times(s, d):
+    return samples.ordered_samples(read(s, d, "orders").select("o_orderdate", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderdate", 12)
+
+
+def _ordered_sql(table: str, order: str, columns: list[str], k: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS name, row_number() OVER (ORDER BY o, v) AS rank, v AS value FROM "
+        f"(SELECT {c}::VARCHAR AS v, min({order}) AS o FROM {table} WHERE {c} IS NOT NULL GROUP BY v ORDER BY o, v LIMIT {k})"
+        for c in columns
+    )
+
+
+def profile_sketched(s, d):
+    """A table that arrives as files of one order status each: merged sketches, with estimates held against exact counts."""
+    orders = read(s, d, "orders").withColumn("o_gap", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    catalog = sketches.SketchCatalog(s, scratch_path(s, "sketches"))
+    for status in ("F", "O", "P", "F"):  # one of them arrives twice
+        catalog.add(orders.where(F.col("o_orderstatus") == status), f"orders-{status}")
+    names = orders.columns
+    exact = orders.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(names)]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("own"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(names)
+    ])))
+    numbers = orders.select(*[F.col(c).cast("double").alias(c) for c in NUMBER_COLUMNS])
+    # the median's rank among the rows, for numbers
+    found = catalog.profile().join(F.broadcast(exact), F.col("name") == F.col("own"))
+    medians = {r["name"]: r["median_estimate"] for r in found.where(F.col("name").isin(NUMBER_COLUMNS)).select("name", "median_estimate").collect()}
+    ranks = numbers.agg(*[(F.count_if(F.col(c) <= medians[c]) / F.count(c)).alias(c) for c in NUMBER_COLUMNS]).first()
+    near = F.coalesce(*[F.when(F.col("name") == c, F.lit(abs(ranks[c] - 0.5) < 0.02)) for c in NUMBER_COLUMNS], F.lit(True))
+    return found.select(
+        "name", "type_class", "row_count", "non_null_count", "missing_count", F.round("num_min", 2).alias("num_min"), F.round("num_max", 2).alias("num_max"),
+        F.round("num_mean", 3).alias("num_mean"), F.round("num_std", 3).alias("num_std"),
+        (F.abs(F.col("unique_estimate") - F.col("distinct")) <= F.greatest(F.lit(1), 0.07 * F.col("distinct"))).alias("distinct_near"), near.alias("median_near"),
+    )
+
+
+NUMBER_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_gap"]
+
+
+def _sketched_sql() -> str:
+    source = "(SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_gap FROM orders)"
+    parts = []
+    for c, kind in [*TABLES["orders"], ("o_gap", "float")]:
+        numbers = [f"round(min({c}), 2)::DOUBLE", f"round(max({c}), 2)::DOUBLE", f"round(avg({c}), 3)", f"round(stddev_samp({c}), 3)"]
+        values = ", ".join(f"{x if c in NUMBER_COLUMNS else 'NULL::DOUBLE'} AS {n}" for x, n in zip(numbers, ("num_min", "num_max", "num_mean", "num_std")))
+        parts.append(
+            f"SELECT '{c}' AS name, '{kind}' AS type_class, count(*) AS row_count, count({c}) AS non_null_count, count(*) - count({c}) AS missing_count, {values}, "
+            f"true AS distinct_near, true AS median_near FROM {source}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def _ranked_sql(table: str, columns: dict[str, str], k: int, order: str) -> str:
     parts = []
     for name, text in columns.items():
@@ -181,6 +251,11 @@ QUERIES = {
         }, 10, "count(*) DESC, {0}"),
     ),
     "top_values_documents": (top_values_documents, _ranked_sql(LONG_TEXTS, {"html": "{}", "text": "{}"}, 10, "count(*) DESC, {0}")),
+    "heavy_values_documents": (heavy_values_documents, _ranked_sql(LONG_TEXTS, {"html": "{}", "text": "{}"}, 10, "count(*) DESC, {0}")),
+    "heavy_values_lineitem": (heavy_values_lineitem, _ranked_sql("lineitem", HEAVY_COLUMNS, 10, "count(*) DESC, {0}")),
+    "sample_values_ordered": (sample_values_ordered, _ordered_sql("documents", "n_chars", ["text", "lang", "source", "doc_id"], 5)),
+    "sample_values_ordered_times": (sample_values_ordered_times, _ordered_sql("orders", "o_orderdate", ["o_custkey", "o_orderstatus", "o_orderpriority"], 12)),
+    "profile_sketched": (profile_sketched, _sketched_sql()),
     "sample_values_documents": (sample_values_documents, _ranked_sql(LONG_TEXTS, {"html": "{}", "text": "{}"}, 5, "{0}")),
     "sample_values_part": (
         sample_values_part,

@@ -51,10 +51,10 @@ def _from_g(function: str, *columns: str) -> dict[str, str]:
     return {c: f"coalesce({c}, (SELECT {function.format(c)} FROM g))" for c in columns}
 
 
-def _carry(direction, key=None, chunks=None):
+def _carry(direction, key=None, chunks=None, segment=missing.CHUNKS_PER_SEGMENT):
     def run(s, d):
         filled = missing.fill_in_order(
-            events_with_gaps(s, d), ["value"], ["ts", "event_id"], key=key, direction=direction, chunks=chunks
+            events_with_gaps(s, d), ["value"], ["ts", "event_id"], key=key, direction=direction, chunks=chunks, segment=segment
         )
         return filled.select("event_id", "user_id", "value")
     return run
@@ -387,6 +387,8 @@ QUERIES = {
     "impute_bfill": (_carry("backward", ["user_id"]), _carry_sql("first_value", AHEAD, "PARTITION BY user_id")),
     "impute_ffill_chunked": (_carry("forward", ["user_id"], 12), _carry_sql("last_value", BACK, "PARTITION BY user_id")),
     "impute_bfill_chunked": (_carry("backward", ["event_type"], 12), _carry_sql("first_value", AHEAD, "PARTITION BY event_type")),
+    "impute_ffill_levels": (_carry("forward", ["user_id"], 60, 4), _carry_sql("last_value", BACK, "PARTITION BY user_id")),
+    "impute_bfill_levels": (_carry("backward", None, 60, 4), _carry_sql("first_value", AHEAD, "")),
     "impute_ffill_global": (_carry("forward", None, 32), _carry_sql("last_value", BACK, "")),
     "missing_drop_rows": (
         missing_drop_rows,

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprep.functions.columns import TEMPORAL, present
+from tableprep.functions.columns import TEMPORAL, present, quoted
+from tableprep.session import materialize
 
 GATHER_LIMIT = 50_000
 ACCURACY = 10_000
 NULL_PLACE = -1.7e308
+# Cuts of one pass over a whole table, and of one chunk when it is cut again.
+CUTS = 1_000
+FINER = 64
 
 
 def ordered_number(df: DataFrame, name: str) -> Column:
@@ -198,9 +202,52 @@ def _settle(t: _Target, low, high, before: int, on_low: int, between: int, on_hi
         t.below += used
 
 
-def order_chunks(df: DataFrame, order: list[str], chunks: int, name: str) -> DataFrame:
+def order_chunks(df: DataFrame, order: list[str], chunks: int, name: str, *, cuts: int = CUTS) -> DataFrame:
     """Add a chunk number that never falls along `order` and spreads rows evenly.
 
+    One pass makes at most `cuts` chunks; beyond that, every chunk is cut again by its own quantiles, FINER at a time,
+    until there are as many as wanted.
+    """
+    out = _first_chunks(df, order, min(chunks, cuts), name)
+    made = min(chunks, cuts)
+    while made < chunks:
+        pieces = min(FINER, -(-chunks // made))
+        out = _finer_chunks(out, order, pieces, name)
+        made *= pieces
+    return out
+
+
+def _finer_chunks(df: DataFrame, order: list[str], pieces: int, name: str) -> DataFrame:
+    """Each chunk cut in up to `pieces` by the first order column, or by the second where the chunk has one value of it.
+
+    The table of cuts has one row a chunk, at most `pieces` numbers in each.
+    """
+    values = [F.coalesce(ordered_number(df, o).cast("double"), F.lit(NULL_PLACE)) for o in order[:2]]
+    steps = [i / pieces for i in range(1, pieces)]
+    marked = df.select(quoted(name).alias("chunk"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    found = [F.percentile_approx(f"v{i}", steps, ACCURACY).alias(f"cuts{i}") for i in range(len(values))]
+    table = marked.groupBy("chunk").agg(F.min("v0").alias("low"), F.max("v0").alias("high"), *found)
+    by_first = F.col("low") < F.col("high")
+    chosen = F.when(by_first, F.col("cuts0")).otherwise(F.col("cuts1") if len(values) > 1 else F.lit(None))
+    table = materialize(table.select(
+        F.col("chunk").alias(f"{name}_own"), by_first.alias(f"{name}_by_first"), F.array_distinct(chosen).alias(f"{name}_cuts")
+    ), "finer-cuts")
+    value = F.when(F.col(f"{name}_by_first"), values[0]).otherwise(values[-1])
+    fine = F.size(F.filter(F.coalesce(f"{name}_cuts", F.array().cast("array<double>")), lambda c: c <= value))
+    # as many rows as chunks so far: joined by a merge, as their number has no bound
+    joined = df.join(F.broadcast(table) if is_few(table) else table.hint("merge"), quoted(name) == F.col(f"{name}_own"))
+    numbered = joined.withColumn(name, quoted(name) * F.lit(pieces + 1) + fine)
+    return numbered.drop(f"{name}_own", f"{name}_by_first", f"{name}_cuts")
+
+
+def is_few(table: DataFrame, rows: int = 10_000) -> bool:
+    """Whether a written table is small enough to be broadcast, by its counted rows."""
+    return table.limit(rows + 1).count() <= rows
+
+
+def _first_chunks(df: DataFrame, order: list[str], chunks: int, name: str) -> DataFrame:
+    """Chunks from one pass.
+
     Bounds are quantiles of the first order column, so a group that holds a third of all rows is
     still cut into about a third of the chunks. A value of that column that is itself hot is cut
     further by the second order column.

@@ -14,9 +14,10 @@ from tableprep.functions.columns import FLOATING, present, quoted, type_class
 from tableprep.functions.quantiles import order_chunks
 from tableprep.operators.fitted import Fitted, StepData, Transform, fact, make, step_kind
 from tableprep.operators.fitting import Answers, Fit, fit_together, value_of
+from tableprep.session import materialize
 
 ROWS_PER_CHUNK = 2_000_000
-MOST_CHUNKS = 4_000
+CHUNKS_PER_SEGMENT = 1_000
 
 
 def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,19 +69,21 @@ def fill_in_order(
     key: list[str] | None = None,
     direction: str = "forward",
     chunks: int | None = None,
+    segment: int = CHUNKS_PER_SEGMENT,
 ) -> DataFrame:
     """Carry the last (or next) known value along `order`, within `key` or over the whole table.
 
     A window over a key would gather a hot key, or without keys the whole table, in one task.
     So rows are cut into ordered chunks; each (key, chunk) is filled on its own, and what a chunk
-    hands to the next travels in a small table with one row per (key, chunk). Gaps before the
-    first known value stay open.
+    hands to the next travels in a table with one row per (key, chunk), which is scanned as a tree,
+    see `_carry`. Gaps before the first known value stay open. Chunks are as many as the rows ask for
+    (`chunks` sets their number, `segment` how many of them one window may hold; neither changes the result).
     """
     key = key or []
     if chunks is None:
-        chunks = min(MOST_CHUNKS, max(1, -(-df.count() // ROWS_PER_CHUNK)))
+        chunks = max(1, -(-df.count() // ROWS_PER_CHUNK))
     forward = direction == "forward"
-    cut = order_chunks(df, order, chunks, "__chunk")
+    cut = order_chunks(df, order, chunks, "__chunk", cuts=segment)
     cut = cut.withColumns({c: present(df, c) for c in columns if isinstance(df.schema[c].dataType, FLOATING)})
     along = [F.col(c) if forward else F.col(c).desc() for c in order]
     # keys as text, so that a null key is a group like any other and window and join share one shuffle
@@ -88,25 +91,48 @@ def fill_in_order(
     cut = cut.withColumns({m: F.coalesce(quoted(k).cast("string"), F.lit("\u0000")) for m, k in zip(marks, key)})
     group = [*marks, "__chunk"]
     window = Window.partitionBy(*group).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
-    filled = cut.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
+    filled = cut.withColumns({c: F.last(quoted(c), ignorenulls=True).over(window) for c in columns})
     if chunks <= 1:
-        return filled.select(df.columns)
+        return filled.select([quoted(c) for c in df.columns])
 
-    place = F.struct(*order)
+    place = F.struct(*[quoted(o) for o in order])
     known = [
-        (F.max_by if forward else F.min_by)(c, F.when(F.col(c).isNotNull(), place)).alias(f"__last_{i}")
+        (F.max_by if forward else F.min_by)(quoted(c), F.when(quoted(c).isNotNull(), place)).alias(f"__last_{i}")
         for i, c in enumerate(columns)
     ]
-    ends = cut.groupBy(*group).agg(*known)  # one row per key and chunk, combined before the shuffle
+    ends = materialize(cut.groupBy(*group).agg(*known), "chunk-ends")  # one row per key and chunk, combined before the shuffle
+    carried = _carry(ends, marks, [f"__last_{i}" for i in range(len(columns))], forward, segment)
+    joined = filled.join(carried, group, "left")
+    completed = {c: F.coalesce(quoted(c), F.col(f"__last_{i}")) for i, c in enumerate(columns)}
+    return joined.withColumns(completed).select([quoted(c) for c in df.columns])
+
+
+def _carry(ends: DataFrame, marks: list[str], lasts: list[str], forward: bool, segment: int) -> DataFrame:
+    """What reaches each (key, chunk) from the chunks before it: the last value any of them knows.
+
+    Chunks are taken together `segment` at a time. A window over each of these segments gives what comes from within;
+    what comes from earlier segments is the same question about a table with one row per (key, segment). So no window
+    holds more than `segment` rows, and the number of levels is the logarithm of the number of chunks.
+    """
+    latest = F.max_by if forward else F.min_by
     step = F.col("__chunk") if forward else F.col("__chunk").desc()
-    over = Window.partitionBy(*(marks or [F.lit(0)])).orderBy(step)  # at most MOST_CHUNKS rows per key
-    over = over.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *group, *[F.last(f"__last_{i}", ignorenulls=True).over(over).alias(f"__carry_{i}") for i in range(len(columns))]
+    ranges = ends.agg(F.min("__chunk").alias("low"), F.max("__chunk").alias("high")).first()
+    several = ranges["low"] is not None and ranges["high"] // segment > ranges["low"] // segment
+    part = F.floor(F.col("__chunk") / segment).cast("long") if several else F.lit(0).cast("long")
+    parted = ends.withColumn("__segment", part)
+    over = Window.partitionBy(*marks, "__segment").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    within = parted.select(*marks, "__chunk", "__segment", *[F.last(v, ignorenulls=True).over(over).alias(v) for v in lasts])
+    if not several:
+        return within.drop("__segment")
+    upper = parted.groupBy(*marks, "__segment").agg(
+        *[latest(F.col(v), F.when(F.col(v).isNotNull(), F.col("__chunk"))).alias(v) for v in lasts]
+    )
+    upper = materialize(upper.withColumnRenamed("__segment", "__chunk"), "segment-ends")
+    before = _carry(upper, marks, lasts, forward, segment)
+    before = before.select(*marks, F.col("__chunk").alias("__segment"), *[F.col(v).alias(f"{v}_before") for v in lasts])
+    return within.join(before, [*marks, "__segment"], "left").select(
+        *marks, "__chunk", *[F.coalesce(F.col(v), F.col(f"{v}_before")).alias(v) for v in lasts]
     )
-    joined = filled.join(carried, group, "left")
-    completed = {c: F.coalesce(quoted(c), F.col(f"__carry_{i}")) for i, c in enumerate(columns)}
-    return joined.withColumns(completed).select(df.columns)
 
 
 @step_kind("carry")

@@ -25,8 +25,9 @@ def skewed(spark):
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 @pytest.mark.parametrize("key", [["k"], None])
-def test_chunked_fill_matches_pandas(skewed, direction, key):
-    got = missing.fill_in_order(skewed, ["v"], ["t", "id"], key=key, direction=direction, chunks=17)
+@pytest.mark.parametrize(("chunks", "segment"), [(17, 1000), (90, 4)])
+def test_chunked_fill_matches_pandas(skewed, direction, key, chunks, segment):
+    got = missing.fill_in_order(skewed, ["v"], ["t", "id"], key=key, direction=direction, chunks=chunks, segment=segment)
     frame = skewed.toPandas().sort_values(["t", "id"])
     column = frame.groupby("k")["v"] if key else frame["v"]
     frame["v"] = column.ffill() if direction == "forward" else column.bfill()
