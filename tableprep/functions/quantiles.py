@@ -205,39 +205,54 @@ def _settle(t: _Target, low, high, before: int, on_low: int, between: int, on_hi
 def order_chunks(df: DataFrame, order: list[str], chunks: int, name: str, *, cuts: int = CUTS) -> DataFrame:
     """Add a chunk number that never falls along `order` and spreads rows evenly.
 
-    One pass makes at most `cuts` chunks; beyond that, every chunk is cut again by its own quantiles, FINER at a time,
-    until there are as many as wanted.
+    One pass makes at most `cuts` chunks; beyond that, chunks of more than twice their share of the rows are cut again
+    by their own quantiles, FINER pieces at a time, as long as that parts any.
     """
     out = _first_chunks(df, order, min(chunks, cuts), name)
-    made = min(chunks, cuts)
-    while made < chunks:
-        pieces = min(FINER, -(-chunks // made))
-        out = _finer_chunks(out, order, pieces, name)
-        made *= pieces
+    parted = 0
+    while chunks > cuts:
+        table = _chunk_cuts(out, order, name)
+        sizes = table.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        if not sizes["rows"] or sizes["most"] * chunks <= 2 * sizes["rows"] or sizes["chunks"] == parted:
+            break
+        parted = sizes["chunks"]
+        out = _cut_again(out, order, table, sizes["rows"] / chunks, name)
     return out
 
 
-def _finer_chunks(df: DataFrame, order: list[str], pieces: int, name: str) -> DataFrame:
-    """Each chunk cut in up to `pieces` by the first order column, or by the second where the chunk has one value of it.
+def _places(df: DataFrame, order: list[str]) -> list[Column]:
+    return [F.coalesce(ordered_number(df, o).cast("double"), F.lit(NULL_PLACE)) for o in order[:2]]
 
-    The table of cuts has one row a chunk, at most `pieces` numbers in each.
-    """
-    values = [F.coalesce(ordered_number(df, o).cast("double"), F.lit(NULL_PLACE)) for o in order[:2]]
-    steps = [i / pieces for i in range(1, pieces)]
-    marked = df.select(quoted(name).alias("chunk"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
-    found = [F.percentile_approx(f"v{i}", steps, ACCURACY).alias(f"cuts{i}") for i in range(len(values))]
-    table = marked.groupBy("chunk").agg(F.min("v0").alias("low"), F.max("v0").alias("high"), *found)
-    by_first = F.col("low") < F.col("high")
-    chosen = F.when(by_first, F.col("cuts0")).otherwise(F.col("cuts1") if len(values) > 1 else F.lit(None))
-    table = materialize(table.select(
-        F.col("chunk").alias(f"{name}_own"), by_first.alias(f"{name}_by_first"), F.array_distinct(chosen).alias(f"{name}_cuts")
-    ), "finer-cuts")
-    value = F.when(F.col(f"{name}_by_first"), values[0]).otherwise(values[-1])
-    fine = F.size(F.filter(F.coalesce(f"{name}_cuts", F.array().cast("array<double>")), lambda c: c <= value))
-    # as many rows as chunks so far: joined by a merge, as their number has no bound
-    joined = df.join(F.broadcast(table) if is_few(table) else table.hint("merge"), quoted(name) == F.col(f"{name}_own"))
-    numbered = joined.withColumn(name, quoted(name) * F.lit(pieces + 1) + fine)
-    return numbered.drop(f"{name}_own", f"{name}_by_first", f"{name}_cuts")
+
+def _chunk_cuts(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """One written row a chunk: its rows, and quantiles of the first order column, or of the second where the first has
+    but one value."""
+    steps = [i / FINER for i in range(1, FINER)]
+    places = _places(df, order)
+    marked = df.select(quoted(name).alias("chunk"), *[p.alias(f"v{i}") for i, p in enumerate(places)])
+    found = [F.percentile_approx(f"v{i}", steps, ACCURACY).alias(f"cuts{i}") for i in range(len(places))]
+    table = marked.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("v0").alias("low"), F.max("v0").alias("high"), *found)
+    first = F.col("low") < F.col("high")
+    second = F.col("cuts1") if len(places) > 1 else F.array().cast("array<double>")
+    return materialize(table.select("chunk", "n", first.alias("first"), F.when(first, F.col("cuts0")).otherwise(second).alias("cuts")), "chunk-cuts")
+
+
+def _cut_again(df: DataFrame, order: list[str], table: DataFrame, share: float, name: str) -> DataFrame:
+    """Chunks of more than twice `share` rows in about as many pieces as they have shares, the others as they are."""
+    pieces = F.when(F.col("n") > 2 * share, F.least(F.ceil(F.col("n") / share), F.lit(FINER))).otherwise(1)
+    some = F.filter("cuts", lambda c, i: F.floor((i + 1) * pieces / FINER) > F.floor(i * pieces / FINER))
+    # a quantile that repeats is a hot value, which is parted from what comes after it too
+    hot = F.when(F.col("n") > 2 * share, F.filter("cuts", lambda c, i: c == F.get("cuts", i - 1))).otherwise(F.array())
+    side = table.select(
+        F.col("chunk").alias(f"{name}_own"), F.col("first").alias(f"{name}_first"), F.array_distinct(some).alias(f"{name}_cuts"), F.array_distinct(hot).alias(f"{name}_hot")
+    )
+    places = _places(df, order)
+    value = F.when(F.col(f"{name}_first"), places[0]).otherwise(places[-1])
+    # a row for each chunk so far, whose number has no bound
+    joined = df.join(F.broadcast(side) if is_few(table) else side.hint("merge"), quoted(name) == F.col(f"{name}_own"))
+    fine = F.size(F.filter(f"{name}_cuts", lambda c: c <= value)) + F.size(F.filter(f"{name}_hot", lambda c: c < value))
+    numbered = joined.withColumn(name, quoted(name) * F.lit(2 * FINER + 1) + fine)
+    return numbered.drop(f"{name}_own", f"{name}_first", f"{name}_cuts", f"{name}_hot")
 
 
 def is_few(table: DataFrame, rows: int = 10_000) -> bool:
