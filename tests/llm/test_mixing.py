@@ -109,3 +109,30 @@ def test_stage_repeats_rows_as_often_as_taken(edge_docs):
     mixed = mixing.apply_mix(edge_docs)
     assert mixed.columns == edge_docs.columns
     assert mixed.count() == sum(r["times"] for r in taken)
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 40), (1, 20_000), (20_000, 300_000)])
+def test_long_texts_are_met_like_brute_force(low, high):
+    draw = np.random.default_rng(high)
+    for _ in range(60):
+        lengths = np.unique(draw.integers(low, high, draw.integers(2, 24)))
+        counts = draw.integers(1, 4, len(lengths))
+        budget = int((lengths * counts).sum() * draw.random())
+        reached, mask = 1, (1 << (budget + 1)) - 1
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(n):
+                reached |= (reached << length) & mask
+        quota = mixing.fit_quota(lengths, counts, budget)
+        assert (quota >= 0).all() and (quota <= counts).all()
+        assert int((quota * lengths).sum()) == reached.bit_length() - 1
+
+
+def test_a_source_of_few_long_texts(spark):
+    words = {1: 150_000, 2: 150_000, 3: 150_000, 4: 200_001}
+    rows = [(i, "w " * n, "a") for i, n in words.items()] + [(10 + i, "w " * 9_000, "b") for i in range(60)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    target = next(r["target"] for r in found if r["source"] == "a")
+    sums = {sum(n for i, n in words.items() if mask >> i & 1) for mask in range(32)}
+    whole = sum(words.values())
+    best = max(s + p * whole for s in sums for p in range(3) if s + p * whole <= round(target))
+    assert sum(r["taken"] for r in found if r["source"] == "a") == best
