@@ -121,6 +121,39 @@ def _plan_errors_sql() -> str:
     )
 
 
+KIND_FAULTS = {
+    # a value of the wrong kind, and what is said of it
+    1: ("plan_name", "5", "plan_name is not a text"), 2: ("assumptions", '"not a list"', "assumptions is not a list of texts"),
+    3: ("warnings", '["a", 1]', "warnings is not a list of texts"), 4: ("downstream_notes", "[]", "downstream_notes is not an object"),
+    5: ("split_strategy", '{"strategy": "random", "train_size": "lots"}', "split_strategy: train_size is not a number"),
+    6: ("split_strategy", '{"strategy": "random", "random_state": 1.5}', "split_strategy: random_state is not a whole number"),
+    7: ("categorical_encoding_plan", '[{"columns": ["o_orderstatus"], "encoding": "one_hot", "handle_unknown": 5}]', "categorical_encoding_plan: handle_unknown is not a text"),
+    8: ("missing_value_plan", '"fill"', "missing_value_plan is not a list of objects"),
+    9: ("output_artifacts", '[{"artifact_type": "train_data", "path": "p", "required": "maybe"}]', "output_artifacts: required is not true or false"),
+    10: ("split_strategy", '{"strategy": "random", "train_size": "0.7", "random_state": "7"}', ""),
+    11: ("user_facing_response", "null", "user_facing_response is not a text"),
+}
+
+
+def doc_plan_kinds(s, d):
+    """Documents with one value of the wrong kind each; the order's priority and number stand in them."""
+    base = {
+        "status": '"executable"', "task_type": '"classification"', "input_files": '["orders.parquet"]', "target_column": '"o_orderpriority"', "feature_columns": '["o_totalprice"]',
+    }
+    fields = {f for f, _, _ in KIND_FAULTS.values()}
+    whole = {
+        "plan_name": "'\"' || o_orderpriority || ' ' || CAST(o_orderkey AS STRING) || '\"'", "output_artifacts": "'[{\"artifact_type\": \"train_data\", \"path\": \"p\"}]'",
+        "user_facing_response": "'\"\"'", "split_strategy": "'{\"strategy\": \"none\"}'", "downstream_notes": "'{}'",
+    }
+    parts = [f"'\"{f}\": {text}'" for f, text in base.items()]
+    for f in sorted(fields):
+        cases = " ".join(f"WHEN {k} THEN '{text}'" for k, (own, text, _) in KIND_FAULTS.items() if own == f)
+        parts.append(f"'\"{f}\": ' || CASE {PLAN_KIND} {cases} ELSE {whole.get(f, chr(39) + '[]' + chr(39))} END")
+    text = "'{' || " + " || ', ' || ".join(parts) + " || '}'"
+    rows = read(s, d, "orders").selectExpr("o_orderkey", "o_orderpriority", f"{text} AS document")
+    return checks.plan_errors(rows, "document").select("o_orderkey", "o_orderpriority", F.array_join("errors", "|").alias("errors"))
+
+
 def doc_plan_conflicts(s, d):
     columns = s.createDataFrame([(c,) for c in read(s, d, "orders").columns], "name string")
     return checks.plan_conflicts(plan_documents(s, d), "document", "o_orderkey", columns)
@@ -306,6 +339,10 @@ QUERIES = {
         f"FROM (SELECT role, {JSON_STATUS} AS status FROM ({RESPONSES})) GROUP BY role",
     ),
     "doc_plan_errors": (doc_plan_errors, _plan_errors_sql()),
+    "doc_plan_kinds": (
+        doc_plan_kinds,
+        f"SELECT o_orderkey, o_orderpriority, CASE {PLAN_KIND} " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, _, v) in KIND_FAULTS.items()) + " ELSE '' END AS errors FROM orders",
+    ),
     "doc_plan_conflicts": (
         doc_plan_conflicts,
         f"SELECT o_orderkey, unnest(['unknown_column', 'target_in_features', 'id_in_features']) AS problem, "

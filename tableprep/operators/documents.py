@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,39 +33,41 @@ def strip_fence(text: Column) -> Column:
     return F.when(bare.rlike(whole), strip(F.regexp_extract(bare, whole, 2))).otherwise(bare)
 
 
-def balanced_json(texts: Column) -> Column:
+# Pieces a text is read by: an escaped character, a quote, a bracket, or a run of anything else.
+PIECES = r"(?s)\\.|[\"{}\[\]\\]|[^\"{}\[\]\\]+"
+SCAN_STATE = "struct<depth:int,quoted:boolean,taken:int,closed:boolean>"
+
+
+def balanced_json(text: Column) -> Column:
     """The first balanced object or array; '' when there is none, '!' when it never closes.
 
-    The scan counts depth and skips quoted strings with their escapes, which no built-in
-    expression does. It is defined inside so that tasks receive it whole.
+    The text from the first bracket on is cut into pieces by one expression, and a fold over them keeps the depth and
+    whether a quoted string is open, in which brackets and escaped quotes do not count.
     """
-
-    def first_balanced(text: str) -> str:
-        starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
-        if not starts:
-            return ""
-        start = min(starts)
-        opener = text[start]
-        closer = {"{": "}", "[": "]"}[opener]
-        depth, position, quoted = 0, start, False
-        while position < len(text):
-            char = text[position]
-            if quoted and char == "\\":
-                position += 1
-            elif char == '"':
-                quoted = not quoted
-            elif not quoted and char in (opener, closer):
-                depth += 1 if char == opener else -1
-                if depth == 0:
-                    return text[start : position + 1]
-            position += 1
-        return "!"
-
-    def scan(batch: pd.Series) -> pd.Series:
-        return batch.map(first_balanced, na_action="ignore").astype(object)
-
-    scan.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-    return F.pandas_udf(scan, "string")(texts)
+    brace, bracket = F.instr(text, "{"), F.instr(text, "[")
+    start = F.when((brace > 0) & (bracket > 0), F.least(brace, bracket)).otherwise(F.greatest(brace, bracket))
+    rest = F.substring(text, start, F.length(text))
+    bound = F.struct(rest.alias("rest"), F.substring(rest, F.lit(1), F.lit(1)).alias("opener"))
+
+    def scanned(s: Column) -> Column:
+        closer = F.when(s["opener"] == "{", "}").otherwise("]")
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("taken"), F.lit(False).alias("closed")).cast(SCAN_STATE)
+
+        def step(so_far: Column, piece: Column) -> Column:
+            # a backslash escapes inside of strings only; elsewhere what follows it counts
+            counts = F.when(~so_far["quoted"] & piece.startswith("\\"), F.substring(piece, 2, 1)).otherwise(piece)
+            opens, closes = ~so_far["quoted"] & (counts == s["opener"]), ~so_far["quoted"] & (counts == closer)
+            depth = so_far["depth"] + opens.cast("int") - closes.cast("int")
+            after = F.struct(
+                depth.alias("depth"), (so_far["quoted"] != (counts == "\"")).alias("quoted"), (so_far["taken"] + F.length(piece)).alias("taken"),
+                (closes & (depth == 0)).alias("closed"),
+            )
+            return F.when(so_far["closed"], so_far).otherwise(after).cast(SCAN_STATE)
+
+        end = F.aggregate(F.regexp_extract_all(s["rest"], F.lit(PIECES), F.lit(0)), begin, step)
+        return F.transform(F.array(end), lambda e: F.when(e["closed"], F.substring(s["rest"], F.lit(1), e["taken"])).otherwise("!"))[0]
+
+    return F.when(start == 0, "").when(start > 0, F.transform(F.array(bound), scanned)[0])
 
 
 def extract_json(df: DataFrame, text: str) -> DataFrame:

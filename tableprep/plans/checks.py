@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,27 @@ PLAN_SCHEMA = ", ".join(
     + [f"{g} array<{_struct(fields)}>" for g, (_, _, fields) in GROUPS.items()]
     + [f"split_strategy {_struct(SPLIT_FIELDS)}", f"output_artifacts array<{_struct(ARTIFACT_FIELDS)}>"]
 )
+# What kind of value each field takes where a vocabulary does not say so already. "?" may be null.
+KINDS = {
+    **{f: "text" for f in ("plan_name", "user_facing_response")}, **{f: "text?" for f in ("target_column", "time_column")},
+    **{f: "texts" for f in LIST_FIELDS}, **{g: "objects" for g in (*GROUPS, "output_artifacts")}, "split_strategy": "object", "downstream_notes": "object",
+}
+PART_KINDS = {
+    **{g: {"columns": "elements", "reason": "text"} | ({"params": "object"} if "params" in fields else {}) for g, (_, _, fields) in GROUPS.items()},
+    "output_artifacts": {"path": "text", "description": "text", "required": "flag"},
+}
+PART_KINDS["categorical_encoding_plan"] |= {"handle_unknown": "text"}
+PART_KINDS["column_actions"] |= {"action": "text"}
+SPLIT_KINDS = {
+    "train_size": "number?", "validation_size": "number?", "test_size": "number?", "random_state": "whole number?",
+    "stratify_column": "text?", "time_column": "text?", "reason": "text",
+}
+KIND_TEXTS = {
+    "text": "a text", "texts": "a list of texts", "elements": "a list of texts", "objects": "a list of objects", "object": "an object", "number": "a number",
+    "whole number": "a whole number", "flag": "true or false",
+}
+FLAG_TEXTS = ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1", "0")
+
 # the same parts as maps, whose keys show fields that do not belong
 KEYS_SCHEMA = ", ".join(
     [f"{g} array<map<string,string>>" for g in (*GROUPS, "output_artifacts")] + ["split_strategy map<string,string>"]
@@ -61,10 +84,51 @@ def _strangers(keys: Column, allowed) -> Column:
     return F.exists(keys, lambda k: ~k.isin(*allowed))
 
 
+def _part(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def _elements(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _misfit(value: Column, wanted: str) -> Column:
+    """Whether a value that is there is not of its kind. As readers of such documents do, numbers and flags may be given
+    as texts that say them; a whole number may have a fraction of 0."""
+    kind, form = wanted.removesuffix("?"), F.schema_of_variant(value)
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    numeric, said = form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), form == "STRING"
+    fits = {
+        "text": said, "object": form.startswith("OBJECT"), "number": numeric | (said & text.try_cast("double").isNotNull()),
+        "whole number": (numeric & (number == F.floor(number))) | (said & text.rlike(r"^\s*[+-]?[0-9]+\s*$")),
+        "flag": (form == "BOOLEAN") | (numeric & number.isin(0.0, 1.0)) | (said & F.lower(text).isin(*FLAG_TEXTS)),
+        "texts": form.startswith("ARRAY") & ~_any(_elements(value), lambda e: F.schema_of_variant(e) != "STRING"),
+        "elements": ~form.startswith("ARRAY") | ~_any(_elements(value), lambda e: F.schema_of_variant(e) != "STRING"),
+        "objects": form.startswith("ARRAY") & ~_any(_elements(value), lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
+    }[kind]
+    bad = value.isNotNull() & ~F.coalesce(fits, F.lit(False))
+    return bad & (form != "VOID") if wanted.endswith("?") else bad
+
+
+def _bad_part(name: str, kind: str) -> Callable[[Column], Column]:
+    return lambda item: _misfit(_part(item, name), kind)
+
+
+def _kind_rules(whole: Column) -> list[tuple[Column, str]]:
+    """Values of the wrong kind, in the document and its parts."""
+    rules = [(_misfit(_part(whole, f), kind), f"{f} is not {KIND_TEXTS[kind.removesuffix('?')]}") for f, kind in KINDS.items()]
+    for group, kinds in PART_KINDS.items():
+        items = F.try_variant_get(whole, f"$.{group}", "array<variant>")
+        for f, kind in kinds.items():
+            rules.append((_any(items, _bad_part(f, kind)), f"{group}: {f} is not {KIND_TEXTS[kind]}"))
+    split = _part(whole, "split_strategy")
+    return rules + [(_misfit(_part(split, f), kind), f"split_strategy: {f} is not {KIND_TEXTS[kind.removesuffix('?')]}") for f, kind in SPLIT_KINDS.items()]
+
+
 def plan_errors(df: DataFrame, document: str) -> DataFrame:
     """Add `errors`, the rules a plan document breaks; a valid plan breaks none."""
     parsed = parse_plans(df, document).withColumns({
-        "__parts": F.from_json(F.col(document), KEYS_SCHEMA), "__keys": F.json_object_keys(document),
+        "__parts": F.from_json(F.col(document), KEYS_SCHEMA), "__keys": F.json_object_keys(document), "__whole": F.try_parse_json(document),
     })
     plan, parts, texts = F.col("plan"), F.col("__parts"), fixed.PLAN_ERRORS
     rules: list[tuple[Column, Column | str]] = [
@@ -88,11 +152,12 @@ def plan_errors(df: DataFrame, document: str) -> DataFrame:
         (_any(artifacts, lambda a: _blank(a["path"])), f"output_artifacts: {texts['path']}"),
     ]
     rules += _status_rules(plan)
+    rules += _kind_rules(F.col("__whole"))
     checked = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.coalesce(broken, F.lit(False)), text if isinstance(text, Column) else F.lit(text)) for broken, text in rules
     ])))
     unreadable = plan.isNull() | F.col("__keys").isNull()
-    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan", "__parts", "__keys")
+    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan", "__parts", "__keys", "__whole")
 
 
 def _group_rules(items: Column, keys: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,35 @@ def test_late_events_are_dropped(spark, tmp_path):
         live_events.write_counts(counts, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
     got = {(str(r["window_start"])[11:16], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("04:00", 2), ("04:40", 1)}
+
+
+def first_balanced(text):
+    """The first balanced bracket, read character by character."""
+    at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=None)
+    if at is None:
+        return ""
+    opener, depth, quoted, escaped = text[at], 0, False, False
+    closer = "}" if opener == "{" else "]"
+    for i in range(at, len(text)):
+        c = text[i]
+        if quoted:
+            quoted, escaped = (True, False) if escaped else (c != '"', c == "\\")
+        elif c == '"':
+            quoted = True
+        else:
+            depth += (c == opener) - (c == closer)
+            if depth == 0:
+                return text[at : i + 1]
+    return "!"
+
+
+def test_brackets_balance_as_read_by_character(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice('{}[]"\\a \n😀') for _ in range(draw.randrange(1, 24))) for _ in range(3000)]
+    texts += ["", "none", '{"a": "' + "\\\"" * 30_000 + '"} rest', "[" * 5_000 + "]" * 5_000 + "x", '{"q": "' + "long " * 50_000 + '"}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    frame = df.select("i", documents.balanced_json(F.col("t")).alias("found"))
+    assert "Python" not in frame._jdf.queryExecution().toString()
+    found = {r["i"]: r["found"] for r in frame.collect()}
+    assert found.pop(-1) is None
+    assert found == {i: first_balanced(t) for i, t in enumerate(texts)}

@@ -54,6 +54,45 @@ INVALID = {
     "blank name": (changed(plan_name=" "), "plan_name cannot be empty"),
 }
 
+ONE = [{"columns": ["weight"], "strategy": "median"}]
+SPLIT = VALID["split_strategy"]
+WRONG_KINDS = {
+    "plan_name is not a text": changed(plan_name=5),
+    "user_facing_response is not a text": changed(user_facing_response=None),
+    "target_column is not a text": changed(target_column=["spoiled"]),
+    "assumptions is not a list of texts": changed(assumptions="not a list"),
+    "warnings is not a list of texts": changed(warnings=["a", 1]),
+    "drop_columns is not a list of texts": changed(drop_columns=None),
+    "missing_value_plan is not a list of objects": changed(missing_value_plan="fill"),
+    "numeric_scaling_plan is not a list of objects": changed(numeric_scaling_plan=["standard"]),
+    "downstream_notes is not an object": changed(downstream_notes=[]),
+    "split_strategy: train_size is not a number": changed(split_strategy={**SPLIT, "train_size": "lots"}),
+    "split_strategy: random_state is not a whole number": changed(split_strategy={**SPLIT, "random_state": "abc"}),
+    "split_strategy: random_state is not a whole number ": changed(split_strategy={**SPLIT, "random_state": 1.5}),
+    "categorical_encoding_plan: handle_unknown is not a text": changed(categorical_encoding_plan=[{"columns": ["variety"], "encoding": "one_hot", "handle_unknown": 5}]),
+    "categorical_encoding_plan: params is not an object": changed(categorical_encoding_plan=[{"columns": ["variety"], "encoding": "one_hot", "params": [1]}]),
+    "missing_value_plan: columns is not a list of texts": changed(missing_value_plan=[{"columns": ["weight", 3], "strategy": "median"}]),
+    "missing_value_plan: reason is not a text": changed(missing_value_plan=[*ONE, {**ONE[0], "reason": {"why": 1}}]),
+    "column_actions: action is not a text": changed(column_actions=[{"columns": ["weight"], "action": 7}]),
+    "output_artifacts: required is not true or false": changed(output_artifacts=[{"artifact_type": "train_data", "path": "p", "required": "maybe"}]),
+    "output_artifacts: path is not a text": changed(output_artifacts=[{"artifact_type": "train_data", "path": 9}]),
+}
+RIGHT_KINDS = {
+    "sizes as texts": changed(split_strategy={**SPLIT, "train_size": "0.6"}), "state as text": changed(split_strategy={**SPLIT, "random_state": "7"}),
+    "whole state": changed(split_strategy={**SPLIT, "random_state": 7.0}), "no state": changed(split_strategy={**SPLIT, "random_state": None}),
+    "no time": changed(time_column=None), "flag as text": changed(output_artifacts=[{"artifact_type": "train_data", "path": "p", "required": "no"}]),
+    "any fill": changed(missing_value_plan=[{"columns": ["weight"], "strategy": "constant", "fill_value": [1]}]),
+    "notes": changed(downstream_notes={"model": ["a"]}), "params": changed(numeric_scaling_plan=[{"columns": ["weight"], "scaling": "log", "params": {}}]),
+}
+
+
+def test_kinds_of_values(spark):
+    documents = {**{k: json.dumps(p) for k, p in WRONG_KINDS.items()}, **{k: json.dumps(p) for k, p in RIGHT_KINDS.items()}}
+    df = spark.createDataFrame(list(documents.items()), "name string, document string")
+    errors = {r["name"]: r["errors"] for r in plan_errors(df, "document").collect()}
+    assert {k: errors[k] for k in RIGHT_KINDS} == {k: [] for k in RIGHT_KINDS}
+    assert {k: errors[k] for k in WRONG_KINDS} == {k: [k.strip()] for k in WRONG_KINDS}
+
 
 def test_rules(spark):
     documents = {"valid": json.dumps(VALID), **{k: json.dumps(p) for k, (p, _) in INVALID.items()}, "broken": "{oops", "list": "[1]"}
