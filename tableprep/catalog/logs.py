@@ -8,7 +8,7 @@ from tableprep import fixed_values as fixed
 from tableprep.catalog.common import read
 from tableprep.operators import runlog
 from tableprep.session import scratch_path
-from tableprep.streaming import live_events
+from tableprep.streaming import appended_lines, live_events, live_runs
 
 # Expressions both engines share; the day and time text is made by each engine's own function.
 EVENT = (
@@ -211,6 +211,46 @@ def log_live_counts(s, d):
     return out.withColumns({"window_start": at_text("window_start"), "window_end": at_text("window_end")})
 
 
+def log_live_appended(s, d):
+    """Lines read by byte offsets, in two goes of one stream with a restart between them; counted like log_levels."""
+    base = scratch_path(s, "appended")
+    lines = log_lines(s, d).withColumn("half", F.xxhash64("value") % 2 == 0)
+    for half in (True, False, None):
+        if half is not None:
+            lines.where(F.col("half") == half).select("value").write.mode("append").text(f"{base}/in")
+        read_lines = appended_lines.read_appended_lines(s, f"{base}/in", files="part-*")
+        writer = read_lines.writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
+        writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    rows = s.read.schema(read_lines.schema).parquet(f"{base}/out")
+    events = runlog.parse_lines(rows)
+    return runlog.normalise(events.where(F.col(runlog.BAD_LINE).isNull())).groupBy("level", "event").agg(F.count(F.lit(1)).alias("events"))
+
+
+BEAT = '{"time": "2190-01-01T00:00:00+00:00", "level": "INFO", "event": "agent_started", "agent": "beat", "data": "{}"}'
+
+
+def log_live_runs(s, d):
+    """The starts and ends of agents as a stream in three batches; a last beat lets the time of all of them pass."""
+    base = scratch_path(s, "runs")
+    at = F.unix_seconds(F.try_to_timestamp(F.get_json_object("value", "$.time")))
+    lines = log_lines(s, d).where(F.trim("value") != "").withColumn("at", F.coalesce(at, F.lit(0)))
+    first, second = lines.where("at > 0").agg(F.percentile_approx("at", [1 / 3, 2 / 3])).first()[0]
+    part = F.when(F.col("at") < first, 0).when(F.col("at") < second, 1).otherwise(2)
+    before = s.conf.get(live_runs.STATE_STORE)
+    live_runs.state_store(s)
+    try:
+        for batch in range(4):
+            rows = lines.where(part == batch).select("value") if batch < 3 else s.createDataFrame([(BEAT,)], "value string")
+            rows.write.mode("append").text(f"{base}/in")
+            runs = live_runs.live_runs(live_events.read_event_stream(s, f"{base}/in"), expiry_seconds=3650 * 24 * 3600)
+            writer = runs.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
+            writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    finally:
+        s.conf.set(live_runs.STATE_STORE, before)
+    out = s.read.schema(runs.schema).parquet(f"{base}/out").where("agent <> 'beat'")
+    return out.withColumns({"started": at_text("started"), "ended": at_text("ended")})
+
+
 METRICS = f"""
 SELECT task_id, run_id, 'test' AS split, metric, arg_max(value, (moment, value)) AS value
 FROM (SELECT *, unnest(['f1', 'rmse']) AS metric FROM ({NORMAL}) WHERE event = 'metric_recorded') GROUP BY task_id, run_id, metric
@@ -218,6 +258,18 @@ FROM (SELECT *, unnest(['f1', 'rmse']) AS metric FROM ({NORMAL}) WHERE event = '
 SIGNED = "CASE metric WHEN 'rmse' THEN value ELSE -value END"
 CALLS = f"SELECT {CALL} FROM conversations"
 
+AGENT_RUNS = (
+    f"WITH e AS (SELECT task_id, run_id, agent, moment, event, event = 'agent_started' AS starts FROM ({NORMAL}) "
+    "WHERE event IN ('agent_started', 'agent_finished', 'agent_failed')), "
+    "w AS (SELECT *, lead(moment) OVER o AS m, lead(event) OVER o AS f, count(*) FILTER (starts) OVER o AS attempt FROM e "
+    "WINDOW o AS (PARTITION BY task_id, run_id, agent ORDER BY moment, starts, event)) "
+    f"SELECT task_id, run_id, agent, attempt, {AT_TEXT.format('moment')} AS started, "
+    f"CASE WHEN f <> 'agent_started' THEN {AT_TEXT.format('m')} END AS ended, "
+    "CASE WHEN f <> 'agent_started' THEN (epoch_us(m) - epoch_us(moment)) / 1e6 END AS seconds, "
+    "CASE WHEN f IS NULL THEN 'running' WHEN f = 'agent_started' THEN 'interrupted' WHEN f = 'agent_failed' THEN 'failed' ELSE 'finished' END AS outcome "
+    "FROM w WHERE starts"
+)
+
 QUERIES = {
     "log_scan": (
         log_scan,
@@ -244,15 +296,7 @@ QUERIES = {
     ),
     "log_agent_runs": (
         log_agent_runs,
-        f"WITH e AS (SELECT task_id, run_id, agent, moment, event, event = 'agent_started' AS starts FROM ({NORMAL}) "
-        "WHERE event IN ('agent_started', 'agent_finished', 'agent_failed')), "
-        "w AS (SELECT *, lead(moment) OVER o AS m, lead(event) OVER o AS f, count(*) FILTER (starts) OVER o AS attempt FROM e "
-        "WINDOW o AS (PARTITION BY task_id, run_id, agent ORDER BY moment, starts, event)) "
-        f"SELECT task_id, run_id, agent, attempt, {AT_TEXT.format('moment')} AS started, "
-        f"CASE WHEN f <> 'agent_started' THEN {AT_TEXT.format('m')} END AS ended, "
-        "CASE WHEN f <> 'agent_started' THEN (epoch_us(m) - epoch_us(moment)) / 1e6 END AS seconds, "
-        "CASE WHEN f IS NULL THEN 'running' WHEN f = 'agent_started' THEN 'interrupted' WHEN f = 'agent_failed' THEN 'failed' ELSE 'finished' END AS outcome "
-        "FROM w WHERE starts",
+        AGENT_RUNS,
     ),
     "log_failures": (
         log_failures,
@@ -298,6 +342,8 @@ QUERIES = {
         log_path_ids,
         f"SELECT event_id, coalesce({TASK}, 'task_' || user_id) AS task_id, CASE WHEN event_id % 2 = 0 THEN 'run_' || (event_id % 5) END AS run_id FROM events",
     ),
+    "log_live_appended": (log_live_appended, f"SELECT level, event, count(*) AS events FROM ({NORMAL}) GROUP BY level, event"),
+    "log_live_runs": (log_live_runs, AGENT_RUNS.replace("'running'", "'expired'")),
     "log_live_counts": (
         log_live_counts,
         f"SELECT {AT_TEXT.format('w')} AS window_start, {AT_TEXT.format('w + INTERVAL 1 HOUR')} AS window_end, level, event, count(*) AS events "
