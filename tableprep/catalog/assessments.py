@@ -15,7 +15,7 @@ from tableprep.catalog.common import (
     profile_sql,
     read,
 )
-from tableprep.operators import profile, remedies, roles
+from tableprep.operators import profile, quality, remedies, roles
 from tableprep.plans import assess, defaults
 
 # name -> (SQL source, columns, task type, target, time, Spark source)
@@ -318,7 +318,27 @@ def _catalog_issues_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def quality_id_leakage(s, d):
+    """Roles edited by hand, with every column a feature: the identifiers among them leak."""
+    df = read(s, d, "orders")
+    columns = profile.column_profile(df, "orders")
+    found = roles.column_roles(columns)
+    rollup = roles.table_roles(found).withColumn("feature_columns", F.array(*[F.lit(c) for c in df.columns]))
+    issues = quality.quality_issues(profile.table_profile(df, "orders"), columns, found, rollup).where(F.col("issue_type") == "possible_id_leakage")
+    return issues.select("dataset_name", F.array_join("columns", ",").alias("name"), "severity", "message", "recommendation", "blocking", "evidence")
+
+
+def _leakage_sql() -> str:
+    message, recommendation = fixed.ISSUE_TEXTS["possible_id_leakage"]
+    before, after = (t.replace("'", "''") for t in message.split("%s"))
+    return (
+        f"SELECT dataset_name, name, 'warning' AS severity, '{before}' || name || '{after}' AS message, '{recommendation.replace(chr(39), chr(39) * 2)}' AS recommendation, "
+        f"false AS blocking, '{{\"semantic_type\":\"' || semantic_type || '\"}}' AS evidence FROM ({roles_sql('orders')}) WHERE role = 'identifier'"
+    )
+
+
 QUERIES = {
+    "quality_id_leakage": (quality_id_leakage, _leakage_sql()),
     **{f"roles_{c}": (_roles(c), f"SELECT {ROLE_COLUMNS} FROM ({roles_sql(c)})") for c in ("customer", "lineitem", "events", "labelled", "part")},
     **{f"role_lists_{c}": (_rollup(c), rollup_sql(c)) for c in ("orders", "nation", "part", "gaps")},
     **{f"quality_{c}": (_issues(c), f"SELECT {ISSUE_COLUMNS} FROM ({issues_sql(c)})") for c in ("lineitem", "orders", "nation", "labelled", "gaps", *MADE)},

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableprep.catalog.common import EVENTS_GAPS, LABELLED, events_with_gaps, labelled_documents, read
-from tableprep.operators import dates, encode, metrics, missing, remedies, scale, split, text
+from tableprep.functions.hashing import draw
+from tableprep.operators import dates, embedding, encode, metrics, missing, remedies, scale, split, text
 from tableprep.plans import execute
+from tableprep.session import materialize
 
 DISCOUNT_GAPS = "nullif(l_discount, 0.05)"
 FLAG_GAPS = "nullif(l_returnflag, 'A')"
@@ -256,6 +258,27 @@ def tfidf_vectors(s, d):
     return text.fit_tfidf_vector(df, "text").apply(df).select("doc_id", F.expr("text_tfidf").alias("features"))
 
 
+def text_embedding_fitted(s, d):
+    """Vectors fitted on three documents in four; of the others, how many lie nearest to the mean vector of their language."""
+    df = read(s, d, "documents").select("doc_id", "text", "lang").withColumn("held_out", draw(F.col("doc_id"), 42) % 4 == 2)
+    step = embedding.fit_embedding(df.where("NOT held_out"), "text")
+    rows = materialize(step.apply(df), "embedded")
+    means = text.vector_means(rows.where("NOT held_out"), "lang", "text_embedding").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dimension", "mean"))).alias("cells"))
+    centres = [(r["label"], [c["mean"] for c in r["cells"]]) for r in means.collect()]  # one vector a language
+    dots = [
+        F.struct(F.aggregate(F.zip_with("text_embedding", F.array(*[F.lit(x) for x in centre]), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("near"), F.lit(label).alias("label"))
+        for label, centre in centres
+    ]
+    held_out = rows.where("held_out").withColumn("nearest", F.greatest(*dots)["label"])
+    return held_out.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("documents"), (F.avg((F.col("nearest") == F.col("lang")).cast("double")) >= NEAREST_LANGUAGE).alias("near"),
+        F.max(F.size("text_embedding")).alias("dimensions"),
+    )
+
+
+NEAREST_LANGUAGE = 0.9
+
+
 def text_embedding_join(s, d):
     joined = text.join_embeddings(read(s, d, "documents").select("doc_id", "lang"), read(s, d, "embeddings"), "doc_id", "vec_id", "embedding")
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -479,6 +502,10 @@ QUERIES = {
     "split_inputs": (
         split_inputs, "SELECT 'train' AS split, count(*) AS row_count FROM documents UNION ALL SELECT 'test', count(*) FROM benchmark"
     ),
+    "text_embedding_fitted": (
+        text_embedding_fitted,
+        "SELECT lang, count(*) AS documents, true AS near, 32 AS dimensions FROM documents WHERE ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 4 = 2 GROUP BY lang",
+    ),
     "tfidf_documents": (
         tfidf_documents,
         r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), "

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tableprep import fixed_values as fixed
 from tableprep.functions.columns import quoted
 from tableprep.functions.hashing import draw
-from tableprep.operators import dates, encode, fitted, missing, scale, split, text
+from tableprep.operators import dates, embedding, encode, fitted, missing, scale, split, text
 from tableprep.operators.fitted import Fitted, Transform
 from tableprep.operators.fitting import Fit, fit_together
 from tableprep.plans.checks import plan_errors
@@ -177,7 +177,7 @@ def _fits(plan: Mapping[str, Any]) -> bool:
     methods = {item.get(kind) for group, kind in (
         ("missing_value_plan", "strategy"), ("categorical_encoding_plan", "encoding"), ("numeric_scaling_plan", "scaling"), ("text_processing_plan", "method"),
     ) for item in plan.get(group) or []}
-    return bool(methods & {"mean", "median", "mode", "one_hot", "ordinal", "frequency", "target", "standard", "minmax", "robust", "tfidf"})
+    return bool(methods & {"mean", "median", "mode", "one_hot", "ordinal", "frequency", "target", "standard", "minmax", "robust", "tfidf", "embedding"})
 
 
 def _renames(actions: list) -> dict[str, str]:
@@ -388,6 +388,9 @@ def _text(work: _Work, item: Mapping[str, Any]) -> None:
     elif item["method"] == "tfidf":
         for c in names:
             work.fit(text.tfidf_fit(c, features=int(params.get("features", text.HASHED_FEATURES))))
+    elif item["method"] == "embedding" and not {"embedding", "text_processing_plan"} & set(work.functions):
+        for c in names:
+            work.fit(embedding.embedding_fit(c, dimensions=int(params.get("dimensions", embedding.DIMENSIONS))))
     else:
         name = item["method"] if item["method"] in work.functions else "text_processing_plan"
         work.custom(names, work.functions[name], name)

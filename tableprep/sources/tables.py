@@ -64,8 +64,8 @@ def load_table(
     """A lazy table from a csv, tsv, txt, json, jsonl, ndjson or parquet path.
 
     Options go to the Spark reader. A `schema` spares the pass that infers types. In delimited files the texts in
-    `missing` (None: none) are missing values, and quoted line breaks belong to their value; `multiLine=False` reads
-    files without such breaks in splits, which large single files need.
+    `missing` (None: none) are missing values, and quoted line breaks belong to their value. Files without such breaks
+    are read in splits; one scan of the lines tells, which an explicit `multiLine` spares.
     """
     suffix = suffix_of(path)
     if suffix not in SUFFIXES:
@@ -80,6 +80,8 @@ def load_table(
         if suffix in fixed.JSON_LINES_SUFFIXES:
             return reader.options(**{"encoding": encoding, **options}).json(path)
         layout = {"header": True, "encoding": encoding, "escape": '"', "multiLine": True}
+        if not {"multiline", "quote"} & {o.lower() for o in options}:
+            layout["multiLine"] = _breaks_in_quotes(spark, path, encoding)
         if suffix in fixed.TAB_SUFFIXES:
             layout["sep"] = "\t"
         df = reader.options(**{**layout, **options}).csv(path)
@@ -93,6 +95,15 @@ def load_table(
         raise
 
 
+def _breaks_in_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether any line has an odd number of quotes, so that a quoted value goes on in the next. Lines of encodings whose
+    line breaks are no single bytes cannot be told; they may have some."""
+    if codecs.encode("\n", encoding) != b"\n":
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def load_tables(spark: SparkSession, paths: list[str], **options: Any) -> DataFrame:
     """Several files as one table; columns a file lacks are null."""
     if not paths:
