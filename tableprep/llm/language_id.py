@@ -7,11 +7,11 @@ size, is broadcast, and a task scores many texts at once by gathering its rows a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ FIT_ROWS_PER_LANGUAGE = 20_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # the same that str.isalpha takes, which numerals like ½ and ² are not
 _DRAW = 1 << 30
 
 

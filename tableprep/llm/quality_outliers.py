@@ -199,8 +199,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     judged = keyed.join(_per_salt(materialize(estimates, "mcd-estimates")), ["key", "salt"], "left").withColumn("distance", _squared_distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select(
-        id_col, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        kept.alias("kept"), "distance",
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
+        "lang", "source", "distance",
     )
 
 

@@ -55,3 +55,10 @@ def test_stage_drops_only_texts_without_language(edge_docs):
     left = language_id.fit(edge_docs).accepted(edge_docs)
     assert left.columns == edge_docs.columns
     assert {r["doc_id"] for r in left.collect()} == {1, 2, 6, 7, 8, 9, 11, 12, 13, 14, None}
+
+
+def test_numerals_are_no_letters(spark, edge_docs):
+    texts = ["½", "² ① Ⅷ", "१२३", "ª", "中", "½ and"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.fit(edge_docs).predict(docs).collect()}
+    assert [found[i] == "und" for i in range(len(texts))] == [True, True, True, False, False, False]
