@@ -103,7 +103,9 @@ def table_metadata(s, d):
 
 
 def list_files(s, d):
-    return tables.list_table_files(s, d).select("file_name", "suffix", "length")
+    """The files of the tables, with the rows that each holds."""
+    files = tables.list_table_files(s, d).join(tables.parquet_row_counts(s, d), "path", "left")
+    return files.select("file_name", "suffix", (F.col("length") > 0).alias("has_bytes"), "row_count")
 
 
 def sink_splits(s, d):
@@ -426,7 +428,10 @@ QUERIES = {
         f"SELECT 'lineitem.parquet' AS file_name, '.parquet' AS file_extension, count(*) AS row_count, {len(TABLES['lineitem'])} AS column_count, "
         f"'{','.join(c for c, _ in TABLES['lineitem'])}' AS columns, true AS has_bytes FROM lineitem",
     ),
-    "list_files": (list_files, None),
+    "list_files": (
+        list_files,
+        " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, '.parquet' AS suffix, true AS has_bytes, count(*) AS row_count FROM {t}" for t in [*TABLES, "embeddings"]),
+    ),
     "sink_splits": (
         sink_splits,
         "SELECT CASE WHEN ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END AS split, "
