@@ -21,7 +21,7 @@ CHUNKS_PER_SEGMENT = 1_000
 
 
 def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.na.drop(subset=columns)
+    return df.na.drop(subset=columns) if columns else df
 
 
 def fill_fit(df: DataFrame, strategies: Mapping[str, str], constants: Mapping[str, Any] | None = None) -> Fit:
@@ -48,6 +48,8 @@ def _filled(data: StepData) -> Transform:
     def apply(rows: DataFrame) -> DataFrame:
         filled = {}
         for c, known in data.params["values"].items():
+            if c not in rows.columns and data.new_rows:
+                continue  # the target, which new rows may lack
             target = T.DoubleType() if known["widen"] else rows.schema[c].dataType
             value = value_of(F.lit(known["text"]), known["type"]) if "type" in known else F.lit(known["value"])
             filled[c] = F.coalesce(present(rows, c).cast(target), value.cast(target))
@@ -138,7 +140,12 @@ def _carry(ends: DataFrame, marks: list[str], lasts: list[str], forward: bool, s
 @step_kind("carry")
 def _carried(data: StepData) -> Transform:
     p = data.params
-    return lambda rows: fill_in_order(rows, p["columns"], p["order"], key=p["key"], direction=p["direction"])
+
+    def apply(rows: DataFrame) -> DataFrame:
+        columns = [c for c in p["columns"] if c in rows.columns or not data.new_rows]  # new rows may lack the target
+        return fill_in_order(rows, columns, p["order"], key=p["key"], direction=p["direction"]) if columns else rows
+
+    return apply
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -67,9 +67,15 @@ class Preprocessor:
         """The plan's columns of new rows, by the parameters that were fitted then. The target may be missing.
 
         New rows take part in no split: values carried in order come from among them, target-encoded categories take the
-        mean over all folds, and rows the plan drops for missing values are dropped.
+        mean over all folds, and rows the plan drops for missing values are dropped. A feature that is missing is an error.
         """
-        work = _shaped(df, self.plan, self.functions, [k for k in self.key if k in df.columns])
+        old = {new: c for c, new in _renames(self.plan.get("column_actions") or []).items()}
+        features = [old.get(c, c) for c in self.plan.get("feature_columns") or []]
+        if missing_features := [c for c in features if c not in df.columns]:
+            raise ValueError(f"the rows lack features of the plan: {missing_features}")
+        target = self.plan.get("target_column")
+        plan = self.plan if target in df.columns else _without(self.plan, target)
+        work = _shaped(df, plan, self.functions, [k for k in self.key if k in df.columns])
         rows = work.keyed().withColumn(SPLIT, F.lit("new"))
         for step in self.steps:
             rows = step.apply(rows)
@@ -172,6 +178,14 @@ def _shaped(df: DataFrame, plan: Mapping[str, Any], functions: Mapping[str, Tran
     return work
 
 
+def _without(plan: Mapping[str, Any], column: str | None) -> dict[str, Any]:
+    """The plan for rows that have no such column."""
+    out = {**plan, "drop_columns": [c for c in plan.get("drop_columns") or [] if c != column]}
+    for group in ("missing_value_plan", "column_actions"):
+        out[group] = [{**item, "columns": [c for c in item["columns"] if c != column]} for item in plan.get(group) or []]
+    return out
+
+
 def _fits(plan: Mapping[str, Any]) -> bool:
     """Whether any step of the plan has to be fitted."""
     methods = {item.get(kind) for group, kind in (

@@ -272,6 +272,17 @@ def test_new_rows_get_the_target_mean_over_all_folds(spark, crates, tmp_path):
     assert {r["variety"] for r in rows.collect()} == {*held_out, overall}
 
 
+def test_new_rows_may_lack_the_target_but_no_feature(spark, crates, tmp_path):
+    plan = changed(missing_value_plan=[{"columns": ["spoiled"], "strategy": "drop_rows"}, {"columns": ["weight"], "strategy": "mean"}, {"columns": ["spoiled"], "strategy": "mode"}])
+    done = prepare(crates, plan)
+    done.write_preprocessor(str(tmp_path / "steps"))
+    again = load_preprocessor(spark, str(tmp_path / "steps"))
+    rows = again.apply(crates.drop("spoiled"))
+    assert rows.columns == ["weight", "variety_x", "variety_y"] and rows.count() == 200
+    with pytest.raises(ValueError, match="lack features"):
+        again.apply(crates.drop("variety"))
+
+
 def test_custom_steps_must_be_brought_along(spark, crates, tmp_path):
     plan = changed(numeric_scaling_plan=[{"columns": ["weight"], "scaling": "custom"}])
     prepare(crates, plan, functions={"numeric_scaling_plan": lambda df: df}).write_preprocessor(str(tmp_path / "steps"))
