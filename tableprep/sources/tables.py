@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
@@ -140,29 +141,42 @@ def table_metadata(df: DataFrame, path: str) -> DataFrame:
     )
 
 
-def list_table_files(spark: SparkSession, directory: str, *, recursive: bool = False) -> DataFrame:
-    """(path, file_name, suffix, length) of the table files under a directory, by path.
-
-    Only names and sizes are read; the file contents are pruned from the scan.
-    """
+def _root(spark: SparkSession, directory: str) -> str:
+    """The path of a directory as files give theirs, without a trailing slash."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(directory)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(folder):
         raise FileNotFoundError(f"Directory not found: {directory}")
     if not system.getFileStatus(folder).isDirectory():
         raise NotADirectoryError(f"Not a directory: {directory}")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    path = F.regexp_replace("path", "^file:/+", "/")
+    return re.sub("^file:/+", "/", system.makeQualified(folder).toString()).rstrip("/")
+
+
+def _table_paths(files: DataFrame, path: Column, root: str, recursive: bool, *columns: str) -> DataFrame:
+    """(path, columns) of files under `root` that belong to a table: one, or in a folder whose name has a table's suffix."""
+    inner = F.substring(F.regexp_replace(path, "^file:/+", "/"), len(root) + 2, 1 << 30)
+    kinds = "|".join(re.escape(s) for s in SUFFIXES)
+    folders = "(?:[^/]+/)*?" if recursive else ""
+    found = F.regexp_extract(inner, rf"^({folders}[^/]*(?i:{kinds}))(?:/|$)", 1)
+    return files.where(found != "").select(F.concat(F.lit(root + "/"), found).alias("path"), *columns)
+
+
+def list_table_files(spark: SparkSession, directory: str, *, recursive: bool = False) -> DataFrame:
+    """(path, file_name, suffix, length) of the tables under a directory, by path: files, and folders written as one table.
+
+    Only names and sizes are read; the file contents are pruned from the scan.
+    """
+    root = _root(spark, directory)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    files = _table_paths(listed, F.col("path"), root, recursive, "length").groupBy("path").agg(F.sum("length").alias("length"))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    files = listed.load(directory).select(
-        path.alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), suffix.alias("suffix"), "length"
-    )
-    return files.where(F.col("suffix").isin(*SUFFIXES)).orderBy("path")
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), suffix.alias("suffix"), "length").orderBy("path")
 
 
 def parquet_row_counts(spark: SparkSession, directory: str, *, recursive: bool = False) -> DataFrame:
-    """(path, row_count) of the parquet files under a directory, whatever their columns: one scan that reads none of them."""
+    """(path, row_count) of the parquet tables under a directory, whatever their columns: one scan that reads none of them."""
     nothing = T.StructType([T.StructField("__none", T.IntegerType())])
-    files = spark.read.schema(nothing).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", str(recursive).lower()).parquet(directory)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return files.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
+    files = spark.read.schema(nothing).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(directory)
+    counted = files.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    tables = _table_paths(counted, F.col("path"), _root(spark, directory), recursive, "n")
+    return tables.groupBy("path").agg(F.sum("n").alias("row_count"))
