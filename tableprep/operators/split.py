@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def stratified_cuts(df: DataFrame, digest: Column, stratum: str, shares: list[tu
     if not shares[:-1]:
         return sizes
     cuts = [
-        F.struct(F.lit(i).alias("cut"), F.floor(F.col("__n") * F.lit(u) + F.lit(0.5)).alias("rank"))
+        # in decimals: a share of doubles can fall just short of a half, and its cut a row too early
+        F.struct(F.lit(i).alias("cut"), F.floor(F.col("__n") * F.lit(Decimal(str(u))) + F.lit(Decimal("0.5"))).cast("bigint").alias("rank"))
         for i, (_, u) in enumerate(shares[:-1])
     ]
     placed = summed.select("*", F.explode(F.array(*cuts)).alias("at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableprep.catalog import flows
+from tableprep.operators import split
 from tableprep.sources.tables import list_table_files
 
 
@@ -18,3 +19,9 @@ def test_folders_written_as_tables_are_listed_with_their_rows(spark, tmp_path):
     assert found == {"many.parquet": (True, 5), "one.parquet": (True, 7), "parts.parquet": (True, 4)}
     sizes = {r["file_name"]: r["length"] for r in list_table_files(spark, str(tmp_path), recursive=True).collect()}
     assert sizes["many.parquet"] == sum(f.stat().st_size for f in (tmp_path / "many.parquet").glob("part-*"))
+
+
+def test_shares_that_end_on_a_half_are_cut_where_decimals_say(spark):
+    rows = spark.range(2855).withColumn("kind", F.lit("a"))  # 2855 * 0.7 is 1998.5, in doubles a little less
+    done = split.stratified_split(rows, ["id"], "kind", split.split_shares(0.7, 0.15, 0.15))
+    assert {r["split"]: r["count"] for r in done.groupBy("split").count().collect()} == {"train": 1999, "validation": 428, "test": 428}
