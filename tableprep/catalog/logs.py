@@ -178,7 +178,11 @@ def _states_sql() -> str:
     )
 
 
-IDS = "CASE WHEN turn % 5 = 4 THEN role || '_bad' ELSE role || '_' || lpad(CAST(conv_id AS STRING), 4, '0') END"
+# Padding to four digits must not cut longer numbers.
+IDS = (
+    "CASE WHEN turn % 5 = 4 THEN role || '_bad' "
+    "ELSE role || '_' || lpad(CAST(conv_id AS STRING), greatest(4, length(CAST(conv_id AS STRING))), '0') END"
+)
 
 
 def log_next_ids(s, d):

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from tableprep.catalog import flows
+from tableprep.catalog import flows, logs
 from tableprep.operators import split
 from tableprep.sources.tables import list_table_files
 
 
+@pytest.fixture
+def long_ids(spark, tmp_path):
+    rows = [(999, 0, "user"), (12345, 1, "user"), (23456, 0, "assistant"), (7, 4, "assistant")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_next_id_of_numbers_over_four_digits(spark, long_ids):
+    assert [r[0] for r in logs.log_next_id(spark, long_ids).collect()] == ["assistant_23457"]
+
+
 def test_folders_written_as_tables_are_listed_with_their_rows(spark, tmp_path):
     spark.range(5).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
     spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "parts.parquet"))
