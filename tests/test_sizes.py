@@ -21,6 +21,10 @@ def test_next_id_of_numbers_over_four_digits(spark, long_ids):
     assert [r[0] for r in logs.log_next_id(spark, long_ids).collect()] == ["assistant_23457"]
 
 
+def test_next_ids_of_numbers_over_four_digits(spark, long_ids):
+    assert sorted(map(tuple, logs.log_next_ids(spark, long_ids).collect())) == [("assistant", "assistant_23457"), ("user", "user_12346")]
+
+
 def test_folders_written_as_tables_are_listed_with_their_rows(spark, tmp_path):
     spark.range(5).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
     spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "parts.parquet"))
