@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tableprep import fixed_values as fixed
 from tableprep.catalog.common import read
 from tableprep.operators import runlog
-from tableprep.session import scratch_path
+from tableprep.session import materialize, scratch_path
 from tableprep.streaming import appended_lines, live_events, live_runs
 
 # Expressions both engines share; the day and time text is made by each engine's own function.
@@ -237,7 +237,7 @@ def log_live_runs(s, d):
     """The starts and ends of agents as a stream in three batches; a last beat lets the time of all of them pass."""
     base = scratch_path(s, "runs")
     at = F.unix_seconds(F.try_to_timestamp(F.get_json_object("value", "$.time")))
-    lines = log_lines(s, d).where(F.trim("value") != "").withColumn("at", F.coalesce(at, F.lit(0)))
+    lines = materialize(log_lines(s, d).where(F.trim("value") != "").withColumn("at", F.coalesce(at, F.lit(0))), "run-lines")
     first, second = lines.where("at > 0").agg(F.percentile_approx("at", [1 / 3, 2 / 3])).first()[0]
     part = F.when(F.col("at") < first, 0).when(F.col("at") < second, 1).otherwise(2)
     before = s.conf.get(live_runs.STATE_STORE)

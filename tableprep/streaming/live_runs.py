@@ -10,8 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,53 +35,56 @@ class RunPairing(StatefulProcessor):
         self.open = handle.getValueState("open", "at bigint, attempt bigint")
         self.attempts = handle.getValueState("attempts", "n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        for frame in rows:
-            micros = frame["at"].astype("int64") // (1 if frame["at"].dtype == "datetime64[us]" else 1000)
-            for at, event in zip(micros.tolist(), frame["event"].tolist()):
-                self.early.appendValue((at, event))
-                self.handle.registerTimer(-(-at // 1000))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        events = [(row.micros, row.event) for row in rows]
+        self.early.appendList(events)
+        self.handle.registerTimer(-(-min(at for at, _ in events) // 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        """All that the watermark has passed; one timer waits for the first event of the rest, one for the open start."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted((at, event == START, event) for at, event in self.early.get())
         passed = [e for e in waiting if e[0] <= now]
         found = []
+        before = began = self.open.get()
+        attempt = (self.attempts.get() or (0,))[0] if any(starts for _, starts, _ in passed) else 0
         for at, starts, event in passed:
-            began = self.open.get()
             if began is not None:
                 outcome = "interrupted" if starts else "failed" if event == FAILED else "finished"
                 found.append((*began, None if starts else at, outcome))
+            began = (at, attempt := attempt + 1) if starts else None
+        if began is not None and began[0] + self.expiry_ms * 1000 <= now:
+            found.append((*began, None, "expired"))
+            began = None
+        if attempt:
+            self.attempts.update((attempt,))
+        if began != before:
+            if began is None:
                 self.open.clear()
-            if starts:
-                attempt = (self.attempts.get() or (0,))[0] + 1
-                self.attempts.update((attempt,))
-                self.open.update((at, attempt))
-                self.handle.registerTimer(-(-at // 1000) + self.expiry_ms)
+            else:
+                self.open.update(began)
+                self.handle.registerTimer(-(-began[0] // 1000) + self.expiry_ms)
         if passed:
             rest = [(at, event) for at, _, event in waiting[len(passed) :]]
             self.early.put(rest) if rest else self.early.clear()
-        began = self.open.get()
-        if began is not None and began[0] + self.expiry_ms * 1000 <= now:
-            found.append((*began, None, "expired"))
-            self.open.clear()
-        if found:
-            yield _rows(key, found)
+            if rest:
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
+        return _rows(key, found)
 
     def close(self) -> None:
         pass
 
 
-def _rows(key, found: list[tuple]) -> pd.DataFrame:
+def _rows(key, found: list[tuple]) -> Iterator[Row]:
     def time(micros: int | None):
         return None if micros is None else datetime.datetime.fromtimestamp(0, datetime.UTC) + datetime.timedelta(microseconds=micros)
 
-    rows = [
-        (*[None if k == "" else k for k in key], attempt, time(at), time(end), None if end is None else (end - at) / 1e6, outcome)
-        for at, attempt, end, outcome in found
-    ]
-    return pd.DataFrame(rows, columns=["task_id", "run_id", "agent", "attempt", "started", "ended", "seconds", "outcome"])
+    for at, attempt, end, outcome in found:
+        yield Row(
+            task_id=key[0] or None, run_id=key[1] or None, agent=key[2] or None, attempt=attempt, started=time(at), ended=time(end),
+            seconds=None if end is None else (end - at) / 1e6, outcome=outcome,
+        )
 
 
 def live_runs(events: DataFrame, *, lateness: str = "10 minutes", expiry_seconds: int = 7 * 24 * 3600) -> DataFrame:
@@ -90,8 +92,8 @@ def live_runs(events: DataFrame, *, lateness: str = "10 minutes", expiry_seconds
     nothing followed. Needs the RocksDB state store, see `state_store`. Events later than `lateness` are dropped."""
     timed = normalise(events).where(F.col("event").isin(START, FINISH, FAILED)).withColumn("at", instant()).where(F.col("at").isNotNull())
     keys = [F.coalesce(k, F.lit("")).alias(k) for k in ("task_id", "run_id", "agent")]
-    rows = timed.select(*keys, "at", "event").withWatermark("at", lateness)
-    return rows.groupBy("task_id", "run_id", "agent").transformWithStateInPandas(
+    rows = timed.select(*keys, "at", "event").withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
+    return rows.groupBy("task_id", "run_id", "agent").transformWithState(
         statefulProcessor=RunPairing(expiry_seconds * 1000), outputStructType=RUN_SCHEMA, outputMode="append", timeMode="EventTime"
     )
 

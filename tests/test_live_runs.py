@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tableprep.operators import runlog
@@ -43,3 +44,47 @@ def test_runs_across_batches_are_those_of_the_batch_form(spark, tmp_path):
     got = found.select(columns).collect()
     # a run without an end for 10,000 seconds has expired by then, whatever came after
     assert sorted(str(tuple(r)) for r in got) == expected
+
+
+class CountedState:
+    """A state variable and the timers of one key, counting what is asked of them."""
+
+    def __init__(self):
+        self.held, self.calls, self.timers = None, 0, set()
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held or []) if isinstance(self.held, list) else self.held
+
+    def update(self, value):
+        self.calls, self.held = self.calls + 1, value
+
+    put = update
+
+    def appendList(self, values):  # noqa: N802
+        self.calls, self.held = self.calls + 1, [*(self.held or []), *values]
+
+    def clear(self):
+        self.calls, self.held = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 10_000
+
+
+def test_calls_to_the_state_do_not_grow_with_the_events_of_a_key():
+    calls = {}
+    for n in (2, 200):
+        pairing = live_runs.RunPairing(1_000_000)
+        pairing.handle, pairing.early, pairing.open, pairing.attempts = states = [CountedState() for _ in range(4)]
+        pairing.early.held = []
+        rows = [Row(micros=1000 * i, event=live_runs.FINISH if i % 2 else live_runs.START) for i in range(n)]
+        assert list(pairing.handleInputRows(("t", "r", "a"), iter(rows), states[0])) == []
+        assert pairing.handle.timers == {0}
+        found = list(pairing.handleExpiredTimer(("t", "r", "a"), states[0], None))
+        assert [r.attempt for r in found] == list(range(1, n // 2 + 1)) and {r.outcome for r in found} == {"finished"}
+        calls[n] = sum(s.calls for s in states)
+    assert calls[2] == calls[200]
