@@ -195,17 +195,46 @@ class SuffixSort:
         return order
 
     def repeated(self, windows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Which windows have an equal one in their class."""
+        """Which windows have an equal one in their class.
+
+        A window whose hash stands alone in its class has none. Of the others two of each hash are sorted, which near copies
+        have in thousands, and the rest is compared with the first of its hash.
+        """
+        hashes = (self.prefix[windows + MATCH] - self.prefix[windows]) * _Powers.of(len(self.data) + 1)[1][windows]
+        order = np.lexsort((hashes, classes))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (classes[order[1:]] != classes[order[:-1]])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(order)))
+        kind = np.cumsum(new) - 1
+        two = order[(size[kind] > 1) & (np.arange(len(order)) - begin[kind] < 2)]
+        found = self._neighbours(windows[two], classes[two])
+        if found is None:
+            return self._by_bytes(windows, classes)
+        on = np.zeros(len(windows), bool)
+        on[two] = found
+        rest = np.flatnonzero((size[kind] > 1) & (np.arange(len(order)) - begin[kind] >= 2))
+        first, rest = order[begin[kind[rest]]], order[rest]
+        if not self._same(windows[first], windows[rest]).all():  # hashes collide
+            return self._by_bytes(windows, classes)
+        on[rest] = on[first]
+        return on
+
+    def _same(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        same = np.ones(len(left), bool)
+        for k in range(0, MATCH, 8):
+            same &= self.head[left + k] == self.head[right + k]
+        return same
+
+    def _neighbours(self, windows: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
+        """Which windows have an equal one beside them in the sorted order; None if hashes collide, as the order may be wrong."""
         order = self.sort(windows, classes)
         left, right = order[:-1], order[1:]
         near = np.flatnonzero((classes[1:] == classes[:-1]))
         near = near[self.head[left[near]] == self.head[right[near]]]
         near = near[self.common(left[near], right[near]) >= MATCH]
-        same = np.ones(len(near), bool)
-        for k in range(0, MATCH, 8):
-            same &= self.head[left[near] + k] == self.head[right[near] + k]
-        if not same.all():  # hashes collide, so the order may be wrong too
-            return self._by_bytes(windows, classes)
+        if not self._same(left[near], right[near]).all():
+            return None
         on = np.zeros(len(self.data), bool)
         on[left[near]] = True
         on[right[near]] = True

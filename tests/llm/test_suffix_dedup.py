@@ -119,3 +119,21 @@ def test_runs_of_a_slice_have_no_gaps():
     line = b"0123456789abcdefghijklmnopqrstuvwxyz\n" * 12
     owner, first, last = s.repeated_runs([line + b"nowhere else" + line], [0])
     assert owner.tolist() == [0, 0] and first.tolist() == [0, len(line) + 12] and last.tolist() == [len(line) - 200, 2 * len(line) + 12 - 200]
+
+
+def test_of_equal_windows_two_are_sorted_however_many_there_are(monkeypatch):
+    draw = np.random.default_rng(5)
+    base = draw.integers(97, 123, 270, np.uint8)
+    slices = []
+    for k in range(200):  # near copies, each with a byte of its own
+        own = base.copy()
+        own[k % 40] = 48 + k // 40
+        slices.append(own.tobytes())
+    sorted_windows, sort = [], s.SuffixSort.sort
+    monkeypatch.setattr(s.SuffixSort, "sort", lambda self, w, c: sorted_windows.append(len(w)) or sort(self, w, c))
+    first, last = s.repeated_ranges(slices, [0] * len(slices))
+    windows = [[text[i : i + s.MATCH] for i in range(len(text) - s.MATCH + 1)] for text in slices]
+    counts = Counter(w for own in windows for w in own)
+    hit = [[i for i, w in enumerate(own) if counts[w] > 1] for own in windows]
+    assert [(min(h, default=-1), max(h, default=-1)) for h in hit] == [(a if b >= 0 else -1, b) for a, b in zip(first.tolist(), last.tolist())]
+    assert sum(sorted_windows) <= 2 * len(counts) < sum(map(len, windows))
