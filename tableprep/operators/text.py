@@ -25,8 +25,9 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, term, tf). A document's terms are combined before the shuffle."""
-    exploded = df.select(*[quoted(k) for k in key], F.explode(tokens(quoted(text))).alias("term"))
+    """(key, term, tf). Texts are dealt by key, so that their terms, which take several times their room, are counted in place."""
+    dealt = df.select(*[quoted(k) for k in key], quoted(text)).repartition(*[quoted(k) for k in key])
+    exploded = dealt.select(*[quoted(k) for k in key], F.explode(tokens(quoted(text))).alias("term"))
     return exploded.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tableprep.catalog import flows, logs
-from tableprep.operators import split
+from tableprep.operators import split, text
 from tableprep.sources.tables import list_table_files
 
 
@@ -41,3 +43,12 @@ def test_shares_that_end_on_a_half_are_cut_where_decimals_say(spark):
     rows = spark.range(2855).withColumn("kind", F.lit("a"))  # 2855 * 0.7 is 1998.5, in doubles a little less
     done = split.stratified_split(rows, ["id"], "kind", split.split_shares(0.7, 0.15, 0.15))
     assert {r["split"]: r["count"] for r in done.groupBy("split").count().collect()} == {"train": 1999, "validation": 428, "test": 428}
+
+
+def test_terms_are_counted_where_their_texts_are(spark):
+    rows = spark.createDataFrame([(1, "one two two"), (2, "two"), (1, "one")], "doc_id long, text string")
+    counted = text.term_counts(rows, ["doc_id"], "text")
+    assert sorted(map(tuple, counted.collect())) == [(1, "one", 2), (1, "two", 2), (2, "two", 1)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not any("term" in d for d in dealt)  # texts are shuffled, and not their terms
