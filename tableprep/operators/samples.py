@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from tableprep.functions.columns import TEMPORAL, present, quoted, type_class, v
 from tableprep.functions.quantiles import ordered_number
 
 PLACE = "__place"
+LOOKED_AT = 64  # rows whose values are looked at together
 
 
 def ordered_samples(df: DataFrame, order: str, k: int = fixed.MAX_SAMPLE_VALUES, *, columns: list[str] | None = None) -> DataFrame:
@@ -31,21 +33,36 @@ def ordered_samples(df: DataFrame, order: str, k: int = fixed.MAX_SAMPLE_VALUES,
     rows = df.select(place.alias(PLACE), *texts)
     schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField(PLACE, rows.schema[PLACE].dataType)])
 
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values([PLACE, "value"], na_position="last", kind="stable").drop_duplicates("value").head(k)
-
-    def firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        for frame in frames:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
             for i in range(len(columns)):
-                own = frame[[f"c{i}", PLACE]].dropna(subset=[f"c{i}"]).rename(columns={f"c{i}": "value"})
-                best[i] = first(pd.concat([best[i], own]) if i in best and len(own) else own if i not in best else best[i])
+                own = pa.table({"value": batch.column(f"c{i}"), PLACE: batch.column(PLACE)})
+                own = own.filter(pc.is_valid(own["value"]))
+                best[i] = _first(pa.concat_tables([best[i], own]) if i in best else own, k)
         for i, own in best.items():
-            yield own.assign(position=i)[["position", "value", PLACE]]
+            position = pa.array([i] * own.num_rows, pa.int32())
+            yield from pa.table({"position": position, "value": own["value"], PLACE: own[PLACE]}).combine_chunks().to_batches()
 
-    found = rows.mapInPandas(firsts, schema).groupBy("position", "value").agg(F.min(PLACE).alias(PLACE))
+    found = rows.mapInArrow(firsts, schema).groupBy("position", "value").agg(F.min(PLACE).alias(PLACE))
     rank = F.row_number().over(Window.partitionBy("position").orderBy(F.col(PLACE).asc_nulls_last(), "value"))
     names = F.array(*[F.lit(c) for c in columns])
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
         F.get(names, F.col("position")).alias("name"), F.col("rank").cast("bigint").alias("rank"), "value"
     )
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The first row of each of the k distinct values that come first. Texts stay in Arrow; few become Python's at a time."""
+    order = pc.sort_indices(rows, sort_keys=[(PLACE, "ascending"), ("value", "ascending")], null_placement="at_end")
+    seen: set[str] = set()
+    kept: list[int] = []
+    for start in range(0, len(order), LOOKED_AT):
+        some = order.slice(start, LOOKED_AT)
+        for at, value in zip(some.to_pylist(), rows["value"].take(some).to_pylist()):
+            if value not in seen:
+                seen.add(value)
+                kept.append(at)
+                if len(kept) == k:
+                    return rows.take(pa.array(kept, pa.int64()))
+    return rows.take(pa.array(kept, pa.int64()))

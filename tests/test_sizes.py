@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.catalog import flows, logs
-from tableprep.operators import split, text
+from tableprep.operators import samples, split, text
 from tableprep.sources.tables import list_table_files
 
 
@@ -52,3 +52,9 @@ def test_terms_are_counted_where_their_texts_are(spark):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert dealt and not any("term" in d for d in dealt)  # texts are shuffled, and not their terms
+
+
+def test_samples_keep_whole_numbers_apart_beside_rows_without_an_order(spark):
+    rows = [(2**53, "b"), (2**53 + 1, "a"), (None, "c")]  # as doubles the first two are one
+    df = spark.createDataFrame(rows, "place long, name string").coalesce(1)
+    assert [r["value"] for r in samples.ordered_samples(df, "place", 1).collect()] == ["b"]
