@@ -40,6 +40,14 @@ PLAN_SCHEMA = ", ".join(
     + [f"{g} array<{_struct(fields)}>" for g, (_, _, fields) in GROUPS.items()]
     + [f"split_strategy {_struct(SPLIT_FIELDS)}", f"output_artifacts array<{_struct(ARTIFACT_FIELDS)}>"]
 )
+# the part of it that rules read
+NAMED_LISTS = ("input_files", "id_columns", "feature_columns", "drop_columns")
+RULE_SCHEMA = ", ".join(
+    [f"{f} string" for f in TEXT_FIELDS if f != "downstream_notes"] + [f"{f} array<string>" for f in NAMED_LISTS]
+    + [f"{g} array<{_struct(('columns', method, *(['fill_value'] if 'fill_value' in fields else [])))}>" for g, (method, _, fields) in GROUPS.items()]
+    + [f"split_strategy {_struct([f for f in SPLIT_FIELDS if f not in ('random_state', 'reason')])}"]
+    + [f"output_artifacts array<{_struct(('artifact_type', 'path'))}>"]
+)
 # What kind of value each field takes where a vocabulary does not say so already. "?" may be null.
 KINDS = {
     **{f: "text" for f in ("plan_name", "user_facing_response")}, **{f: "text?" for f in ("target_column", "time_column")},
@@ -65,6 +73,10 @@ FLAG_TEXTS = ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1"
 KEYS_SCHEMA = ", ".join(
     [f"{g} array<map<string,string>>" for g in (*GROUPS, "output_artifacts")] + ["split_strategy map<string,string>"]
 )
+# the elements of a document's lists and parts
+ITEMS = "struct<" + ",".join(
+    [f"{f}:array<variant>" for f in LIST_FIELDS] + [f"{g}:array<map<string,variant>>" for g in PART_KINDS] + ["split_strategy:map<string,variant>"]
+) + ">"
 
 
 def parse_plans(df: DataFrame, document: str) -> DataFrame:
@@ -84,17 +96,13 @@ def _strangers(keys: Column, allowed) -> Column:
     return F.exists(keys, lambda k: ~k.isin(*allowed))
 
 
-def _part(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
 def _elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _misfit(value: Column, wanted: str) -> Column:
+def _misfit(value: Column, wanted: str, items: Column | None = None) -> Column:
     """Whether a value that is there is not of its kind. As readers of such documents do, numbers and flags may be given
-    as texts that say them; a whole number may have a fraction of 0."""
+    as texts that say them; a whole number may have a fraction of 0. `items` are the elements of a list, null for others."""
     kind, form = wanted.removesuffix("?"), F.schema_of_variant(value)
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
     numeric, said = form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), form == "STRING"
@@ -102,68 +110,104 @@ def _misfit(value: Column, wanted: str) -> Column:
         "text": said, "object": form.startswith("OBJECT"), "number": numeric | (said & text.try_cast("double").isNotNull()),
         "whole number": (numeric & (number == F.floor(number))) | (said & text.rlike(r"^\s*[+-]?[0-9]+\s*$")),
         "flag": (form == "BOOLEAN") | (numeric & number.isin(0.0, 1.0)) | (said & F.lower(text).isin(*FLAG_TEXTS)),
-        "texts": form.startswith("ARRAY") & ~_any(_elements(value), lambda e: F.schema_of_variant(e) != "STRING"),
-        "elements": ~form.startswith("ARRAY") | ~_any(_elements(value), lambda e: F.schema_of_variant(e) != "STRING"),
-        "objects": form.startswith("ARRAY") & ~_any(_elements(value), lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
+        "texts": items.isNotNull() & ~_any(items, _no_text) if items is not None else None,
+        "elements": ~_any(_elements(value), _no_text),
+        "objects": items.isNotNull() & ~_any(items, lambda e: e.isNull()) if items is not None else None,
     }[kind]
     bad = value.isNotNull() & ~F.coalesce(fits, F.lit(False))
     return bad & (form != "VOID") if wanted.endswith("?") else bad
 
 
+def _no_text(value: Column) -> Column:
+    return F.schema_of_variant(value) != "STRING"
+
+
 def _bad_part(name: str, kind: str) -> Callable[[Column], Column]:
-    return lambda item: _misfit(_part(item, name), kind)
+    return lambda item: _misfit(item[name], kind)
 
 
-def _kind_rules(whole: Column) -> list[tuple[Column, str]]:
+def _kind_rules(fields: Column, items: Column) -> list[tuple[Column, str]]:
     """Values of the wrong kind, in the document and its parts."""
-    rules = [(_misfit(_part(whole, f), kind), f"{f} is not {KIND_TEXTS[kind.removesuffix('?')]}") for f, kind in KINDS.items()]
+    rules = [
+        (_misfit(fields[f], kind, items[f] if kind in ("texts", "objects") else None), f"{f} is not {KIND_TEXTS[kind.removesuffix('?')]}")
+        for f, kind in KINDS.items()
+    ]
     for group, kinds in PART_KINDS.items():
-        items = F.try_variant_get(whole, f"$.{group}", "array<variant>")
         for f, kind in kinds.items():
-            rules.append((_any(items, _bad_part(f, kind)), f"{group}: {f} is not {KIND_TEXTS[kind]}"))
-    split = _part(whole, "split_strategy")
-    return rules + [(_misfit(_part(split, f), kind), f"split_strategy: {f} is not {KIND_TEXTS[kind.removesuffix('?')]}") for f, kind in SPLIT_KINDS.items()]
+            rules.append((_any(items[group], _bad_part(f, kind)), f"{group}: {f} is not {KIND_TEXTS[kind]}"))
+    split = items["split_strategy"]
+    return rules + [(_misfit(split[f], kind), f"split_strategy: {f} is not {KIND_TEXTS[kind.removesuffix('?')]}") for f, kind in SPLIT_KINDS.items()]
+
+
+def _opened(df: DataFrame, document: str) -> DataFrame:
+    """Add the struct `plan`, the document's keys, its fields and items as variants, and whether it is regular.
+
+    A document is parsed once, to a variant from which all this is read. Only one that is no JSON object, or whose parts
+    are not what they should be, is parsed by the schemas as well (`__parts`), which say what becomes of misplaced values.
+    """
+    whole, fields, items, regular = (F.col(f"__{c}") for c in ("whole", "fields", "items", "regular"))
+    opened = df.withColumn("__whole", F.try_parse_json(document)).withColumns({
+        "__fields": F.try_variant_get(whole, "$", "map<string,variant>"), "__items": F.try_variant_get(whole, "$", ITEMS),
+    })
+    sound = fields.isNotNull() & (fields["split_strategy"].isNull() | items["split_strategy"].isNotNull())
+    for group in GROUPS:
+        listed = F.forall(items[group], lambda i: i.isNotNull() & (i["columns"].isNull() | _elements(i["columns"]).isNotNull()))
+        sound &= F.coalesce(listed, fields[group].isNull())
+    sound &= F.coalesce(F.forall(items["output_artifacts"], lambda i: i.isNotNull()), fields["output_artifacts"].isNull())
+    return opened.withColumn("__regular", F.coalesce(sound, F.lit(False))).withColumns({
+        "plan": F.when(regular, F.try_variant_get(whole, "$", f"struct<{RULE_SCHEMA}>")).otherwise(F.from_json(F.col(document), RULE_SCHEMA)),
+        "__parts": F.when(~regular, F.from_json(F.col(document), KEYS_SCHEMA)),
+        "__keys": F.when(regular, F.map_keys(fields)).otherwise(F.json_object_keys(document)),
+    })
+
+
+def _odd_fields(group: str, allowed) -> Column:
+    """Whether a part of the document has a field that does not belong."""
+    def odd(items: Column) -> Column:
+        return _strangers(F.map_keys(items), allowed) if group == "split_strategy" else _any(items, lambda i: _strangers(F.map_keys(i), allowed))
+    return F.when(F.col("__regular"), odd(F.col("__items")[group])).otherwise(odd(F.col("__parts")[group]))
 
 
 def plan_errors(df: DataFrame, document: str) -> DataFrame:
     """Add `errors`, the rules a plan document breaks; a valid plan breaks none."""
-    parsed = parse_plans(df, document).withColumns({
-        "__parts": F.from_json(F.col(document), KEYS_SCHEMA), "__keys": F.json_object_keys(document), "__whole": F.try_parse_json(document),
-    })
-    plan, parts, texts = F.col("plan"), F.col("__parts"), fixed.PLAN_ERRORS
+    parsed = _opened(df, document)
+    plan, texts = F.col("plan"), fixed.PLAN_ERRORS
     rules: list[tuple[Column, Column | str]] = [
         (_strangers(F.col("__keys"), PLAN_FIELDS), "unknown field"),
         (_blank(plan["plan_name"]), texts["plan_name"]),
         (~F.coalesce(plan["status"].isin(*fixed.PLAN_STATUSES), F.lit(False)), "status is not in its vocabulary"),
         (~F.coalesce(plan["task_type"].isin(*fixed.TASK_TYPES), F.lit(False)), "task_type is not in its vocabulary"),
     ]
-    for name in ("input_files", "id_columns", "feature_columns", "drop_columns"):
+    for name in NAMED_LISTS:
         rules.append((_any(plan[name], _blank), f"{name}: {texts['list_item']}"))
     for group, (method, vocabulary, fields) in GROUPS.items():
-        rules += _group_rules(plan[group], parts[group], group, method, vocabulary, fields)
+        rules += _group_rules(plan[group], group, method, vocabulary, fields)
     unfilled = lambda i: (i["strategy"] == "constant") & i["fill_value"].isNull()
     rules.append((_any(plan["missing_value_plan"], unfilled), texts["fill_value"]))
-    rules += _split_rules(plan["split_strategy"], parts["split_strategy"])
+    rules += _split_rules(plan["split_strategy"])
     artifacts = plan["output_artifacts"]
     rules += [
-        (_any(parts["output_artifacts"], lambda a: _strangers(F.map_keys(a), ARTIFACT_FIELDS)), "output_artifacts: unknown field"),
+        (_odd_fields("output_artifacts", ARTIFACT_FIELDS), "output_artifacts: unknown field"),
         (_any(artifacts, lambda a: ~F.coalesce(a["artifact_type"].isin(*fixed.ARTIFACT_TYPES), F.lit(False))),
          "output_artifacts: artifact_type is not in its vocabulary"),
         (_any(artifacts, lambda a: _blank(a["path"])), f"output_artifacts: {texts['path']}"),
     ]
     rules += _status_rules(plan)
-    rules += _kind_rules(F.col("__whole"))
-    checked = F.array_distinct(F.array_compact(F.array(*[
+    rules += _kind_rules(F.col("__fields"), F.col("__items"))
+    # without nulls and repeats; array_compact would have all rules interpreted instead of compiled
+    checked = F.array_except(F.array(*[
         F.when(F.coalesce(broken, F.lit(False)), text if isinstance(text, Column) else F.lit(text)) for broken, text in rules
-    ])))
+    ]), F.array(F.lit(None).cast("string")))
     unreadable = plan.isNull() | F.col("__keys").isNull()
-    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop("plan", "__parts", "__keys", "__whole")
+    return parsed.withColumn("errors", F.when(unreadable, F.array(F.lit("not a JSON object"))).otherwise(checked)).drop(
+        "plan", "__parts", "__keys", "__whole", "__fields", "__items", "__regular"
+    )
 
 
-def _group_rules(items: Column, keys: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:
+def _group_rules(items: Column, group: str, method: str, vocabulary, fields) -> list[tuple[Column, str]]:
     texts = fixed.PLAN_ERRORS
     rules = [
-        (_any(keys, lambda i: _strangers(F.map_keys(i), fields)), f"{group}: unknown field"),
+        (_odd_fields(group, fields), f"{group}: unknown field"),
         (_any(items, lambda i: F.coalesce(F.size(i["columns"]), F.lit(0)) < 1), f"{group}: {texts['columns']}"),
         (_any(items, lambda i: F.exists(i["columns"], _blank)), f"{group}: {texts['columns']}"),
     ]
@@ -173,14 +217,14 @@ def _group_rules(items: Column, keys: Column, group: str, method: str, vocabular
     return [*rules, (outside, f"{group}: {method} is not in its vocabulary")]
 
 
-def _split_rules(split: Column, keys: Column) -> list[tuple[Column, str]]:
+def _split_rules(split: Column) -> list[tuple[Column, str]]:
     texts = fixed.PLAN_ERRORS
     sizes = F.array_compact(F.array(*[split[s].try_cast("double") for s in ("train_size", "validation_size", "test_size")]))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, v: a + v)
     outside = F.exists(sizes, lambda v: (v <= 0) | (v >= 1))
     given = split.isNotNull()
     return [
-        (given & _strangers(F.map_keys(keys), SPLIT_FIELDS), "split_strategy: unknown field"),
+        (given & _odd_fields("split_strategy", SPLIT_FIELDS), "split_strategy: unknown field"),
         (given & ~F.coalesce(split["strategy"].isin(*fixed.SPLIT_STRATEGIES), F.lit(False)),
          "split_strategy: strategy is not in its vocabulary"),
         (outside, texts["size_range"]),
