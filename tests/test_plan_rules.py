@@ -28,3 +28,19 @@ def test_documents_are_parsed_by_the_schemas_only_where_misshapen(documents):
     assert {r["n"] for r in opened.where("__regular").collect()} == {0, 3}
     plan = checks.plan_errors(documents, "document")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1 and "filter(array(CASE" not in plan
+
+
+def test_kinds_are_judged_alike_in_regular_and_misshapen_documents(documents, monkeypatch):
+    def errors():
+        return {r["n"]: r["errors"] for r in checks.plan_errors(documents, "document").collect()}
+    found, opened = errors(), checks._opened
+    assert found[0] == [] and found[3] == ["assumptions is not a list of texts"]
+    assert "missing_value_plan is not a list of objects" in found[1] and "split_strategy is not an object" in found[2]
+    assert found[4] == found[5] == ["not a JSON object"]
+
+    def by_schema(df, document):
+        return opened(df, document).withColumns({
+            "__regular": F.lit(False), "plan": F.from_json(document, checks.PLAN_SCHEMA), "__parts": F.from_json(document, checks.KEYS_SCHEMA),
+        })
+    monkeypatch.setattr(checks, "_opened", by_schema)
+    assert errors() == found
