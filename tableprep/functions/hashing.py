@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,12 @@ def unit_draw(key: Column | list[Column], seed: int) -> Column:
     return draw(key, seed).cast("double") / F.lit(float(HEX_SPAN))
 
 
+def drawn_below(key: Column | list[Column], seed: int, share: float) -> Column:
+    """Whether `unit_draw` is below a share, told from the digits of the hash."""
+    bound = math.ceil(share * HEX_SPAN)
+    return F.substring(seeded_digest(key, seed), 1, HEX_DIGITS) < F.lit(f"{bound:0{HEX_DIGITS}x}" if bound < HEX_SPAN else "g")
+
+
 def text_bucket(column: Column, buckets: int) -> Column:
     """md5 bucket of a value's text, the same in any engine that has md5."""
     text = F.conv(F.substring(F.md5(column.cast("string")), 1, HEX_DIGITS), 16, 10)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tableprep import fixed_values as fixed
 from tableprep.functions.columns import quoted
-from tableprep.functions.hashing import seeded_digest, unit_draw
+from tableprep.functions.hashing import drawn_below, seeded_digest
 from tableprep.functions.joins import lookup
 from tableprep.functions.quantiles import exact_quantiles, ordered_number
 from tableprep.session import materialize
@@ -51,8 +51,8 @@ def _label(below: list[tuple[str, Column]], last: str) -> Column:
 
 def random_split(df: DataFrame, key: list[str], shares: list[tuple[str, float]], *, seed: int = fixed.DEFAULT_RANDOM_STATE, out: str = "split") -> DataFrame:
     """Bucket of a hash of seed and key: a projection, no shuffle."""
-    position = unit_draw([quoted(k) for k in key], seed)
-    return df.withColumn(out, _label([(n, position < upper) for n, upper in shares[:-1]], shares[-1][0]))
+    drawn = [quoted(k) for k in key]
+    return df.withColumn(out, _label([(n, drawn_below(drawn, seed, upper)) for n, upper in shares[:-1]], shares[-1][0]))
 
 
 def stratified_split(df: DataFrame, key: list[str], stratum: str, shares: list[tuple[str, float]], *, seed: int = fixed.DEFAULT_RANDOM_STATE, out: str = "split") -> DataFrame:

@@ -124,7 +124,7 @@ def prepare(
     work.rows = work.keyed()
     if _fits(plan) and not any(t in work.rows.schema.simpleString() for t in UNWRITABLE):
         # every fit and the result read this table, and of it the columns they need
-        work.rows = materialize(work.rows, "split-rows")
+        work.rows = materialize(work.rows.select(*[quoted(c) for c in _read_later(work)]), "split-rows")
     _fill_gaps(work, plan.get("missing_value_plan") or [])
     for item in plan.get("categorical_encoding_plan") or []:
         _encode(work, item)
@@ -194,6 +194,19 @@ def _fits(plan: Mapping[str, Any]) -> bool:
     return bool(methods & {"mean", "median", "mode", "one_hot", "ordinal", "frequency", "target", "standard", "minmax", "robust", "tfidf", "embedding"})
 
 
+def _read_later(work: _Work) -> list[str]:
+    """The columns that steps after the split, or the result, can read: all of them where steps are the user's own, or
+    where rows are ordered or grouped by their ids."""
+    plan, groups = work.plan, ("missing_value_plan", "categorical_encoding_plan", "numeric_scaling_plan", "text_processing_plan", "datetime_processing_plan")
+    items = [item for group in groups for item in plan.get(group) or []]
+    methods = {item.get(kind) for item in items for kind in ("strategy", "method")}
+    if work.functions or methods & {"ffill", "bfill", "resample"}:
+        return work.rows.columns
+    named = {c for item in items for c in item["columns"]} | {plan.get("target_column"), plan.get("time_column"), *(plan.get("feature_columns") or [])}
+    wanted = {work.name(c) for c in named if c} | {SPLIT, ORDER, DRAW}
+    return [c for c in work.rows.columns if c in wanted]
+
+
 def _renames(actions: list) -> dict[str, str]:
     out: dict[str, str] = {}
     for item in actions:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.catalog import flows, logs
+from tableprep.functions import hashing
 from tableprep.operators import samples, split, text
+from tableprep.plans import execute
 from tableprep.sources.tables import list_table_files
 
 
@@ -58,3 +60,22 @@ def test_samples_keep_whole_numbers_apart_beside_rows_without_an_order(spark):
     rows = [(2**53, "b"), (2**53 + 1, "a"), (None, "c")]  # as doubles the first two are one
     df = spark.createDataFrame(rows, "place long, name string").coalesce(1)
     assert [r["value"] for r in samples.ordered_samples(df, "place", 1).collect()] == ["b"]
+
+
+def test_rows_written_after_the_split_have_only_columns_that_are_read(spark):
+    rows = spark.createDataFrame([(i, i, float(i), "ab"[i % 2]) for i in range(40)], "id long, spare long, x double, y string")
+    plan = {
+        "plan_name": "p", "status": "executable", "task_type": "classification", "input_files": ["f"], "target_column": "y", "id_columns": ["id"],
+        "feature_columns": ["x"], "numeric_scaling_plan": [{"columns": ["x"], "scaling": "standard"}],
+        "split_strategy": {"strategy": "random", "train_size": 0.8, "test_size": 0.2}, "output_artifacts": [{"artifact_type": "train_data", "path": "o"}],
+    }
+    work = execute.prepare(rows, plan).rows
+    assert sorted(work.columns) == ["split", "x", "y"] and work.count() == 40
+    written = spark.read.parquet(work.inputFiles()[0].rsplit("/", 1)[0])
+    assert sorted(written.columns) == ["split", "x", "y"]
+
+
+@pytest.mark.parametrize("share", [0.8, 1 / 3, 0.5, 1e-10, 1 - 1e-12])
+def test_digits_of_a_hash_tell_what_its_number_does(spark, share):
+    drawn = spark.range(2000).select((hashing.unit_draw(F.col("id"), 7) < share).alias("a"), hashing.drawn_below(F.col("id"), 7, share).alias("b"))
+    assert drawn.where("a <> b").count() == 0
