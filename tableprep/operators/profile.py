@@ -229,20 +229,30 @@ def ranked_values(df: DataFrame, family: Family, k: int, *, by_count: bool) -> D
         found = whole_values(df, counts.withColumn("place", head).where(F.col("place") <= k), family.positions)
         order = [F.col("n").desc(), F.col("value")]
     else:
-        smallest = smallest_texts(df, family.positions, k)
-        h0, h1 = value_fingerprint(F.col("value"))
-        long = F.length("value") > PREFIX
-        keyed = smallest.select(
-            F.col("position").alias("at"), "value", F.substring("value", 1, PREFIX).alias("start"),
-            F.when(long, h0).alias("f0"), F.when(long, h1).alias("f1"),
-        )
-        same = (F.col("position") == F.col("at")) & (F.col("head") == F.col("start")) & F.col("h0").eqNullSafe(F.col("f0")) & F.col("h1").eqNullSafe(F.col("f1"))
-        found = counts.join(F.broadcast(keyed), same)
+        # A short text is its own head, so counts tell the smallest; texts are read again only where long ones are near.
+        place = F.rank().over(Window.partitionBy("position").orderBy("head"))
+        near = counts.withColumn("place", place).where(F.col("place") <= k)
+        long_near = [r["position"] for r in near.where(F.col("h0").isNotNull()).select("position").distinct().collect()]
+        found = near.where(~F.col("position").isin(long_near)).select("position", F.col("head").alias("value"), "n")
+        if long_near:
+            found = found.unionByName(_smallest_counted(df, counts, long_near, k))
         order = [F.col("value")]
     rank = F.row_number().over(Window.partitionBy("position").orderBy(*order))
     return found.select("position", rank.alias("rank"), "value", "n").where(F.col("rank") <= k)
 
 
+def _smallest_counted(df: DataFrame, counts: DataFrame, positions: list[int], k: int) -> DataFrame:
+    """(position, value, n) of the k smallest whole texts of each column, with their counts."""
+    h0, h1 = value_fingerprint(F.col("value"))
+    long = F.length("value") > PREFIX
+    keyed = smallest_texts(df, positions, k).select(
+        F.col("position").alias("at"), "value", F.substring("value", 1, PREFIX).alias("start"),
+        F.when(long, h0).alias("f0"), F.when(long, h1).alias("f1"),
+    )
+    same = (F.col("position") == F.col("at")) & (F.col("head") == F.col("start")) & F.col("h0").eqNullSafe(F.col("f0")) & F.col("h1").eqNullSafe(F.col("f1"))
+    return counts.join(F.broadcast(keyed), same).select("position", "value", "n")
+
+
 def _limit_windows(df: DataFrame, k: int) -> None:
     """Let Spark cut the ranks of a window per task for any k that is asked for."""
     name = "spark.sql.optimizer.windowGroupLimitThreshold"

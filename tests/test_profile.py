@@ -7,6 +7,7 @@ import json
 
 import pytest
 
+from tableprep.operators import profile
 from tableprep.operators.profile import column_profile, profile_document, quick_profile, sample_values, table_profile, top_values
 from tableprep.sources.tables import as_table, list_table_files, load_table, load_tables, table_metadata
 
@@ -183,3 +184,16 @@ def test_padded_dates_are_dates(spark):
     df = spark.createDataFrame([(" " * n + f"2024-05-0{n % 9 + 1}" + " " * n,) for n in (0, 1, 20, 90)], "t string")
     row = column_profile(df).first()
     assert row["datetime_format"] == "yyyy-MM-dd" and row["datetime_min"][:10] == "2024-05-01"
+
+
+def test_smallest_short_texts_come_from_their_counts(spark, monkeypatch):
+    long = "m" * 70
+    rows = [("b", long + "2", "z"), ("a", long + "1", "a" * 80), ("b", long + "1", "y"), ("c", "n", "x")]
+    df = spark.createDataFrame(rows, "short string, long string, mixed string")
+    read_again, smallest = [], profile.smallest_texts
+    monkeypatch.setattr(profile, "smallest_texts", lambda df, positions, k: read_again.extend(positions) or smallest(df, positions, k))
+    found = {}
+    for r in profile.sample_values(df, 2).orderBy("name", "rank").collect():
+        found.setdefault(r["name"], []).append((r["value"], r["count"]))
+    assert found == {"short": [("a", 1), ("b", 2)], "long": [(long + "1", 2), (long + "2", 1)], "mixed": [("a" * 80, 1), ("x", 1)]}
+    assert sorted(read_again) == [1, 2]
