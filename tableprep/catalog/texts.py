@@ -66,6 +66,14 @@ JSON_TEXT = (
 )
 JSON_STATUS = "CASE kind WHEN 3 THEN 'none' WHEN 4 THEN 'unbalanced' WHEN 5 THEN 'invalid' ELSE 'ok' END"
 
+
+def orders(s, d, *columns):
+    """Orders that documents are made of, dealt evenly: of rows this narrow millions fit one split of a file, whose task
+    would make and read all their documents."""
+    rows = read(s, d, "orders").select("o_orderkey", *columns)
+    return rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
 # ---- plan documents, one per order ----
 PLAN_KIND = "o_orderkey % 12"
 
@@ -98,7 +106,7 @@ PLAN_TEXT = _plan_text()
 
 
 def plan_documents(s, d):
-    return read(s, d, "orders").selectExpr("o_orderkey", f"{PLAN_TEXT} AS document")
+    return orders(s, d).selectExpr("o_orderkey", f"{PLAN_TEXT} AS document")
 
 
 def doc_plan_errors(s, d):
@@ -150,7 +158,7 @@ def doc_plan_kinds(s, d):
         cases = " ".join(f"WHEN {k} THEN '{text}'" for k, (own, text, _) in KIND_FAULTS.items() if own == f)
         parts.append(f"'\"{f}\": ' || CASE {PLAN_KIND} {cases} ELSE {whole.get(f, chr(39) + '[]' + chr(39))} END")
     text = "'{' || " + " || ', ' || ".join(parts) + " || '}'"
-    rows = read(s, d, "orders").selectExpr("o_orderkey", "o_orderpriority", f"{text} AS document")
+    rows = orders(s, d, "o_orderpriority").selectExpr("o_orderkey", "o_orderpriority", f"{text} AS document")
     return checks.plan_errors(rows, "document").select("o_orderkey", "o_orderpriority", F.array_join("errors", "|").alias("errors"))
 
 
@@ -194,7 +202,7 @@ TASK_TEXT = _task_text()
 
 
 def tasks(s, d):
-    return taskgate.parse_tasks(read(s, d, "orders").selectExpr("o_orderkey", f"{TASK_TEXT} AS document"), "document")
+    return taskgate.parse_tasks(orders(s, d).selectExpr("o_orderkey", f"{TASK_TEXT} AS document"), "document")
 
 
 E, W = fixed.GATE_ERRORS, fixed.GATE_WARNINGS
@@ -276,7 +284,7 @@ def doc_gate_strict(s, d):
         pick({6: "hunch"}, "'class_label'"), "'\"}, \"evaluation\": {\"primary_metric\": \"f1\", \"validation_strategy\": \"holdout\"}, \"'", pick({3: "mood"}, "'raw_user_request'"),
         "'\": \"x\", \"missing_information\": {\"critical\": '", pick({7: "[\"rows\"]"}, "'[]'"), "', \"optional\": []}}'",
     ])
-    parsed = taskgate.parse_tasks(read(s, d, "orders").selectExpr("o_orderkey", f"{text} AS document"), "document")
+    parsed = taskgate.parse_tasks(orders(s, d, "o_orderpriority").selectExpr("o_orderkey", f"{text} AS document"), "document")
     done = taskgate.normalise(taskgate.gate(parsed))
     return done.select("o_orderkey", F.coalesce("problem", F.lit("")).alias("problem"), "can_model", "should_model", "decision", "response")
 

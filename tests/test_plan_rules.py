@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tableprep.catalog import texts
 from tableprep.plans import checks
 
 GOOD = {
@@ -44,3 +45,19 @@ def test_kinds_are_judged_alike_in_regular_and_misshapen_documents(documents, mo
         })
     monkeypatch.setattr(checks, "_opened", by_schema)
     assert errors() == found
+
+
+@pytest.fixture
+def one_split(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("query", [texts.doc_plan_kinds, texts.doc_plan_errors, texts.doc_gate, texts.doc_gate_strict, texts.doc_legacy])
+def test_documents_made_of_one_split_are_checked_by_many_tasks(spark, one_split, query):
+    done = query(spark, one_split).select("o_orderkey", F.spark_partition_id().alias("task"))
+    shares = {r["task"]: r["count"] for r in done.groupBy("task").count().collect()}
+    assert sum(shares.values()) == 1200 and len(shares) == 4 and max(shares.values()) < 400
+    above, _, dealt = done._jdf.queryExecution().analyzed().toString().partition("RepartitionByExpression")
+    assert "AS document" in above and "AS document" not in dealt  # the orders are dealt, not the documents
